@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import exact, mixing, packing, quality, sharding
+from groundwork.llm import exact, mixing, near, packing, quality, sharding
 from groundwork.llm.common import table, word_count, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +48,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.drawn(rows, MIX_LEVELS, MIX_WEIGHTS, **MIX)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.classified(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(sharding.sized(table(spark, sf_dir, "documents")), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -119,11 +124,18 @@ SELECT doc_id, {levels}, n_tokens, full_epochs::BIGINT AS full_epochs, greatest(
 """
 
 
-OP9_SQL = """
-WITH s AS (SELECT doc_id, (coalesce(octet_length(encode(text)), 0) + 16)::BIGINT AS size, text FROM documents),
-p AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::HUGEINT AS upto, sum(size) OVER ()::HUGEINT AS total FROM s),
-q AS (SELECT doc_id, size, text, least(39, ((2 * upto - size) * 40) // (2 * total))::INT AS shard FROM p)
-SELECT doc_id, size, {crc} AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM q
+#: All pairs of documents that share a shingle, their exact overlap, and the components of the links.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+c AS (SELECT doc_id, s, count(*) AS k FROM g GROUP BY doc_id, s),
+n AS (SELECT doc_id, sum(k) AS n FROM c GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.k, b.k)) AS common FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common >= 0.8 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, least_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.least_id FROM r JOIN u ON u.a = r.node WHERE r.least_id < u.b),
+m AS (SELECT node, min(least_id) AS class_id FROM r GROUP BY node)
+SELECT node AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, node = class_id AS kept FROM m
 """
 
 
@@ -132,10 +144,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op3_mix": op3_mix,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_near_dedup": op8_near_dedup,
         "op9_shards": op9_shards,
         "op10_pack": op10_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op6_exact_dedup": OP6_SQL}
+    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL}
