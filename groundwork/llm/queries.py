@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import exact, mixing, near, packing, quality, sharding
+from groundwork.llm import exact, langid, mixing, near, packing, quality, sharding
 from groundwork.llm.common import table, word_count, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~quality.passes("base-1")).alias("base_failed"), quality.passes("strict-1").alias("kept"), "failed")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # A null id has no checksum; such a row is neither held out nor learned from.
+    model = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return langid.predicted(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.grouped(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -142,6 +150,7 @@ SELECT node AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_language": op2_language,
         "op3_mix": op3_mix,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
