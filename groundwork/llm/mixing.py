@@ -103,3 +103,8 @@ def drawn(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]]
         .withColumn("drawn_tokens", F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens"))
         .select(*rows.columns, "full_epochs", "prefix_tokens", "drawn_tokens")
     )
+
+
+def selected(df: DataFrame, draws: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` of which tokens were drawn, each once; rows with one id are taken together."""
+    return df.join(draws.where("drawn_tokens > 0").select(id_col), id_col, "left_semi").select(*df.columns)

@@ -71,8 +71,9 @@ class Rule:
     fails: Column
 
 
-def rules() -> list[Rule]:
-    n = F.col
+def rules(prefix: str = "") -> list[Rule]:
+    """The rules over measurement columns whose names start with ``prefix``."""
+    n = lambda name: F.col(prefix + name)
     return [
         Rule("few_words", 0, n("n_words") < 50),
         Rule("repeated_windows", 1, 100 * n("n_repeat_words") > 50 * n("n_words")),
@@ -95,21 +96,36 @@ def policy_mask(policy: str) -> int:
     return sum(1 << bits[name] for name in POLICIES[policy])
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, every measurement, and ``failed``, the mask of failed rules."""
+def _failed(prefix: str = "") -> Column:
+    mask = F.lit(0).cast("long")
+    for rule in rules(prefix):
+        mask = mask.bitwiseOR(F.when(rule.fails, F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return mask
+
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(df: DataFrame, text_col: str, carry: list[str], prefix: str) -> DataFrame:
+    """The columns ``carry`` of ``df`` and the measurements of ``text_col``."""
+    names = [*carry, *(prefix + m for m in MEASURES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(x) for x in batch.column(1).to_pylist()]
+            rows = [measure(x) for x in batch.column(0).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [id_col, *MEASURES])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    failed = F.lit(0).cast("long")
-    for rule in rules():
-        failed = failed.bitwiseOR(F.when(rule.fails, F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.select(id_col, text_col).mapInArrow(measured, schema).withColumn("failed", failed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry), *(f"{prefix}{m} long" for m in MEASURES)])
+    return df.select(F.col(text_col).alias("_gw_text"), *carry).mapInArrow(run, schema)
+
+
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, every measurement, and ``failed``, the mask of failed rules."""
+    return _measured(df, text_col, [id_col], "").withColumn("failed", _failed())
+
+
+def accepted(df: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that pass a policy, with its columns."""
+    rows = _measured(df, text_col, df.columns, "_gw_").withColumn("_gw_failed", _failed("_gw_"))
+    return rows.where(passes(policy, F.col("_gw_failed"))).select(*df.columns)
 
 
 def passes(policy: str, failed: Column | None = None) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import exact, langid, mixing, near, packing, quality, sharding
-from groundwork.llm.common import table, word_count, written
+from groundwork.llm import exact, langid, mixing, near, packing, quality, secrets, sharding, urls, warc
+from groundwork.llm.common import shared_dir, table, word_count, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +35,40 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
+#: Rules of the production policy: verdict, host with path.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its number: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES, labels)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    captures = warc.assembled(warc.read_records(spark, path))
+    number = lambda c: F.regexp_extract(c, r":(-?[0-9]+)>$", 1).try_cast("long")
+    again = F.col("response.record_type") == "revisit"
+    length = F.regexp_extract("response.http", r"(?i)content-length: ([0-9]+)", 1).cast("long")
+    return captures.select(
+        number("capture_id").alias("page_id"),
+        # A revisit has its payload's length and digest from its headers, any other record from the payload as read.
+        F.when(again, length).otherwise(F.octet_length("response.body")).cast("long").alias("payload_bytes"),
+        F.when(again, F.col("response.digest")).otherwise(F.col("response.body_digest")).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        number("response.refers_to").alias("refers_to"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.grouped(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -56,6 +91,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.drawn(rows, MIX_LEVELS, MIX_WEIGHTS, **MIX)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.scan(docs).select("doc_id", "place", "value", *secrets.FEATURES, "probability", "is_secret")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near.classified(docs).select("doc_id", "class_id", "class_size", "kept")
@@ -147,12 +187,53 @@ SELECT node AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_
 """
 
 
+def _url_sql(max_children: int = 20, z: float = 2.58, strength: float = 5.0, threshold: float = 0.5) -> str:
+    """The same tree, level by level."""
+    name, verdict = "NULL", "NULL"
+    for decided, rule in sorted(URL_RULES, key=lambda r: len(r[1])):
+        domain, slash, rest = rule.partition("/")
+        fits = f"((host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash}{rest}'))"
+        name, verdict = f"CASE WHEN {fits} THEN '{rule}' ELSE {name} END", f"CASE WHEN {fits} THEN '{decided}' ELSE {verdict} END"
+    steps = []
+    for d in range(urls.DEPTH):
+        steps.append(f"""
+c{d} AS (SELECT host, prefix, l[{d + 1}] AS child, sum(n)::BIGINT AS cn, sum(b)::BIGINT AS cb FROM t{d} GROUP BY ALL),
+p{d} AS (SELECT host, prefix, count(*) AS k, sum(cn)::BIGINT AS pn, sum(cb)::BIGINT AS pb FROM c{d} GROUP BY ALL),
+m{d} AS (SELECT *, CASE WHEN pn > 0 THEN pb::DOUBLE / pn::DOUBLE END AS share FROM c{d} JOIN p{d} USING (host, prefix)),
+n{d} AS (SELECT host, prefix, child, concat_ws('/', prefix, CASE WHEN child = '' OR k = 1 THEN child WHEN k > {max_children} OR NOT coalesce(
+            cn > 0 AND abs(cb - cn * share) > {z}::DOUBLE * sqrt(cn * share * (1 - share)), FALSE) THEN '*' ELSE child END) AS nxt FROM m{d}),
+t{d + 1} AS (SELECT t.host, t.l, t.n, t.b, nxt AS prefix FROM t{d} t JOIN n{d} x ON t.host = x.host AND t.prefix = x.prefix AND t.l[{d + 1}] = x.child)""")
+    last = f"t{urls.DEPTH}"
+    return rf"""
+WITH k AS (SELECT doc_id AS page_id, (quality = 0 OR toxic = 1) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+v AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^/', ''), '[0-9]+', '#', 'g'), '/') AS ps FROM u),
+w AS (SELECT * EXCLUDE (ps), [coalesce(ps[1], ''), coalesce(ps[2], ''), coalesce(ps[3], ''), array_to_string(ps[4:], '/')] AS l FROM v),
+t0 AS (SELECT host, l, count(bad) AS n, count_if(bad) AS b, '' AS prefix FROM w LEFT JOIN k USING (page_id) GROUP BY host, l),{",".join(steps)},
+g AS (SELECT host, prefix, (sum(b) + {strength}::DOUBLE * (SELECT coalesce(avg(bad::INT), 0) FROM k)) / (sum(n) + {strength}::DOUBLE) > {threshold} AS impure FROM {last} GROUP BY ALL)
+SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN impure THEN 'block' ELSE 'allow' END) AS verdict, t.prefix AS template
+FROM w JOIN {last} t USING (host, l) JOIN g ON g.host = t.host AND g.prefix = t.prefix
+"""
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_language": op2_language,
         "op3_mix": op3_mix,
+        "op4_url_filter": op4_url_filter,
+        "op5_warc": op5_warc,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_secrets": op7_secrets,
         "op8_near_dedup": op8_near_dedup,
         "op9_shards": op9_shards,
         "op10_pack": op10_pack,
@@ -160,4 +241,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op4_url_filter": _url_sql(), "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL}
