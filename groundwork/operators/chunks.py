@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,21 +77,31 @@ def _atoms(s: str, limit: int, count: Counter, separators: tuple[str, ...]) -> l
 
 
 
-def split_udfs(count: Counter = count_tokens):
-    """(table splitter, prose splitter) as vectorized functions; table parts still over the embedder's limit are split as prose."""
+def split_texts(df: DataFrame, splitter: Callable[..., list[str]], inputs: list[str], keep: list[str]) -> DataFrame:
+    """``keep``, ``chunk_no`` and ``text``: the parts that ``splitter`` makes of the columns ``inputs`` of each row."""
+    names = [f"_in{i}" for i in range(len(inputs))]
 
-    def table(md: str, summary: str | None) -> list[str]:
-        return [x for part in split_table(md, summary, count=count) for x in ([part] if count(part) <= v.EMBED_LIMIT else split_prose(part, count=count))]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [splitter(*row) for row in batch[names].itertuples(index=False)]
+            out = batch[keep].assign(chunk_no=[list(range(len(p))) for p in parts], text=parts)
+            yield out[[bool(p) for p in parts]].explode(["chunk_no", "text"])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def by_rows(md: pd.Series, summary: pd.Series) -> pd.Series:
-        return pd.Series([table(m, s) for m, s in zip(md, summary, strict=True)], dtype=object)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "chunk_no int, text string"])
+    return df.select(*keep, *(F.col(c).alias(n) for c, n in zip(inputs, names, strict=True))).mapInPandas(run, schema)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def by_text(s: pd.Series) -> pd.Series:
-        return pd.Series([split_prose(x or "", count=count) for x in s], dtype=object)
 
-    return by_rows, by_text
+def split_tables(df: DataFrame, keep: list[str], md: str = "md", summary: str = "summary", count: Counter = count_tokens) -> DataFrame:
+    """Tables by rows; parts that are still over the embedder's limit as prose, so that nothing is cut off later."""
+
+    def parts(table: str | None, caption: str | None) -> list[str]:
+        return [x for part in split_table(table or "", caption, count=count) for x in ([part] if count(part) <= v.EMBED_LIMIT else split_prose(part, count=count))]
+
+    return split_texts(df, parts, [md, summary], keep)
+
+
+def split_proses(df: DataFrame, keep: list[str], text_col: str = "text", count: Counter = count_tokens) -> DataFrame:
+    return split_texts(df, lambda s: split_prose(s or "", count=count), [text_col], keep)
 
 
 def token_udf(count: Counter = count_tokens):
@@ -108,13 +118,12 @@ def build_chunks(pieces: DataFrame, count: Counter = count_tokens, id_digits: in
     ``pieces``: path, company, fiscal_year, section, type, text, piece_no. Layout
     tables are dropped. Ids are deduplicated before anything is embedded.
     """
-    by_rows, by_text = split_udfs(count)
     graded = tables.canonical(pieces.where(F.col("type") == "table").where(text.is_real_table(F.col("text"))), "text")
     captioned = graded.withColumn("summary", tables.caption(F.col("canon"), F.col("company"), F.col("fiscal_year"), F.col("section")))
-    keep = ["path", "company", "fiscal_year", "section", "type", "piece_no"]
-    of_tables = captioned.select(*keep, F.col("summary").isNotNull().alias("captioned"), by_rows(text.compact_markdown(F.col("text")), "summary").alias("parts"))
-    of_prose = pieces.where(F.col("type") == "prose").select(*keep, F.lit(False).alias("captioned"), by_text("text").alias("parts"))
-    parts = of_tables.unionByName(of_prose).select(*keep, "captioned", F.posexplode("parts").alias("chunk_no", "text"))
+    keep = ["path", "company", "fiscal_year", "section", "type", "piece_no", "captioned"]
+    of_tables = captioned.withColumns({"captioned": F.col("summary").isNotNull(), "md": text.compact_markdown(F.col("text"))})
+    of_prose = pieces.where(F.col("type") == "prose").withColumn("captioned", F.lit(False))
+    parts = split_tables(of_tables, keep, count=count).unionByName(split_proses(of_prose, keep, count=count))
     named = parts.withColumn("id", text.chunk_id(*(F.col(c) for c in ("company", "fiscal_year", "section", "type", "text")), digits=id_digits))
     return first_by_id(named)
 

@@ -39,13 +39,14 @@ class Bm25Index:
         """``question_id, id, score`` of all documents that share a term with a question; repeated terms count each time.
 
         Question terms are met with the postings of those terms alone; Spark
-        broadcasts them when they are few. Partial sums precede the shuffle.
+        broadcasts them when they are few. Partial sums precede the shuffle. Scores
+        are rounded to nine decimals, so that equal ones tie in whatever order they were summed.
         """
         asked = questions.select("question_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qf"))
         weighted = asked.join(self.terms.select("term", "idf"), "term")
         long = F.lit(1 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(self.avgdl)
         score = F.col("qf") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * long)
-        return self.postings.join(weighted, "term").groupBy("question_id", "id").agg(F.sum(score).alias("score"))
+        return self.postings.join(weighted, "term").groupBy("question_id", "id").agg(F.round(F.sum(score), 9).alias("score"))
 
     def topk(self, questions: DataFrame, n: int) -> DataFrame:
         """The n best documents with a positive score; ties by id."""

@@ -50,11 +50,11 @@ def batch_search(
 ) -> DataFrame:
     """Hits of every question: ``question_id, pos, id, text, company, fiscal_year, section, rerank_score``.
 
-    ``questions``: question_id, question, scopes, and ``k`` if hits are limited
-    by question. One scope or none: ``top_k`` hits. More: ``per_scope`` of each,
+    ``questions``: question_id, question, scopes; ``embedding`` if it is known,
+    and ``k`` if hits are limited by question. One scope or none: ``top_k`` hits. More: ``per_scope`` of each,
     in scope order, each chunk once.
     """
-    asked = embedded(questions, "question", embedder, query=True)
+    asked = questions if "embedding" in questions.columns else embedded(questions, "question", embedder, query=True)
     near = dense.topk(chunks, asked, candidates, scoped=True)
     by = ["question_id", "scope_no"]
     if hybrid:

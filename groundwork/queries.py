@@ -339,3 +339,626 @@ def facts_to_excerpts(spark: SparkSession, sf: str) -> DataFrame:
 def fiscal_year_of(spark: SparkSession, sf: str) -> DataFrame:
     dated = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " 20240131").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", text.fiscal_year_of(dated).alias("fiscal_year"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+CORPUS_SQL = f"""
+toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents),
+sizes AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
+post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df, ln(any_value(sizes.n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, sizes GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN {v.BM25_FLOOR}::DOUBLE * (SELECT avg(raw) FROM dfs) ELSE raw END AS idf FROM dfs)
+"""
+#: Questions are the first ten benchmark texts; question number is item number.
+BM25_SQL = f"""{CORPUS_SQL},
+asked AS (SELECT question_id, term, count(*) AS qf FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+bm AS (SELECT question_id, id, round(sum(qf * idf * tf * {v.BM25_K1 + 1}::DOUBLE / (tf + {v.BM25_K1}::DOUBLE * ({1 - v.BM25_B}::DOUBLE + {v.BM25_B}::DOUBLE * dl / avgdl))), 9) AS score
+       FROM post JOIN asked USING (term) JOIN terms USING (term), sizes GROUP BY question_id, id)
+"""
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten queries that the feature is defined for: the benchmark's first."""
+    return table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+@query("SELECT doc_id, len(ts)::INT AS n_tokens, md5(array_to_string(ts, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)")
+def tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    t = text.tokenize(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+
+
+@query(f"WITH {CORPUS_SQL} SELECT term, df, round(idf, 6) AS idf, n AS n_docs, round(avgdl, 6) AS avgdl FROM terms, sizes")
+def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return Bm25Index(_corpus(spark, sf)).stats()
+
+
+@query(f"WITH {BM25_SQL} SELECT question_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM bm WHERE score > 0) WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return Bm25Index(_corpus(spark, sf)).topk(_asked(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a vector; their company is the vector's label, their year the language."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("L"), F.col("label").cast("string")).alias("company"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("fiscal_year"), F.col("source").alias("section"))
+    return docs.join(vectors, "id")
+
+
+def _vector_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten questions: a benchmark text with the vector of its number; scopes are its own label's and the next one's."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding", "label")
+    scope = lambda c: F.struct(F.concat(F.lit("L"), c.cast("string")).alias("company"), F.lit(None).cast("string").alias("fiscal_year"))
+    return _asked(spark, sf).join(vectors, "question_id").select("question_id", "question", "embedding", F.array(scope(F.col("label")), scope(F.col("label") + 1)).alias("scopes"))
+
+
+RETRIEVAL_SQL = f"""{BM25_SQL},
+ch AS (SELECT doc_id AS id, text, lang AS fiscal_year, source AS section, 'L' || label AS company, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+vq AS (SELECT item_id AS question_id, text AS question, embedding::DOUBLE[] AS e, label FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id < 10),
+vs AS (SELECT question_id, e, question, s AS scope_no, 'L' || (label + s) AS company FROM vq, (SELECT unnest([0, 1])::INT AS s)),
+dn AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY score DESC, id)::INT AS rank FROM
+       (SELECT question_id, scope_no, id, list_dot_product(ch.e, vs.e) / sqrt(list_dot_product(ch.e, ch.e)) / sqrt(list_dot_product(vs.e, vs.e)) AS score FROM ch JOIN vs USING (company)) QUALIFY rank <= 30),
+sp AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY score DESC, id)::INT AS rank FROM
+       (SELECT question_id, scope_no, id, score FROM bm JOIN ch USING (id) JOIN vs USING (question_id, company) WHERE score > 0) QUALIFY rank <= 30),
+fu AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY rrf_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST)::INT AS rank FROM
+       (SELECT question_id, scope_no, id, coalesce(1.0::DOUBLE / ({v.RRF_K} + dn.rank), 0) + coalesce(1.0::DOUBLE / ({v.RRF_K} + sp.rank), 0) AS rrf_score, dn.rank AS dense_rank, sp.rank AS sparse_rank
+        FROM dn FULL JOIN sp USING (question_id, scope_no, id))),
+qt AS (SELECT question_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS q FROM vq),
+rr AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY rerank_score DESC, fused_rank)::INT AS rank FROM
+       (SELECT question_id, scope_no, id, fu.rank AS fused_rank, coalesce(len(list_intersect(q, ts))::DOUBLE / len(q), 0) AS rerank_score FROM fu JOIN toks USING (id) JOIN qt USING (question_id))),
+mg AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY scope_no, rank)::INT AS pos FROM
+       (SELECT * FROM rr WHERE rank <= 4 QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY scope_no, rank) = 1))
+"""
+BY = ["question_id", "scope_no"]
+
+
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    return dense.topk(_chunks(spark, sf), _vector_questions(spark, sf), 30, scoped=True)
+
+
+def _sparse(spark: SparkSession, sf: str) -> DataFrame:
+    scored = Bm25Index(_corpus(spark, sf)).scores(_asked(spark, sf)).where("score > 0")
+    scoped = search.scoped_candidates(_vector_questions(spark, sf), _chunks(spark, sf))
+    return ranked(scored.join(scoped, ["question_id", "id"]), BY, 30)
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.rrf(_dense(spark, sf), _sparse(spark, sf), BY)
+
+
+def _reranked(spark: SparkSession, sf: str, top_k: int) -> DataFrame:
+    fused = _fused(spark, sf).select(*BY, "id", "rank").join(_asked(spark, sf), "question_id").join(_corpus(spark, sf), "id")
+    return fuse.rerank(fused, fuse.token_overlap, top_k, BY)
+
+
+@query(f"""WITH {RETRIEVAL_SQL}, a AS (SELECT question_id, id, list_dot_product(ch.e, vq.e) / sqrt(list_dot_product(ch.e, ch.e)) / sqrt(list_dot_product(vq.e, vq.e)) AS score FROM ch, vq)
+    SELECT question_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM a) WHERE rank <= 10""")
+def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return dense.topk(_chunks(spark, sf), _vector_questions(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
+    / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every vector and the next."""
+    e = table(spark, sf, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "a")
+    return pairs.select("a", "b", F.round(text.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, 'dense' AS retriever, rank FROM dn UNION ALL SELECT question_id, scope_no, id, 'sparse', rank FROM sp")
+def retriever_rank(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda df, name: df.select(*BY, "id", F.lit(name).alias("retriever"), "rank")
+    return one(_dense(spark, sf), "dense").unionByName(one(_sparse(spark, sf), "sparse"))
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id FROM ch JOIN vs USING (company)")
+def scoped_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return search.scoped_candidates(_vector_questions(spark, sf), _chunks(spark, sf))
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, round(rrf_score, 9) AS rrf_score, dense_rank, sparse_rank, rank FROM fu")
+def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf).select(*BY, "id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "sparse_rank", "rank")
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, concat_ws('+', 'D#' || dense_rank, 'S#' || sparse_rank) AS found_by, count(dense_rank) OVER w AS n_dense, count(sparse_rank) OVER w AS n_sparse FROM fu WINDOW w AS (PARTITION BY question_id, scope_no)")
+def hit_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.provenance(_fused(spark, sf), BY).select(*BY, "id", "found_by", "n_dense", "n_sparse")
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, company, fiscal_year, md5(text) AS text_digest FROM fu JOIN ch USING (id)")
+def candidate_text(spark: SparkSession, sf: str) -> DataFrame:
+    named = _fused(spark, sf).select(*BY, "id").join(_chunks(spark, sf), "id")
+    return named.select(*BY, "id", "company", "fiscal_year", F.md5("text").alias("text_digest"))
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, fused_rank, round(rerank_score, 6) AS rerank_score, rank FROM rr WHERE rank <= 5")
+def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _reranked(spark, sf, 5).select(*BY, "id", "fused_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, pos, id, scope_no FROM mg")
+def scoped_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.merge_scopes(_reranked(spark, sf, 4)).select("question_id", "pos", "id", "scope_no")
+
+
+@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, pos, id, company, fiscal_year, section, round(rerank_score, 6) AS rerank_score FROM mg JOIN ch USING (id)")
+def batch_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search in one call; questions bring their vectors."""
+    hits = search.batch_search(_vector_questions(spark, sf), _chunks(spark, sf), Bm25Index(_corpus(spark, sf)))
+    return hits.select("question_id", "pos", "id", "company", "fiscal_year", "section", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("SELECT doc_id AS id, lang AS fiscal_year, 'L' || label AS company FROM documents JOIN embeddings ON doc_id = vec_id WHERE label = 1 AND lang = 'en'")
+def metadata_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunks(spark, sf).where((F.col("company") == "L1") & (F.col("fiscal_year") == "en")).select("id", "fiscal_year", "company")
+
+
+# ---------------------------------------------------------------- sections, pieces, chunks
+
+#: Headings that the documents do have.
+HEADINGS = (("alpha", r" the\s+[a-z]+"), ("beta", r" of\s+[a-z]+"), ("gamma", r" de\s+[a-z]+"))
+
+
+def _bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text", text.find_sections(F.col("text"), HEADINGS).alias("bounds"))
+
+
+BOUNDS_SQL = "hits AS (" + " UNION ALL ".join(f"SELECT doc_id, text, '{t}' AS tag, length(regexp_extract(text, '(?is)^(.*){p}', 1)) AS start FROM documents WHERE regexp_matches(text, '(?i){p}')" for t, p in HEADINGS) + ")"
+
+
+@query(f"WITH {BOUNDS_SQL} SELECT doc_id, start::INT AS start, tag FROM hits")
+def find_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return _bounds(spark, sf).select("doc_id", F.explode("bounds").alias("b")).select("doc_id", "b.*")
+
+
+@query(f"WITH {BOUNDS_SQL}, p AS (SELECT doc_id, (unnest([0, 50, 200, 1000]))::INT AS pos FROM documents) SELECT p.doc_id, pos, coalesce(max_by(tag, (start, tag)), 'other') AS section FROM p LEFT JOIN hits h ON h.doc_id = p.doc_id AND start <= pos GROUP BY ALL")
+def section_asof(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _bounds(spark, sf).select("doc_id", "bounds", F.explode(F.array(*map(F.lit, (0, 50, 200, 1000)))).alias("pos"))
+    return rows.select("doc_id", "pos", text.section_at(F.col("pos"), F.col("bounds")).alias("section"))
+
+
+@query(f"""WITH {BOUNDS_SQL}, s AS (SELECT doc_id, text, tag, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start, tag) AS upto, row_number() OVER (PARTITION BY doc_id ORDER BY start, tag) AS n FROM hits),
+    o AS (SELECT doc_id, tag, substr(text, start + 1, coalesce(upto, length(text)) - start) AS seg FROM s
+          UNION ALL SELECT doc_id, 'other', left(text, start) FROM s WHERE n = 1 AND start > {v.LEAD_OTHER_CHARS} UNION ALL SELECT doc_id, 'other', text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits))
+    SELECT doc_id, tag, length(seg)::INT AS n_chars, md5(seg) AS digest FROM o""")
+def slice_prose(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _bounds(spark, sf).select("doc_id", F.explode(text.slice_prose(F.col("text"), F.col("bounds"))).alias("p"))
+    return parts.select("doc_id", "p.tag", F.length("p.segment").alias("n_chars"), F.md5("p.segment").alias("digest"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.regexp_extract("url", "://([^/]*)", 1).alias("company"), "html")
+
+
+#: Text nodes of a page: scripts, styles and comments cut out, tags as separators, the entities that occur decoded.
+PROSE_SQL = r"""
+nodes AS (SELECT page_id, url, html, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g'),
+    '(?s)<script.*?</script>', chr(1), 'g'), '(?s)<style.*?</style>', chr(1), 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1)),
+    lambda x: trim(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'),
+    ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> '') AS ns FROM pages),
+prose AS (SELECT page_id::VARCHAR AS path, regexp_extract(url, '://([^/]*)', 1) AS company, coalesce(nullif(regexp_extract(left(html, 5000), '(20[0-9]{2})[0-9]{2}[0-9]{2}', 1), ''), 'unknown') AS fiscal_year,
+                 'other' AS section, 'prose' AS type, array_to_string(ns, ' ') AS text, 0 AS piece_no FROM nodes WHERE length(array_to_string(ns, ' ')) > 100)
+"""
+
+
+@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, section, type, md5(text) AS digest, length(text)::INT AS n_chars, piece_no FROM prose")
+def extract_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = filings.extract_pieces(_pages(spark, sf))
+    return pieces.select("path", "company", "fiscal_year", "section", "type", F.md5("text").alias("digest"), F.length("text").alias("n_chars"), "piece_no")
+
+
+@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, count(*) AS n_pieces, 0::BIGINT AS n_tables, sum(length(text))::BIGINT AS n_chars, {', '.join(f'0::BIGINT AS n_{s}' for s, _ in v.SECTIONS)}, count(*) AS n_other FROM prose GROUP BY ALL")
+def filing_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return filings.profile(filings.extract_pieces(_pages(spark, sf)))
+
+
+@query("SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 100 AS as_prose, length(text) > 20 AS as_table FROM documents")
+def piece_length_filter(spark: SparkSession, sf: str) -> DataFrame:
+    keeps = lambda kind, c: text.keeps_piece(F.lit(kind), c)
+    return table(spark, sf, "documents").select("doc_id", keeps("prose", text.stripped(F.col("text"))).alias("as_prose"), keeps("table", F.col("text")).alias("as_table"))
+
+
+@query(f"WITH {GRID_SQL}, {PROSE_SQL} SELECT 'N' || k || '/' || f AS path, 'table' AS type, count(*) AS n FROM (SELECT DISTINCT k, f FROM raw) GROUP BY ALL UNION ALL SELECT path, type, count(*) FROM prose GROUP BY ALL")
+def pieces_union(spark: SparkSession, sf: str) -> DataFrame:
+    both = _pieces(spark, sf).select(*filings.PIECES).unionByName(filings.extract_pieces(_pages(spark, sf)).select(*filings.PIECES))
+    return both.groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id::VARCHAR AS company, 'acc' AS accession, md5(html) AS digest FROM pages")
+def read_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as files of filings, one folder each, and read back."""
+    root = f"{shared_dir(spark)}/filings-{uuid.uuid4().hex}"
+    pages = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("company"), F.lit("annual").alias("form"), F.lit("acc").alias("accession"), F.col("html").alias("value"))
+    pages.repartition("company").write.partitionBy("company", "form", "accession").option("lineSep", "\u0003").text(root)
+    read = filings.read_filings(spark, root, "*/*/*/part-*")
+    name = lambda c: F.regexp_replace(c, "^[a-z]+=", "")
+    return read.select(name(F.col("company")).alias("company"), name(F.col("accession")).alias("accession"), F.md5(F.regexp_replace("html", "\u0003$", "")).alias("digest"))
+
+
+@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, md5(text) AS digest FROM prose", "write_pieces")
+@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, md5(text) AS digest FROM prose", "read_pieces")
+def read_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    filings.write_pieces(filings.extract_pieces(_pages(spark, sf)), path)
+    return filings.read_pieces(spark, path).select("path", "company", "fiscal_year", F.md5("text").alias("digest"))
+
+
+def _document_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as prose pieces of a company each source, and the nations' tables."""
+    prose = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), F.col("source").alias("company"), F.col("lang").alias("fiscal_year"), F.lit("other").alias("section"),
+        F.lit("prose").alias("type"), "text", F.lit(0).alias("piece_no"),
+    )
+    return prose.unionByName(_pieces(spark, sf).select(*filings.PIECES))
+
+
+@query("SELECT doc_id, source || '-' || lang || '-other-prose-' || left(md5(text), 8) AS id FROM documents")
+def chunk_id(spark: SparkSession, sf: str) -> DataFrame:
+    named = text.chunk_id(F.col("source"), F.col("lang"), F.lit("other"), F.lit("prose"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", named.alias("id"))
+
+
+@query("SELECT lang || '-' || left(md5(text), 8) AS id, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
+def chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    named = table(spark, sf, "documents").select(F.concat_ws("-", "lang", F.substring(F.md5("text"), 1, 8)).alias("id"), "doc_id", "source")
+    return chunks.first_by_id(named, ("doc_id",))
+
+
+@query()
+def build_chunk_index(spark: SparkSession, sf: str) -> DataFrame:
+    return build.build_chunk_index(_document_pieces(spark, sf))
+
+
+@query()
+def write_chunk_index(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/chunk-index-{uuid.uuid4().hex}"
+    filings.write_chunk_index(build.build_chunk_index(_document_pieces(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {GRID_SQL} SELECT (SELECT count(*) FROM (SELECT DISTINCT k, f FROM raw)) AS n_chunks, (SELECT count(*) FROM (SELECT DISTINCT k, f FROM raw)) AS n_captioned")
+def chunk_build_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the nations' tables, each of which is one chunk."""
+    return chunks.build_counts(chunks.build_chunks(_pieces(spark, sf)))
+
+
+@query()
+def split_prose(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.split_proses(table(spark, sf, "documents"), ["doc_id"])
+
+
+@query()
+def split_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's lines as a table under a caption."""
+    md = F.concat(F.lit("| text |\n|---|\n| "), F.array_join(F.split("text", "\n"), " |\n| "), F.lit(" |"))
+    return chunks.split_tables(table(spark, sf, "documents").select("doc_id", md.alias("md"), F.lit("lines").alias("summary")), ["doc_id"])
+
+
+@query("SELECT 0::BIGINT AS n_over")
+def budget_check(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.budget_check(chunks.build_chunks(_document_pieces(spark, sf))).select("n_over")
+
+
+@query("SELECT o_custkey, o_orderkey, recency FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS recency FROM orders) WHERE recency <= 3")
+def latest_filings(spark: SparkSession, sf: str) -> DataFrame:
+    return filings.latest_filings(table(spark, sf, "orders"), 3, "o_custkey", ("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "recency")
+
+
+# ---------------------------------------------------------------- history and cache
+
+PAIRS_SQL = "pairs AS (SELECT conv_id, turn, text AS question, nxt AS answer FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nrole = 'assistant')"
+
+
+@query(f"WITH {PAIRS_SQL} SELECT * FROM pairs")
+def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return history.qa_pairs(table(spark, sf, "conversations"))
+
+
+@query(rf"""WITH {PAIRS_SQL}, t AS (SELECT *, regexp_replace(question, '^\s+|\s+$', '', 'g') AS q, left(regexp_replace(answer, '^\s+|\s+$', '', 'g'), 200) AS a FROM pairs)
+    SELECT conv_id, turn, md5(coalesce(array_to_string(list('Q: ' || q || chr(10) || 'A: ' || a) FILTER (WHERE q <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), chr(10)), '')) AS digest FROM t""")
+def recent_history(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = history.qa_pairs(table(spark, sf, "conversations"))
+    return history.recent_history(pairs).select("conv_id", "turn", F.md5("history").alias("digest"))
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a request in the scope of its label, and again later."""
+    e = table(spark, sf, "embeddings").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    return e.select((F.col("vec_id") + F.col("again") * 10_000_000_000).alias("seq"), F.col("label").cast("string").alias("scope_key"), "embedding", F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("payload"))
+
+
+#: First visits miss (no two vectors of a label are that near), second visits hit.
+CACHE_SQL = "reqs AS (SELECT vec_id + again * 10000000000 AS seq, label::VARCHAR AS scope_key, again = 1 AS hit, 'p' || vec_id AS payload FROM embeddings, (SELECT unnest([0, 1]) AS again))"
+
+
+@query(f"WITH {CACHE_SQL} SELECT * FROM reqs")
+def answer_cache(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.answer_cache(_requests(spark, sf)).drop("similarity")
+
+
+@query("SELECT count(*) AS entries, count(*) AS hits, count(*) AS misses, 0.5::DOUBLE AS hit_rate FROM embeddings")
+def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.cache_stats(cache.answer_cache(_requests(spark, sf)))
+
+
+@query(f"WITH {CACHE_SQL} SELECT * FROM reqs")
+def answer_cache_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests as a stream."""
+    root = f"{shared_dir(spark)}/cache-stream-{uuid.uuid4().hex}"
+    requests = _requests(spark, sf)
+    requests.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(requests.schema).parquet(f"{root}/in")
+    run = jobs.answer_cache_stream(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("similarity")
+
+
+@query(f"WITH {PROSE_SQL} SELECT path, company, md5(text) AS digest FROM prose")
+def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a stream of filings; the pieces that end up stored."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    pages = _pages(spark, sf)
+    pages.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(pages.schema).parquet(f"{root}/in")
+    jobs.incremental_ingest(stream, spark, root).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/pieces").select("path", "company", F.md5("text").alias("digest"))
+
+
+# ---------------------------------------------------------------- evidence and answers
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Fact excerpts of the nations' questions, then two documents as text hits each (numbers 3q and 3q + 1)."""
+    excerpts = facts.to_excerpts(facts.lookup(_understood(spark, sf), build.build_fact_store(_pieces(spark, sf))))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"), F.col("source").alias("company"), F.col("lang").alias("fiscal_year"))
+    wanted = _questions(spark, sf).select("question_id", F.posexplode(F.array(F.col("question_id") * 3, F.col("question_id") * 3 + 1)).alias("n", "doc_id"))
+    hits = wanted.join(docs, "doc_id").select(
+        "question_id", (F.col("n") + 1).alias("pos"), F.col("doc_id").cast("string").alias("id"), F.col("t").alias("text"), "company", "fiscal_year", F.lit("other").alias("section"),
+        F.when(F.col("n") == 0, F.col("doc_id") / 1000.0).alias("rerank_score"),
+    )
+    return evidence.evidence_union(excerpts, hits)
+
+
+EVIDENCE_SQL = f"""{EXCERPTS_SQL},
+ev AS (SELECT question_id, id, text, company, fiscal_year, section, rerank_score, row_number() OVER (PARTITION BY question_id ORDER BY src, p, company, fiscal_year)::INT AS pos FROM (
+    SELECT *, 0 AS src, 0 AS p FROM ex UNION ALL
+    SELECT question_id, doc_id::VARCHAR, text, source, lang, 'other', CASE WHEN doc_id % 3 = 0 THEN doc_id / 1000.0::DOUBLE END, 1, doc_id % 3 FROM documents JOIN qs ON qs.question_id = doc_id // 3 AND doc_id % 3 < 2))
+"""
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT question_id, pos, id, md5(text) AS digest, company, fiscal_year, section, rerank_score FROM ev")
+def evidence_union(spark: SparkSession, sf: str) -> DataFrame:
+    return _evidence(spark, sf).select("question_id", "pos", "id", F.md5("text").alias("digest"), "company", "fiscal_year", "section", "rerank_score")
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT question_id, md5(string_agg('[' || pos || '] (' || company || ' FY' || fiscal_year || ', ' || section || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY pos)) AS digest, count(*) AS n_excerpts FROM ev GROUP BY 1")
+def context_block(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.context_block(_evidence(spark, sf)).select("question_id", F.md5("context").alias("digest"), "n_excerpts")
+
+
+@query(rf"""WITH {EVIDENCE_SQL} SELECT question_id, pos AS n, CASE WHEN rerank_score = 'Infinity' THEN 'sql' ELSE 'text' END AS source, company, fiscal_year, section,
+    CASE WHEN rerank_score <> 'Infinity' THEN round(rerank_score, 3) END AS score, left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 220) AS preview FROM ev""")
+def inspector_view(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.inspector_view(_evidence(spark, sf))
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("question_id") % 4
+    said = F.when(kind == 0, "Sales rose [1], then fell [2][9] and rose [1].").when(kind == 1, "i CAN'T answer that, from these filings").when(kind == 2, "No source.").otherwise("See [0] and [3].")
+    return _questions(spark, sf).select("question_id", said.alias("text"))
+
+
+VERIFY_SQL = f"""{EVIDENCE_SQL},
+ns AS (SELECT question_id, count(*) AS n FROM ev GROUP BY 1),
+vr AS (SELECT qs.question_id, coalesce(n, 0) AS n_excerpts, coalesce(n, 0) = 0 OR qs.question_id % 4 = 1 AS refused,
+              CASE WHEN coalesce(n, 0) = 0 THEN []::INT[] WHEN qs.question_id % 4 = 0 THEN [1, 2, 9] WHEN qs.question_id % 4 = 3 THEN [0, 3] ELSE []::INT[] END AS numbers FROM qs LEFT JOIN ns USING (question_id)),
+vs AS (SELECT *, list_filter(numbers, lambda x: x BETWEEN 1 AND n_excerpts) AS cited, list_filter(numbers, lambda x: x NOT BETWEEN 1 AND n_excerpts) AS wrong FROM vr)"""
+VERIFIED = f"WITH {VERIFY_SQL} SELECT question_id, n_excerpts, refused, array_to_string(cited, ',') AS cited, array_to_string(wrong, ',') AS hallucinated FROM vs"
+
+
+@query(VERIFIED, "citation_split")
+@query(VERIFIED)
+def verify_answers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evidence.verify(_answers(spark, sf), _evidence(spark, sf))
+    joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",").alias(c)
+    return rows.select("question_id", "n_excerpts", "refused", joined("cited"), joined("hallucinated"))
+
+
+@query(f"WITH {VERIFY_SQL} SELECT c.question_id, c.n::BIGINT AS n, company, fiscal_year, section, id AS chunk_id FROM (SELECT question_id, unnest(cited) AS n FROM vs WHERE NOT refused) c JOIN ev ON ev.question_id = c.question_id AND ev.pos = c.n")
+def citation_sources(spark: SparkSession, sf: str) -> DataFrame:
+    found = written(_evidence(spark, sf), "evidence")
+    return evidence.citation_sources(evidence.verify(_answers(spark, sf), found), found)
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS refused FROM documents")
+def norm_refusal(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.when(F.col("doc_id") % 3 == 0, " I can't ANSWER that from these filings!").when(F.col("doc_id") % 3 == 1, F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", answers.is_refusal(said).alias("refused"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct([o_orderkey % 7, o_orderkey % 5])), ',') AS numbers FROM orders")
+def cited_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.concat(F.lit("a ["), (F.col("o_orderkey") % 7).cast("string"), F.lit("] b ["), (F.col("o_orderkey") % 5).cast("string"), F.lit("] [x] [ 3 ]"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(F.transform(answers.cited_numbers(said), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query("SELECT o_orderkey, (100000 + o_orderkey)::VARCHAR AS number, o_orderkey % 2 = 0 AS matches FROM orders", "numeric_match")
+@query("SELECT o_orderkey, (100000 + o_orderkey)::VARCHAR AS number, o_orderkey % 2 = 0 AS matches FROM orders")
+def primary_number(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("o_orderkey") + 100000
+    reference = F.concat(F.lit("In 2021 it was $"), F.format_number(number, 0), F.lit(", not 99,999"))
+    response = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("$"), number.cast("string"))).otherwise("12")
+    return table(spark, sf, "orders").select("o_orderkey", answers.primary_number(reference).alias("number"), answers.numeric_match(reference, response).alias("matches"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def _eval_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled question with its outcome for each event."""
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    number = n + 1000
+    return e.select(
+        n.alias("question_id"),
+        F.when(F.col("event_type") == "purchase", "numeric").otherwise(F.col("event_type")).alias("type"),
+        (F.col("event_type") == "error").alias("should_refuse"),
+        (F.col("user_id") % 3 == 0).alias("refused"),
+        F.concat(F.lit("It was "), F.format_number(number, 0)).alias("reference"),
+        F.when(n % 2 == 0, F.concat(F.lit("$"), number.cast("string"))).otherwise("none").alias("response"),
+        F.when(n % 4 == 0, "AA FY2021 mda; bad part; BB FY2022 other").when(n % 4 == 1, "CC FY2021 mda").when(n % 4 == 2, "none").alias("relevant"),
+        (F.col("user_id") % 5 == 0).alias("hallucinated"),
+        F.when(F.col("user_id") % 2 == 0, "TABLE").otherwise("TEXT").alias("routed_intent"),
+        F.when(F.col("user_id") % 6 == 0, "TABLE").when(n % 11 > 0, "TEXT").alias("route"),
+        F.when(n % 3 > 0, "TABLE").alias("expected_route"),
+        F.floor(F.col("value") * 100).cast("long").alias("latency_ms"),
+    )
+
+
+def _eval_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    pos = F.explode(F.array(*map(F.lit, (1, 2, 3))))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("question_id"), pos.alias("pos"))
+    own = (F.col("question_id") + F.col("pos")) % 3 == 0
+    year = F.when(own, "2021").otherwise("2022")
+    section = F.when(F.col("pos") == 2, "mda").otherwise("other")
+    return rows.select("question_id", "pos", F.when(own, "AA").when(F.col("question_id") % 8 == 0, "BB").otherwise("DD").alias("company"), year.alias("fiscal_year"), section.alias("section"))
+
+
+EVAL_SQL = """
+er AS (SELECT event_id AS question_id, CASE event_type WHEN 'purchase' THEN 'numeric' ELSE event_type END AS type, event_type = 'error' AS should_refuse, user_id % 3 = 0 AS refused,
+              event_id % 2 = 0 AS right_number, event_id % 4 AS spec, user_id % 5 = 0 AS hallucinated, CASE WHEN user_id % 2 = 0 THEN 'TABLE' ELSE 'TEXT' END AS routed_intent,
+              CASE WHEN user_id % 6 = 0 THEN 'TABLE' WHEN event_id % 11 > 0 THEN 'TEXT' END AS route, CASE WHEN event_id % 3 > 0 THEN 'TABLE' END AS expected_route, floor(value * 100)::BIGINT AS latency_ms FROM events),
+ec AS (SELECT question_id, pos, CASE WHEN own THEN 'AA' WHEN question_id % 8 = 0 THEN 'BB' ELSE 'DD' END AS company, CASE WHEN own THEN '2021' ELSE '2022' END AS fiscal_year, CASE WHEN pos = 2 THEN 'mda' ELSE 'other' END AS section
+       FROM (SELECT *, (question_id + pos) % 3 = 0 AS own FROM (SELECT event_id AS question_id, unnest([1, 2, 3])::INT AS pos FROM events))),
+sp AS (SELECT question_id, type, unnest(CASE spec WHEN 0 THEN [{'c': 'AA', 'y': '2021', 's': 'mda'}, {'c': 'BB', 'y': '2022', 's': 'other'}] WHEN 1 THEN [{'c': 'CC', 'y': '2021', 's': 'mda'}] ELSE [] END) AS w FROM er WHERE NOT should_refuse),
+rk AS (SELECT sp.question_id, any_value(sp.type) AS type, min(pos) FILTER (WHERE section = w.s) AS rank_strict, min(pos) AS rank_lenient
+       FROM sp LEFT JOIN ec ON ec.question_id = sp.question_id AND ec.company = w.c AND ec.fiscal_year = w.y GROUP BY 1),
+rs AS (SELECT *, (rank_strict IS NOT NULL)::INT AS hit_strict, (rank_lenient IS NOT NULL)::INT AS hit_lenient, coalesce(1.0::DOUBLE / rank_strict, 0) AS mrr_strict FROM rk),
+cf AS (SELECT count_if(should_refuse AND refused) AS tp, count_if(should_refuse AND NOT refused) AS fn, count_if(NOT should_refuse AND refused) AS fp, count_if(NOT should_refuse AND NOT refused) AS tn FROM er),
+rf AS (SELECT tp::BIGINT AS tp, fn::BIGINT AS fn, fp::BIGINT AS fp, tn::BIGINT AS tn, coalesce(round(tp::DOUBLE / nullif(tp + fp, 0), 3), 0) AS precision, coalesce(round(tp::DOUBLE / nullif(tp + fn, 0), 3), 0) AS recall,
+              coalesce(round((tp + tn)::DOUBLE / nullif(tp + fn + fp + tn, 0), 3), 0) AS accuracy FROM cf),
+rv AS (SELECT round(avg(hit_strict), 3) AS hit_strict, round(avg(hit_lenient), 3) AS hit_lenient, round(avg(mrr_strict), 3) AS mrr_strict, count(*) AS n FROM rs),
+ht AS (SELECT type, round(avg(hit_lenient), 3) AS hit_lenient FROM rs GROUP BY 1),
+nm AS (SELECT round(avg(right_number::INT), 3) AS numeric_accuracy, count(*) AS n FROM er WHERE type = 'numeric' AND NOT should_refuse),
+hl AS (SELECT round(avg(hallucinated::INT), 3) AS hallucination_rate, count(*) AS n FROM er WHERE NOT should_refuse),
+rt AS (SELECT 'score' AS kind, 'accuracy' AS name, round(avg((routed_intent = expected_route)::INT), 3) AS value FROM er WHERE expected_route IS NOT NULL
+       UNION ALL SELECT 'score', 'n', count(expected_route) FROM er UNION ALL SELECT 'routed_intent', coalesce(routed_intent, '?'), count(*) FROM er GROUP BY ALL UNION ALL SELECT 'route', coalesce(route, '?'), count(*) FROM er GROUP BY ALL),
+md AS (SELECT latency_ms AS latency_median FROM (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS r, count(*) OVER () AS n FROM er WHERE latency_ms IS NOT NULL) WHERE r = n // 2 + 1)
+"""
+
+
+def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _eval_rows(spark, sf).where(~F.col("should_refuse"))
+    specs = rows.select("question_id", answers.parse_relevant(F.coalesce("relevant", F.lit(""))).alias("relevant"))
+    return evaluate.retrieval_first_rank(specs, _eval_contexts(spark, sf)).join(rows.select("question_id", "type"), "question_id")
+
+
+@query(f"WITH {EVAL_SQL} SELECT question_id, w.c AS company, w.y AS fiscal_year, w.s AS section FROM sp")
+def parse_relevant(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _eval_rows(spark, sf).where(~F.col("should_refuse"))
+    return rows.select("question_id", F.explode(answers.parse_relevant(F.col("relevant"))).alias("w")).select("question_id", "w.*")
+
+
+@query(f"WITH {EVAL_SQL} SELECT question_id, type, rank_strict, rank_lenient, hit_strict, hit_lenient, round(mrr_strict, 6) AS mrr_strict FROM rs")
+def retrieval_first_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranks(spark, sf).withColumn("mrr_strict", F.round("mrr_strict", 6))
+
+
+@query(f"WITH {EVAL_SQL} SELECT * FROM rf")
+def refusal_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.refusal_scores(_eval_rows(spark, sf))
+
+
+@query(f"WITH {EVAL_SQL} SELECT * FROM rv")
+def retrieval_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.retrieval_scores(_ranks(spark, sf))
+
+
+@query(f"WITH {EVAL_SQL} SELECT * FROM ht")
+def hit_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.hit_by_type(_ranks(spark, sf))
+
+
+@query(f"WITH {EVAL_SQL} SELECT * FROM nm")
+def numeric_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.numeric_accuracy(_eval_rows(spark, sf))
+
+
+@query(f"WITH {EVAL_SQL} SELECT * FROM hl")
+def hallucination_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.hallucination_rate(_eval_rows(spark, sf))
+
+
+@query(f"WITH {EVAL_SQL} SELECT kind, name, value::DOUBLE AS value FROM rt")
+def routing_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.routing_scores(_eval_rows(spark, sf))
+
+
+@query(f"WITH {EVAL_SQL} SELECT * FROM md")
+def latency_median(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.latency_median(_eval_rows(spark, sf))
+
+
+@query("SELECT round(avg(quality), 3) AS quality, round(avg(toxic), 3) AS toxic, round(avg(doc_id), 3) AS doc_id FROM labels")
+def mean_numeric_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.mean_numeric_columns(table(spark, sf, "labels").select("doc_id", "quality", "toxic"))
+
+
+def _melted_sql(kind: str, source: str, columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{c}' AS name, {c}::DOUBLE AS value FROM {source}" for c in columns.split())
+
+
+EVALUATED = f"WITH {EVAL_SQL} " + " UNION ALL ".join(
+    [
+        _melted_sql("refusal", "rf", "tp fn fp tn precision recall accuracy"),
+        _melted_sql("retrieval", "rv", "hit_strict hit_lenient mrr_strict n"),
+        "SELECT 'hit_by_type', type, hit_lenient FROM ht",
+        _melted_sql("numeric", "nm", "numeric_accuracy n"),
+        _melted_sql("hallucination", "hl", "hallucination_rate n"),
+        "SELECT kind, name, value::DOUBLE FROM rt",
+        _melted_sql("latency", "md", "latency_median"),
+    ]
+)
+
+
+@query(EVALUATED)
+def evaluate_run(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.evaluate_run(_eval_rows(spark, sf), _eval_contexts(spark, sf))
+
+
+@query(EVALUATED)
+def write_eval(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/eval-{uuid.uuid4().hex}"
+    rows = _eval_rows(spark, sf)
+    evaluate.write_eval(evaluate.evaluate_run(rows, _eval_contexts(spark, sf)), rows, path)
+    return spark.read.schema("kind string, name string, value double").json(f"{path}/summary")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup')")
+def golden_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of companies (here: event types) that are not among the allowed ones, those with large values."""
+    events = table(spark, sf, "events").select("event_id", F.col("event_type").alias("company"))
+    allowed = events.where(~F.col("company").isin("error", "signup")).select("company").distinct()
+    return evaluate.golden_guard(events, allowed).select("event_id", F.col("company").alias("event_type"))
+
+
+@query("SELECT event_id, event_type AS company FROM events")
+def read_golden(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("event_id", F.col("event_type").alias("company"))
+    return evaluate.load_golden(events, events.select("company").distinct())
+
+
+@query(f"""WITH {RETRIEVAL_SQL}, {GRID_SQL}, {QUESTIONS_SQL} SELECT question_id, route AS intent, CASE WHEN t < 3 THEN route ELSE 'TEXT' END AS executed FROM un WHERE question_id < 10""")
+def gather_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Intent and executed route of the first ten questions; the evidence itself is gathered on the way."""
+    asked = _understood(spark, sf).where("question_id < 10")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
+    found, routes = search.gather_evidence(asked.join(vectors, "question_id"), build.build_fact_store(_pieces(spark, sf)), _chunks(spark, sf), Bm25Index(_corpus(spark, sf)))
+    counts = found.groupBy("question_id").agg(F.count("*").alias("n"))
+    return routes.join(counts, "question_id", "left").where("executed = 'TEXT' or n > 0").select("question_id", "intent", "executed")
