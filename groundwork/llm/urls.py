@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Levels of the tree below the host; what lies deeper is one tail segment.
@@ -65,7 +67,8 @@ def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
     """
     one = lambda cond: F.count(F.when(cond, 1))
     tree = pages.groupBy("host", _levels(F.col("path")).alias("levels")).agg(one(F.col("bad").isNotNull()).alias("n"), one(F.col("bad")).alias("b"))
-    tree = tree.withColumn("prefix", F.lit(""))
+    # Each level reads the one before more than once, hence the written tables; they hold counts, not pages.
+    tree = written(tree.withColumn("prefix", F.lit("")), "url-tree")
     for depth in range(DEPTH):
         node = tree.withColumn("child", F.element_at("levels", depth + 1))
         children = node.groupBy("host", "prefix", "child").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"))
@@ -75,7 +78,7 @@ def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
         apart = (F.col("cn") > 0) & (F.abs(F.col("cb") - F.col("cn") * share) > z * F.sqrt(F.col("cn") * share * (1 - share)))
         merged = F.when((F.col("child") == "") | (F.col("k") == 1), F.col("child")).when((F.col("k") > max_children) | ~F.coalesce(apart, F.lit(False)), "*").otherwise(F.col("child"))
         named = children.join(parents, ["host", "prefix"]).select("host", "prefix", "child", F.concat_ws("/", "prefix", merged).alias("next"))
-        tree = node.join(named, ["host", "prefix", "child"]).select("host", "levels", "n", "b", F.col("next").alias("prefix"))
+        tree = written(node.join(named, ["host", "prefix", "child"]).select("host", "levels", "n", "b", F.col("next").alias("prefix")), "url-tree")
     return tree.withColumnRenamed("prefix", "template")
 
 
