@@ -66,6 +66,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(again, F.col("response.digest")).otherwise(F.col("response.body_digest")).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         number("response.refers_to").alias("refers_to"),
+        # Records of the transaction that were found and joined.
+        (F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).alias("n_records"),
     )
 
 
@@ -221,7 +223,7 @@ OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to FROM q
+       CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to, 3 AS n_records FROM q
 """
 
 

@@ -3,7 +3,7 @@
 A capture is three records: a request, a response (or a revisit of an earlier
 response with the same payload), and metadata. The request and metadata records
 name the response in ``WARC-Concurrent-To``. Archives are written by Spark's own
-writers, one record a row, and read back as files by streaming over each file's
+writers, gzipped, one record a row, and read back as files by streaming over each file's
 records by ``Content-Length``; nothing depends on what a payload contains.
 
 Assembly joins the three kinds on the identifier that they share and emits one
@@ -20,6 +20,7 @@ there. An empty table gives empty archives and an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.llm.common import written
+
 CRLF = "\r\n"
 #: Two line ends close a record; Spark's text writer puts them after every row.
 RECORD_END = CRLF + CRLF
@@ -46,24 +49,32 @@ def _record(kind: Column, name: Column, headers: list[tuple[str, Column]], block
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(RECORD_END), block)
 
 
-def planned(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """Id, ``digest``, ``bytes`` and ``refers`` (id of the response that a row revisits; else null).
+#: Up to so many groups of equal payloads are sent to the pages; more of them are met by joins that Spark can split.
+SENT_GROUPS = 500_000
+
 
-    Only digests move. Groups are found by a pre-aggregated maximum; the rows of
-    a large group meet it by a join that Spark can split.
+def planned(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """``pages`` (id, target, payload) with ``digest``, ``bytes`` and ``refers``, the id of the response that a row revisits.
+
+    Groups of equal payloads are found from digests alone, by a pre-aggregated
+    maximum. Pages move only when there are too many groups to send.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.where(F.col(id_col).isNotNull()).select(id_col, F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max(id_col).alias("_gw_last"), F.count("*").alias("_gw_n")).where("_gw_n > 1").drop("_gw_n")
-    found = rows.join(groups, ["digest", "bytes"], "left")
-    return found.select(id_col, "digest", "bytes", F.when(F.col("_gw_last") != F.col(id_col), F.col("_gw_last")).alias("refers"))
+    named = pages.select("*", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+    groups = named.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = written(groups, "warc-groups")
+    if groups.count() <= SENT_GROUPS:
+        found = named.join(F.broadcast(groups), ["digest", "bytes"], "left")
+    else:
+        found = named.join(named.select("id", "digest", "bytes").join(groups, ["digest", "bytes"], "left").select("id", "last"), "id")
+    return found.withColumn("refers", F.when(F.col("last") != F.col("id"), F.col("last"))).drop("last")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, date: str = "2020-01-01T00:00:00Z", per_file: int = 6000) -> None:
     """Write three records a row; ``per_file`` bounds the records of a file, which is read whole by one task."""
-    plan = planned(pages, id_col, payload_col, least_bytes).select(F.col(id_col).alias("id"), "digest", "bytes", "refers")
-    page = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("target"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = page.join(plan, "id")
+    page = pages.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("target"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
+    )
+    rows = planned(page, least_bytes)
     again = F.col("refers").isNotNull()
     main = record_id("response", F.col("id"))
     shared = [("WARC-Target-URI", F.when(F.col("target") != "", F.col("target"))), ("WARC-Date", F.lit(date))]
@@ -84,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     other = [*shared, ("WARC-Concurrent-To", main)]
     request = _record(F.lit("request"), record_id("request", F.col("id")), [*other, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.col("target"), F.lit(" HTTP/1.1" + RECORD_END)))
     metadata = _record(F.lit("metadata"), record_id("metadata", F.col("id")), [*other, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("capture-id: "), F.col("id").cast("string"), F.lit(CRLF)))
-    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).text(path)
+    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def hex_digest(value: str | None) -> str | None:
@@ -96,7 +107,9 @@ def hex_digest(value: str | None) -> str | None:
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a file."""
+    """(headers with lower-case names, block) of each record of a file, compressed (in one or many members) or plain."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
