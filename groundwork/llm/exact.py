@@ -146,12 +146,14 @@ def _level(table_bytes: int):
     return run
 
 
-def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
-    """Every row of ``df`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
-    ``table_bytes`` bounds the contents that one table holds, and with it the
-    memory of a task. The loop below ends after one level unless some partition
-    held more than that.
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> DataFrame:
+    """Every row with its columns and the results under names of our own (``_gw_``).
+
+    The loop ends after one level unless some partition held more contents than
+    a table takes.
     """
     rest = carried(df, id_col, text_col)
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, text_col, *rest)]
@@ -163,19 +165,25 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     level = 1
     while True:
         level_rows = written(left.repartition(F.xxhash64("_gw_hash", F.lit(level))).mapInArrow(_level(table_bytes), level_schema), f"exact-level{level}")
-        done = level_rows.where("keep_key is not null").select("_gw_key", "keep_key", "keep_id", "group_size", "text_sha256")
+        done = level_rows.where("keep_key is not null").select("_gw_key", *(F.col(c).alias(f"_gw_{c}") for c in ("keep_key", "keep_id", "group_size", "text_sha256")))
         found = done if found is None else found.unionByName(done)
         left = level_rows.where("keep_key is null").select("_gw_key", "_gw_id", "_gw_n", "_gw_hash", "_gw_text")
         if left.isEmpty():
             break
         level += 1
-    return (
-        rows.join(found, "_gw_key")
-        .withColumn("kept", F.col("_gw_lead") & (F.col("_gw_key") == F.col("keep_key")))
-        .select(id_col, text_col, *rest, "keep_id", "group_size", "kept", "text_sha256")
-    )
+    return rows.join(found, "_gw_key").withColumn("_gw_kept", F.col("_gw_lead") & (F.col("_gw_key") == F.col("_gw_keep_key")))
+
+
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
+    """Every row of ``df`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; columns of ``df`` with these names give way.
+
+    ``table_bytes`` bounds the contents that one table holds, and with it the
+    memory of a task.
+    """
+    own = [c for c in df.columns if c not in RESULTS]
+    return _grouped(df, id_col, text_col, table_bytes).select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``df`` that stay, with its columns."""
-    return grouped(df, id_col, text_col, table_bytes).where("kept").select(*df.columns)
+    return _grouped(df, id_col, text_col, table_bytes).where("_gw_kept").select(*df.columns)

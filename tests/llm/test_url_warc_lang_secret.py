@@ -1,0 +1,186 @@
+"""URL filters, WARC, language ID and secret scans on small inputs."""
+
+import gzip
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from groundwork.llm import langid, queries, secrets, urls, warc
+from groundwork.llm.common import shared_dir
+
+RULES = queries.URL_RULES
+
+
+def test_url_parts_and_rules(spark):
+    cases = {
+        None: ("", "", None),
+        "no scheme/x": ("", "", None),
+        "http://EXAMPLE.com/en/1?q#f": ("example.com", "/en/1", ("example.com/en/", "block")),
+        "http://www.example.com/en/": ("www.example.com", "/en/", ("www.example.com/en/", "allow")),
+        "http://a.www.example.com/en": ("a.www.example.com", "/en", ("com/", "allow")),
+        "ftp://x.net/es/a": ("x.net", "/es/a", ("net/es/", "block")),
+        "http://x.net?/es/": ("x.net", "", None),
+        "http://com": ("com", "", None),
+        "http://com/": ("com", "/", ("com/", "allow")),
+        "http://notcom/": ("notcom", "/", None),
+        "http://É.net/fr/#a://b": ("É.net", "/fr/", ("net/fr/", "block")),
+        "http://": ("", "", None),
+    }
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id long, url string, host string")
+    labels = spark.createDataFrame([], "page_id long, bad boolean")
+    out = {r["page_id"]: r for r in urls.judged(pages, RULES, labels).collect()}
+    assert len(out) == len(cases)
+    for i, (host, path, rule) in enumerate(cases.values()):
+        assert (out[i]["host"], out[i]["path"]) == (host, path)
+        assert (out[i]["rule"], out[i]["verdict"]) == (rule or (None, "allow"))
+
+
+def test_templates(spark):
+    rows, bad = [], {}
+    for i in range(200):
+        kind = i % 4
+        rows.append((i, f"https://h.org/{['good', 'fine', 'spam', 'spam'][kind]}/{i}.html" if i < 160 else f"https://h.org/good/slug-{chr(97 + i % 26)}{chr(97 + i // 26)}/end"))
+        bad[i] = rows[-1][1].split("/")[3] == "spam"
+    rows += [(900, "https://h.org/spam/12345.html"), (901, "https://h.org/good/7.html"), (902, "https://h.org/unseen/1"), (903, None), (900, "https://h.org/spam/12345.html")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([*bad.items(), (901, None)], "page_id long, bad boolean")
+    out = urls.judged(pages, RULES, labels).collect()
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in out}
+    assert len(out) == len(rows)
+    assert got[900][0] == "block" and "#.html" in got[900][1] and got[901][0] == "allow" and got[902][0] == "allow" and got[903][0] == "allow"
+    assert {got[i][0] for i in range(160) if bad[i]} == {"block"} and {got[i][0] for i in range(160) if not bad[i]} == {"allow"}
+    assert len({got[i][1] for i in range(160, 200)}) == 1  # slugs are one wildcard
+    assert urls.judged(pages.limit(0), RULES, labels).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "é" * 600
+    tricky = "WARC/1.1\r\nContent-Length: 5\r\n\r\nWARC/1.1\r\n\r\n\r\n" * 40
+    pages = [(1, "http://a/1", big), (2, "http://a/2", "small"), (3, None, big), (4, "http://a/4\r\nX: y", None), (5, "http://a/5", "small"), (6, "u", tricky), (9, "u", big), (None, "u", big)]
+    path = f"{shared_dir(spark)}/test-warc"
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), path, per_file=7)
+    found = warc.read_records(spark, path)
+    assert found.count() == 21
+    rows = {r["capture_id"]: r for r in warc.assembled(found).collect()}
+    assert len(rows) == 7
+    for page, url, html in pages:
+        if page is None:
+            continue
+        r = rows[f"<urn:capture:response:{page}>"]
+        body = (html or "").encode()
+        assert r["request"]["record_id"] == f"<urn:capture:request:{page}>" and r["metadata"]["body"] == f"capture-id: {page}\r\n".encode()
+        assert r["response"]["digest"] == hashlib.sha1(body).hexdigest()
+        if page in (1, 3):
+            assert r["response"]["record_type"] == "revisit" and r["response"]["refers_to"] == "<urn:capture:response:9>" and r["response"]["body"] == b""
+            assert f"Content-Length: {len(body)}" in r["response"]["http"]
+        else:
+            assert r["response"]["record_type"] == "response" and r["response"]["body"] == body and r["response"]["body_digest"] == r["response"]["digest"]
+    assert rows["<urn:capture:response:4>"]["response"]["target"] == "http://a/4X: y"
+
+
+def test_warc_reads_other_writers():
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    members = gzip.compress(record) + gzip.compress(record)
+    for data in (record * 2, members):
+        assert [(h["warc-type"], b) for h, b in warc.records(data)] == [("response", b"abc")] * 2
+    digest = hashlib.sha1(b"abc")
+    import base64
+
+    assert warc.hex_digest("sha1:" + base64.b32encode(digest.digest()).decode()) == warc.hex_digest("sha1:" + digest.hexdigest().upper()) == digest.hexdigest()
+    assert warc.hex_digest(None) is None and list(warc.records(b"")) == []
+
+
+# ---------------------------------------------------------------- languages
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "to", "mi", "ren"], "bb": ["sch", "ung", "ber", "ein"], "ru": ["при", "вет", "мо", "ск"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(lang, 60), lang) for i, lang in enumerate(["aa", "bb", "ru"] * 40)] + [(999, None, "aa"), (998, "x", None)]
+    return langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")), text
+
+
+def test_language_spans(spark, model):
+    known, text = model
+    rows = [(1, text("aa", 50), "?"), (2, text("bb", 50), "?"), (3, text("ru", 5), "?"), (4, text("aa", 40) + " " + text("bb", 70), "?"), (5, None, "?"), (6, "12 ... !", "?"), (7, "", "?"), (1, "KATOMI", "?")]
+    out = langid.predicted(spark.createDataFrame(rows, "doc_id long, text string, score string"), known).collect()
+    got = {(r["doc_id"], r["lang_pred"]) for r in out}
+    assert got == {(1, "aa"), (2, "bb"), (3, "ru"), (4, "bb"), (5, "und"), (6, "und"), (7, "und")}
+    by = {r["doc_id"]: r for r in out}
+    assert [(s["lang"], s["first_word"], s["n_words"]) for s in by[4]["spans"]] == [("aa", 0, 40), ("bb", 40, 70)]
+    assert all(0 <= r["score"] <= 1 for r in out) and by[5]["score"] == 0.0 and by[5]["spans"] == []
+    assert langid.predicted(spark.createDataFrame([], "doc_id long, text string"), known).count() == 0
+
+
+def test_nothing_to_learn(spark):
+    empty = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert langid.predicted(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), empty).first()["lang_pred"] == "und"
+
+
+def test_script_narrows(model):
+    import pyarrow as pa
+
+    known, _ = model
+    scores = known.word_scores(langid.words_of(pa.array(["привет"])))
+    assert known.languages[int(scores[0].argmax())] == "ru" and scores[0, 0] < scores[0, 2] - 90
+
+
+def test_viterbi_shortcut_is_exact():
+    rng = np.random.default_rng(3)
+
+    def plain(s, penalty):
+        value = s[0].copy()
+        for row in s[1:]:
+            value = np.maximum(value, value.max() - penalty) + row
+        return value.max()
+
+    for _ in range(300):
+        s = rng.normal(size=(rng.integers(1, 40), 3)) * rng.choice([0.5, 3])
+        s[: len(s) // 2, 0] += rng.choice([0, 1])
+        for penalty in (1.0, 6.0, 20.0):
+            path = langid.viterbi(s, penalty)
+            assert s[np.arange(len(s)), path].sum() - penalty * (path[1:] != path[:-1]).sum() == pytest.approx(plain(s, penalty))
+
+
+def test_held_out_accuracy(spark):
+    out = queries.op2_language(spark, "/root/testdata/sf0.001")
+    truth = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
+    rows = out.join(truth, "doc_id").where("held_out and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert rows[0] >= 0.97 and rows[1] > 30
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def test_secrets(spark):
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    words = lambda n: " ".join(rng.choice(["the", "report", "shows", "growth", "section", "figures"]) for _ in range(n))
+    rows, truth = [], set()
+    for i in range(240):
+        kind = i % 4
+        planted = [f"password={hexes(18)}", f'token = "{hexes(40)}"', "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)), f"report-section-figures-{i}"][kind]
+        rows.append((i, f"{words(20)} {planted} {words(20)}", "src/app"))
+        if kind < 3:
+            truth.add(i)
+    rows += [(900, None, "p"), (901, "", None), (902, "plain words only", "p"), (903, "x " * 30000 + "password=" + hexes(18), None)]
+    truth.add(903)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secrets.scan(df).collect()
+    assert {r["doc_id"] for r in out if r["is_secret"]} == truth
+    assert {r["doc_id"] for r in out} == truth | {i for i in range(240) if i % 4 == 3}
+    place = next(r for r in out if r["doc_id"] == 903)
+    assert place["place"] == 30000 and len(place["value"]) == 18
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_all_planted_keys_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = docs.where(F.col("text").rlike(r"AKIA[A-Z0-9]{16}|password=[0-9a-f]{18}|token = \"[0-9a-f]{40}\"")).select("doc_id").distinct()
+    found = queries.op7_secrets(spark, "/root/testdata/sf0.01").where("is_secret").select("doc_id").distinct()
+    assert {r[0] for r in found.collect()} == {r[0] for r in planted.collect()}
