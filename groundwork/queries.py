@@ -132,6 +132,28 @@ def fact_store_counts(spark: SparkSession, sf: str) -> DataFrame:
     return facts.store_counts(facts.dedup(facts.table_to_facts(_pieces(spark, sf))))
 
 
+def _html_filings(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations' filings as HTML: years over two columns, currency signs in cells of their own, spacers, a hidden block."""
+    each = _yearly(spark, sf).withColumn("filing", F.explode(F.sequence(F.greatest(F.col("y"), F.lit(2021)), F.least(F.col("y") + 2, F.lit(2025)))))
+    by = each.groupBy("k", "filing").agg(F.array_sort(F.collect_list(F.struct("y", "total", "fin"))).alias("c"))
+    row = lambda label, cell: F.concat(F.lit(f"<tr><td>{label}</td><td></td>"), F.array_join(F.transform("c", cell), ""), F.lit("</tr>"))
+    paired = lambda amount: F.concat(F.lit("<td>$</td><td>"), amount, F.lit("</td>"))
+    page = F.concat(
+        F.lit('<html><div style="display: none">junk</div><p>'), F.col("filing").cast("string"), F.lit("1231</p><p>Item 8. Financial Statements follow (in thousands)</p><table>"),
+        row("in thousands", lambda x: F.concat(F.lit("<th colspan=2>"), x["y"].cast("string"), F.lit("</th>"))), F.lit("<tr><td></td></tr>"),
+        row("Total revenues", lambda x: paired(F.format_number(x["total"], 0))), row("Cost of revenues", lambda x: paired(F.format_number(x["fin"], 0))), F.lit("</table></html>"),
+    )
+    name = F.concat(F.lit("N"), F.col("k").cast("string"))
+    return by.select(F.concat_ws("/", name, F.col("filing").cast("string")).alias("path"), name.alias("company"), page.alias("html"))
+
+
+@query(f"WITH {GRID_SQL} SELECT ticker, fiscal_year, line_item_standardized, line_item_raw, metric_value, unit, source_company_fy, source_section FROM raw WHERE row_no < 2")
+def clean_table(spark: SparkSession, sf: str) -> DataFrame:
+    """HTML tables cleaned to Markdown and read back as facts."""
+    pieces = filings.with_piece_index(filings.extract_pieces(_html_filings(spark, sf)))
+    return facts.table_to_facts(pieces).select("ticker", "fiscal_year", "line_item_standardized", "line_item_raw", "metric_value", "unit", "source_company_fy", "source_section")
+
+
 # ---------------------------------------------------------------- table scalars
 
 
