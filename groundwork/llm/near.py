@@ -2,18 +2,22 @@
 
 1. Each row gets a digest of its shingle multiset and its band hashes. Rows with
    equal multisets share a digest and go on as one: exact copies never meet.
-2. Rows that share a band are candidates. Each bucket compares its members with
-   its least member only, which is as many pairs as members, and the pairs that
-   overlap by ``threshold`` become links. Connected components follow.
-3. Buckets whose members are still in different components compare across
-   components: first with a few more members, then, for what is left apart, all
-   pairs of different components whose sizes allow the threshold. So a class of
-   near copies of any size costs a few comparisons a member, and no pair that
-   shares a band and could still join two classes is left out.
-
-Overlap is exact: occurrences of shingles are elements, and weighted Jaccard is
-the plain Jaccard of those. Two rows at similarity s share one of the 42 bands
-of 6 components with probability 1 - (1 - s^6)^42: above 0.999997 from 0.8 on.
+2. Rows that share a band are candidates. Their elements (occurrences of
+   shingles) are counted over all candidates. Elements that no other candidate
+   has cannot overlap with anything, and the others are counted in ``GROUPS`` by
+   hash. Two rows overlap by no more than the sum of the lesser counts, so rows
+   and pairs that cannot reach the threshold are out, with certainty.
+3. A bucket compares its members with one of them only, the one with the smallest
+   share of elements of its own, so the one nearest to what they have in common.
+   Pairs that overlap by ``threshold`` are links; connected components follow.
+   Buckets whose members are still in different components compare all pairs
+   across those that the bound still allows. So a class of near copies costs a few
+   comparisons a member, and no pair that shares a band and could still join two
+   classes is left out.
+
+Overlap is exact: weighted Jaccard of multisets is the plain Jaccard of their
+elements. Two rows at similarity s share one of the 30 bands of 5 components
+with probability 1 - (1 - s^5)^30: above 0.99999 from 0.8 on.
 
 Defined results: a null text counts as empty; a text without words is a class by
 itself. A text of one to four words has one shingle, all its words. The row with
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,16 @@ from groundwork.llm import bagminhash as bag
 from groundwork.llm.common import carried, written
 from groundwork.llm.components import components
 
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 30, 5
 
-#: Fixed random numbers; the member least by exclusive-or with one of them is a bucket's further centre.
-CENTRES = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
+#: Up to so many keys (a few dozen MB) the candidates' keys are sent to the texts; more of them are met by a shuffle.
+SENT_KEYS = 4_000_000
+
+#: Keys are below two to the power of KEY_BITS, so that a share in thousandths fits a long above them.
+KEY_BITS = 53
+
+#: Groups of elements by hash, for the bound on overlaps.
+GROUPS = [f"g{i}" for i in range(32)]
 
 
 def _as_longs(x: np.ndarray) -> pa.Array:
@@ -79,18 +89,44 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), _as_longs(element))], ["key", "elements"])
 
 
-def _links(pairs: DataFrame, rows: DataFrame, text_col: str, threshold: float) -> DataFrame:
-    """The pairs (``a``, ``b``) whose texts overlap by the threshold. Texts of paired rows alone are read again."""
-    pairs = written(pairs, "near-pairs")
-    paired = pairs.select(F.col("a").alias("_gw_key")).unionByName(pairs.select(F.col("b").alias("_gw_key"))).distinct()
-    texts = rows.select("_gw_key", text_col).join(paired, "_gw_key", "left_semi")
-    sets = written(texts.mapInArrow(_elements, "key long, elements array<long>"), "near-sets")
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("elements").alias(f"{x}_set"))
+def _element_sets(rows: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+    """``key, elements`` of the rows with these keys. Their texts alone are read again."""
+    few = keys.count() <= SENT_KEYS
+    texts = rows.select("_gw_key", text_col).join(F.broadcast(keys) if few else keys, "_gw_key", "left_semi")
+    return written(texts.mapInArrow(_elements, "key long, elements array<long>"), "near-sets")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, elements, own elements) as (key, number of elements, elements without the own ones, counts by group)."""
+    for batch in batches:
+        n, kept, counts = [], [], []
+        for elements, own in zip(batch.column(1), batch.column(2), strict=True):
+            values = elements.values.to_numpy()
+            n.append(len(values))
+            if own.is_valid:
+                values = np.setdiff1d(values, own.values.to_numpy(), assume_unique=True)
+            kept.append(values)
+            counts.append(np.bincount(values & (len(GROUPS) - 1), minlength=len(GROUPS)))
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in kept])]).astype(np.int32)
+        arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)])))
+        by_group = np.array(counts, np.int32).reshape(-1, len(GROUPS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), arrays, *(pa.array(np.ascontiguousarray(by_group[:, i])) for i in range(len(GROUPS)))], ["key", "n", "elements", *GROUPS])
+
+
+def _common_elements(sets: DataFrame) -> DataFrame:
+    """``key, n, elements, g0..``: of each candidate the number of its elements, those that others have, and these by group."""
+    single = sets.select("key", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
+    own = single.groupBy("key").agg(F.collect_list("e").alias("own"))
+    schema = "key long, n int, elements array<long>, " + ", ".join(f"{g} int" for g in GROUPS)
+    return written(sets.join(own, "key", "left").select("key", "elements", "own").mapInArrow(_shared, schema), "near-common")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (``a``, ``b``) whose elements overlap by the threshold."""
+    side = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("elements").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return written(
-        pairs.join(side("b"), "b").join(side("a"), "a").where(both >= threshold * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"),
-        "near-links",
-    )
+    found = pairs.join(side("b"), "b").join(side("a"), "a").where(both >= threshold * (F.col("a_n") + F.col("b_n") - both))
+    return written(found.select("a", "b"), "near-links")
 
 
 def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -100,33 +136,40 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     rows = written(df.select(id_col, text_col, *rest).mapInArrow(_sign, schema), "near-rows")
 
     least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_gw_key").alias("key")))
-    digests = rows.where("_gw_n > 0").groupBy("_gw_d1", "_gw_d2").agg(F.min("_gw_key").alias("rep"), least.alias("least"), F.count("*").alias("n"))
-    digests = written(digests, "near-digests")
-
-    signed = rows.select(F.col("_gw_key").alias("rep"), F.col("_gw_n").alias("size"), "_gw_bands").join(digests.select("rep"), "rep", "left_semi")
-    banded = signed.select("rep", "size", F.explode("_gw_bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(banded.join(shared, "bucket"), "near-members")
-
-    links = _links(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), rows, text_col, threshold)
-    labels = components(links)
-    fits = F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size")
-    for further in (True, False):
+    digests = written(rows.where("_gw_n > 0").groupBy("_gw_d1", "_gw_d2").agg(F.min("_gw_key").alias("rep"), least.alias("least"), F.count("*").alias("n")), "near-digests")
+
+    signed = rows.select(F.col("_gw_key").alias("rep"), "_gw_bands").join(digests.select("rep"), "rep", "left_semi")
+    banded = signed.select("rep", F.explode("_gw_bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    meeting = written(banded.join(shared, "bucket"), "near-meeting")
+    sets = _element_sets(rows, meeting.select(F.col("rep").alias("_gw_key")).distinct(), text_col)
+    sets = _common_elements(sets)
+    sizes = sets.select(F.col("key").alias("rep"), "n", F.size("elements").alias("common")).where(F.col("common") >= threshold * F.col("n"))
+    members = written(meeting.join(sizes, "rep"), "near-members")
+    counts = sets.select(F.col("key").alias("rep"), *GROUPS)
+
+    labels = None
+    own_share = F.floor(1000 * (F.col("n") - F.col("common")) / F.col("n")).cast("long")
+    centre = F.min(F.shiftleft(own_share, KEY_BITS).bitwiseOR(F.col("rep"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    bound = lambda xs: reduce(add, xs) * (1 + threshold) >= threshold * (F.col("a_n") + F.col("b_n"))
+    fits = bound([F.least("a_common", "b_common")]) & bound([F.least(f"a_{g}", f"b_{g}") for g in GROUPS])
+    for to_centre in (True, False):
         # Buckets that hold members of more than one component.
-        labelled = members.select("bucket", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        state = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.min(F.col("rep").bitwiseXOR(F.lit(c))).alias(f"c{i}") for i, c in enumerate(CENTRES)))
-        apart = written(labelled.join(state.where("lo <> hi"), "bucket"), "near-apart")
+        labelled = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        state = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("centre")).where("lo <> hi")
+        apart = written(labelled.join(state.select("bucket", "centre"), "bucket").join(counts, "rep"), "near-apart")
         if apart.isEmpty():
             break
-        side = lambda df, x: df.select("bucket", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "size", "label")))
-        centre = reduce(or_, (F.col("rep").bitwiseXOR(F.lit(c)) == F.col(f"c{i}") for i, c in enumerate(CENTRES)))
-        across = F.col("a_label") != F.col("b_label") if further else F.col("a_label") < F.col("b_label")
-        found = side(apart, "b").join(side(apart.where(centre) if further else apart, "a"), "bucket").where(across & fits)
-        pairs = found.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
-        more = _links(pairs, rows, text_col, threshold)
-        if not more.isEmpty():
-            links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
-            labels = components(links)
+        side = lambda df, x: df.select("bucket", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "common", "label", *GROUPS)))
+        first = apart.where("rep = centre") if to_centre else apart
+        across = F.col("a_label") != F.col("b_label") if to_centre else F.col("a_label") < F.col("b_label")
+        found = side(apart, "b").join(side(first, "a"), "bucket").where(across & fits)
+        links = _links(found.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), sets, threshold)
+        if labels is not None:
+            links = links.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = components(links)
+    if labels is None:
+        labels = digests.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
 
     named = digests.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = named.groupBy("label").agg(F.min("least").alias("best"), F.sum("n").alias("class_size"))
