@@ -129,8 +129,11 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return written(found.select("a", "b"), "near-links")
 
 
-def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Every row of ``df`` with ``class_id`` (the least id of its class), ``class_size`` and ``kept``."""
+RESULTS = ["class_id", "class_size", "kept"]
+
+
+def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Every row with its columns and the results under names of our own (``_gw_``)."""
     rest = carried(df, id_col, text_col)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, text_col, *rest)), "_gw_key long, _gw_d1 long, _gw_d2 long, _gw_n long, _gw_bands array<long>"])
     rows = written(df.select(id_col, text_col, *rest).mapInArrow(_sign, schema), "near-rows")
@@ -173,13 +176,19 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     named = digests.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = named.groupBy("label").agg(F.min("least").alias("best"), F.sum("n").alias("class_size"))
-    by_digest = named.select("_gw_d1", "_gw_d2", "label").join(classes, "label").select(F.col("_gw_d1"), F.col("_gw_d2"), "best", "class_size")
+    by_digest = named.select("_gw_d1", "_gw_d2", "label").join(classes, "label").select("_gw_d1", "_gw_d2", F.col("best").alias("_gw_best"), F.col("class_size").alias("_gw_class_size"))
     filled = rows.where("_gw_n > 0").join(by_digest, ["_gw_d1", "_gw_d2"])
-    out = filled.select(id_col, text_col, *rest, F.col("best.id").alias("class_id"), "class_size", (F.col("best.key") == F.col("_gw_key")).alias("kept"))
-    alone = rows.where("_gw_n = 0").select(id_col, text_col, *rest, F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    out = filled.select(id_col, text_col, *rest, F.col("_gw_best.id").alias("_gw_class_id"), "_gw_class_size", (F.col("_gw_best.key") == F.col("_gw_key")).alias("_gw_kept"))
+    alone = rows.where("_gw_n = 0").select(id_col, text_col, *rest, F.col(id_col).alias("_gw_class_id"), F.lit(1).cast("long").alias("_gw_class_size"), F.lit(True).alias("_gw_kept"))
     return out.unionByName(alone)
 
 
+def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """Every row of ``df`` with ``class_id`` (the least id of its class), ``class_size`` and ``kept``; columns of ``df`` with these names give way."""
+    own = [c for c in df.columns if c not in RESULTS]
+    return _classified(df, id_col, text_col, threshold).select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row of each class, with the columns of ``df``."""
-    return classified(df, id_col, text_col, threshold).where("kept").select(*df.columns)
+    return _classified(df, id_col, text_col, threshold).where("_gw_kept").select(*df.columns)
