@@ -154,8 +154,9 @@ def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) ->
     labels = None
     own_share = F.floor(1000 * (F.col("n") - F.col("common")) / F.col("n")).cast("long")
     centre = F.min(F.shiftleft(own_share, KEY_BITS).bitwiseOR(F.col("rep"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    bound = lambda xs: reduce(add, xs) * (1 + threshold) >= threshold * (F.col("a_n") + F.col("b_n"))
-    fits = bound([F.least("a_common", "b_common")]) & bound([F.least(f"a_{g}", f"b_{g}") for g in GROUPS])
+    # The same form as the test for a link, so that a pair of exactly the threshold is not lost to rounding.
+    could = lambda most: most >= threshold * (F.col("a_n") + F.col("b_n") - most)
+    fits = could(F.least("a_common", "b_common")) & could(reduce(add, (F.least(f"a_{g}", f"b_{g}") for g in GROUPS)))
     for to_centre in (True, False):
         # Buckets that hold members of more than one component.
         labelled = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

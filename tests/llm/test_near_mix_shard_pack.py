@@ -80,6 +80,13 @@ def test_near_edges(spark):
     assert near.classified(df.where("doc_id = 4")).count() == 2
 
 
+def test_exactly_the_threshold_is_a_link(spark):
+    # 36 shingles of which 32 are shared with each other copy: 32 / 40 is 0.8.
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:36], *(f"x{i}y{j}" for j in range(4))])) for i in range(6)]
+    assert {r["class_id"] for r in near.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 @pytest.mark.parametrize("top", [1, 5, 40, 300])
 def test_signatures_are_unbiased(top):
     rng = np.random.default_rng(top)
