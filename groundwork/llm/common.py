@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than the six ASCII blanks.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+from groundwork.sources.shared import shared_dir, written
 
-    Only where that setting is absent, as in tests on one machine, a folder of
-    our own is made and set for the rest of the session.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if found := spark.sparkContext.getCheckpointDir():
-            return found
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
+__all__ = ["WORD", "carried", "shared_dir", "table", "word_count", "written"]
 
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
-
-    This cuts lineage in a way that survives lost executors, and lets later
-    steps read only the columns that they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of characters other than the six ASCII blanks.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
