@@ -2,11 +2,11 @@
 
 Every URL is cut into host and path. A list of rules (a policy file, so small)
 decides where one fits. For the rest, paths become templates. Digit runs within
-a segment are one wildcard ``#``; then, level by level from the host down,
-siblings become ``*`` when a parent has more than ``max_children`` of them, or
-when their share of bad labelled pages does not differ from their parent's by
-more than ``z`` standard errors: such branches are merged. Branches that do
-differ keep their name. A template is blocked when the share of bad among its
+a segment are one wildcard ``#``; then, level by level from the host down to the
+last segment, siblings become ``*`` when their share of bad labelled pages does
+not differ from their parent's by more than ``z`` standard errors: such branches
+are merged. Branches that do differ keep their name, however many siblings there
+are. A template is blocked when the share of bad among its
 labelled pages, smoothed by ``strength`` pages of the overall share, is over
 ``threshold``.
 
@@ -15,13 +15,16 @@ Its totals are partial aggregates and joins, never windows, so a host with a
 third of all pages is summed before it moves. Only DataFrame operations are used.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and
-is allowed unless the empty host's template is impure. Pages without a label
+is allowed unless the empty host's template is impure. Slashes in a row are one,
+and those at the end of a path count for nothing. Pages without a label
 count for no purity. Several labels of a page count once each. Repeated rows get
 a row each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +32,6 @@ from groundwork.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Levels of the tree below the host; what lies deeper is one tail segment.
-DEPTH = 4
-
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
@@ -54,13 +54,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _levels(path: Column) -> Column:
-    """``DEPTH`` segments with digit runs as ``#``; missing ones are empty."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/", ""), "[0-9]+", "#")
-    parts = F.split(plain, "/", DEPTH)
-    return F.concat(parts, F.array_repeat(F.lit(""), F.lit(DEPTH) - F.size(parts)))
+    """All segments, with digit runs as ``#``; one empty segment for an empty path."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", ""), "[0-9]+", "#")
+    return F.split(plain, "/")
 
 
-def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
+def templates(pages: DataFrame, z: float) -> DataFrame:
     """Host, digit-free ``levels``, and ``template`` for ``pages`` (host, path, bad: true, false or null) with counts.
 
     Returns one row for each distinct host and levels.
@@ -69,17 +68,29 @@ def templates(pages: DataFrame, max_children: int, z: float) -> DataFrame:
     tree = pages.groupBy("host", _levels(F.col("path")).alias("levels")).agg(one(F.col("bad").isNotNull()).alias("n"), one(F.col("bad")).alias("b"))
     # Each level reads the one before more than once, hence the written tables; they hold counts, not pages.
     tree = written(tree.withColumn("prefix", F.lit("")), "url-tree")
-    for depth in range(DEPTH):
-        node = tree.withColumn("child", F.element_at("levels", depth + 1))
-        children = node.groupBy("host", "prefix", "child").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"))
+    rounds, depth = [], 0
+    while True:
+        # A path that has ended is its parent's child without a name.
+        node = tree.withColumn("child", F.coalesce(F.get("levels", F.lit(depth)), F.lit("")))
+        children = node.groupBy("host", "prefix", "child").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"), F.count("*").alias("leaves"))
         parents = children.groupBy("host", "prefix").agg(F.count("*").alias("k"), F.sum("cn").alias("pn"), F.sum("cb").alias("pb"))
         share = F.expr("pb / pn")
         # |cb - cn * share| over the standard deviation of cb at that share.
         apart = (F.col("cn") > 0) & (F.abs(F.col("cb") - F.col("cn") * share) > z * F.sqrt(F.col("cn") * share * (1 - share)))
-        merged = F.when((F.col("child") == "") | (F.col("k") == 1), F.col("child")).when((F.col("k") > max_children) | ~F.coalesce(apart, F.lit(False)), "*").otherwise(F.col("child"))
-        named = children.join(parents, ["host", "prefix"]).select("host", "prefix", "child", F.concat_ws("/", "prefix", merged).alias("next"))
-        tree = written(node.join(named, ["host", "prefix", "child"]).select("host", "levels", "n", "b", F.col("next").alias("prefix")), "url-tree")
-    return tree.withColumnRenamed("prefix", "template")
+        merged = F.when((F.col("child") == "") | (F.col("k") == 1) | F.coalesce(apart, F.lit(False)), F.col("child")).otherwise("*")
+        joined = F.when(F.col("child") == "", F.col("prefix")).otherwise(F.concat_ws("/", "prefix", merged))
+        named = children.join(parents, ["host", "prefix"]).select("host", "prefix", "child", "leaves", joined.alias("next"))
+        # Below a node with one leaf every child is an only child, so that the rest of its path is known.
+        crowded = named.where("child <> ''").groupBy("host", "next").agg(F.sum("leaves").alias("all")).where("all > 1").select("host", "next", F.lit(True).alias("crowded"))
+        named = named.join(crowded, ["host", "next"], "left").withColumn("open", (F.col("child") != "") & F.coalesce("crowded", F.lit(False)))
+        rest = F.slice("levels", F.lit(depth + 2), F.greatest(F.size("levels") - (depth + 1), F.lit(0)))
+        place = F.when(F.col("open") | (F.col("child") == ""), F.col("next")).otherwise(F.concat_ws("/", "next", rest))
+        tree = written(node.join(named, ["host", "prefix", "child"]).select("host", "levels", "n", "b", place.alias("prefix"), "open"), "url-tree")
+        rounds.append(tree)
+        tree, depth = tree.where("open").drop("open"), depth + 1
+        if tree.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, rounds).where("not open").drop("open").withColumnRenamed("prefix", "template")
 
 
 def judged(
@@ -88,7 +99,6 @@ def judged(
     labels: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
-    max_children: int = 20,
     z: float = 2.58,
     strength: float = 5.0,
     threshold: float = 0.5,
@@ -100,7 +110,7 @@ def judged(
     cut = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = labels.where(F.col("bad").isNotNull()).select(id_col, "bad")
     overall = known.agg(F.avg(F.col("bad").cast("double"))).first()[0] or 0.0
-    tree = templates(cut.join(known, id_col, "left"), max_children, z)
+    tree = templates(cut.join(known, id_col, "left"), z)
     pure = tree.groupBy("host", "template").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
     blocked = pure.where((F.col("tb") + strength * overall) / (F.col("tn") + strength) > threshold).select("host", "template", F.lit(True).alias("impure"))
     decided = tree.select("host", "levels", "template").join(blocked, ["host", "template"], "left")

@@ -56,6 +56,24 @@ def test_templates(spark):
     assert urls.judged(pages.limit(0), RULES, labels).count() == 0
 
 
+def test_templates_of_any_fan_out_and_depth(spark):
+    # 24 good sections and a bad one, and a bad branch below the fifth segment, among shorter and longer paths.
+    letters = "abcdefghijklmnopqrstuvwxy"
+    urls_of = {f"https://wide.org/{s}/{i}.html": s == "y" for s in letters for i in range(40)}
+    urls_of |= {f"https://deep.org/a/b/c/d/{kind}/x/{letters[i % 25]}{letters[i // 25]}": kind == "bad" for kind in ("bad", "good") for i in range(200)}
+    urls_of |= {"https://deep.org/a/b": False, "https://deep.org/a/b/": False, "https://deep.org": False, "https://deep.org/" + "q/" * 40 + "end": False}
+    rows = list(enumerate(urls_of))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, urls_of[u]) for i, u in rows], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in urls.judged(pages, [], labels).collect()}
+    assert len(got) == len(rows)
+    assert {u: got[i]["verdict"] for i, u in rows} == {u: "block" if bad else "allow" for u, bad in urls_of.items()}
+    by = {u: got[i]["template"] for i, u in rows}
+    assert by["https://wide.org/y/7.html"] == "/y/#.html" and by["https://wide.org/a/7.html"] == by["https://wide.org/b/7.html"] == "/*/#.html"
+    assert by["https://deep.org/a/b/c/d/bad/x/aa"].endswith("/bad/x/*")
+    assert by["https://deep.org/a/b"] == by["https://deep.org/a/b/"] and by["https://deep.org"] == ""
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     tricky = "WARC/1.1\r\nContent-Length: 5\r\n\r\nWARC/1.1\r\n\r\n\r\n" * 40
