@@ -1,7 +1,9 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of 12 or more letters, digits and ``+/_-`` with a digit in
-it, at the end of a word. Features: length, changes between character classes,
+it, anywhere in a word; a value of any length and kind assigned to a secret's
+name, in one word or over blanks; a password in a URL; or the header of a
+private key block. Features: length, changes between character classes,
 how likely its letter and digit transitions are in ordinary words, how much of
 it dictionary words cover, shares of digits and capitals, distinct characters,
 what its path says, and what the words around it say. The forest is trained from
@@ -32,9 +34,25 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import written
 
-CANDIDATE = r"([A-Za-z0-9+/_-]{12,})[^A-Za-z0-9]*$"
 BLANKS = r"[\x20\x09-\x0D]+"
 SECRET_NAMES = "(?i)(passw|pwd|secret|token|api|key|auth|credential)"
+_RUN = "[A-Za-z0-9+/_-]"
+LONG_RUN = _RUN + "{12,}+"
+#: A secret's name within an identifier, and what may stand between it and its value.
+_NAME = f"(?={_RUN}*{SECRET_NAMES.replace('(?i)(', '(?i:')}){_RUN}++[\"'\\\\\\])]*"
+_OPEN = "[\"'\\\\(\\[]*"
+_SET = "(?:[:=]+>?|%3[dD])" + _OPEN
+#: Up to the closing quote; without one, up to what separates values, and not with a full stop at its end.
+_VALUE = "(?:(?<=\")[^\"]+|(?<=')[^']+|[^\"'&;,<>(){}\\[\\]=:.](?:[^\"'&;,<>(){}\\[\\]]*[^\"'&;,<>(){}\\[\\].])?)"
+_FIXED = rf"(://[^/:@]*:)([^/@]+)(?=@)|({LONG_RUN})"
+#: Candidates of a word, and of a word whose start is assigned to a name before it.
+IN_WORD = (f"({_NAME}{_SET})({_VALUE})|{_FIXED}", "$1$3\t$2$4$5\n")
+AT_START = (f"({_NAME}{_SET})({_VALUE})|^([:=]*>?{_OPEN})({_VALUE})|{_FIXED}", "$1$3$5\t$2$4$6$7\n")
+#: Two words, a tab and the word after them, where the name and its value are apart.
+ACROSS = rf"{_NAME}(?: ?{_SET}\t|\t{_SET})"
+ASSIGNED = rf"{_NAME} ?{_SET} ?{_OPEN}$"
+IN_URL = "://[^/:@]*:$"
+KEY_BLOCK = "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 TEST_PATHS = "(?i)(test|example|sample|fixture|mock|doc)"
 
 #: Features of a candidate by itself and by its surroundings.
@@ -43,27 +61,55 @@ FEATURES = [*PLAIN, "transition", "coverage"]
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row for each candidate: id, ``place`` (word number), ``value``, and what stands around it."""
+    """One row for each candidate: id, ``place`` (word number), ``value``, and what stands around it.
+
+    Blanks cannot occur in a word, so a tab and a line end mark its candidates.
+    Around a candidate stand the two words before and the next one, or the
+    candidates of the same word next to it, so that a long word is read once.
+    """
     words = F.split(F.col(text_col), BLANKS)
     near = lambda i, step: F.coalesce(F.get("words", i + F.lit(step)), F.lit(""))
+    lead = lambda i: F.concat_ws(" ", near(i, -2), near(i, -1))
+    across = lambda w, i: (near(i, -1).rlike("[:=]") | w.rlike("^[:=]")) & F.concat(lead(i), F.lit("\t"), w).rlike(ACROSS)
+    header = lambda w, i: F.when(w.endswith("-----BEGIN"), F.regexp_extract(F.array_join(F.slice("words", i + 1, F.lit(6)), " "), KEY_BLOCK, 0))
+    in_word = lambda w: (w.rlike("[0-9]") & w.rlike(LONG_RUN)) | (w.rlike("[:=]|%3[dD]") & w.rlike(SECRET_NAMES)) | w.rlike(_FIXED.partition("|")[0])
     hit = F.transform(
         "words",
         lambda w, i: F.when(
-            w.rlike("[0-9]") & w.rlike(CANDIDATE),
-            F.struct(i.alias("place"), w.alias("word"), F.concat_ws(" ", near(i, -2), near(i, -1)).alias("before"), near(i, 1).alias("after")),
+            in_word(w) | across(w, i) | w.endswith("-----BEGIN"),
+            F.struct(i.alias("place"), w.alias("word"), lead(i).alias("lead"), near(i, 1).alias("next"), across(w, i).alias("assigned"), header(w, i).alias("header")),
         ),
     )
-    found = (
+    marked = F.when(F.col("assigned"), F.regexp_replace("word", *map(F.lit, AT_START))).otherwise(F.regexp_replace("word", *map(F.lit, IN_WORD)))
+    plain = lambda c: F.translate(c, "\n", "")
+    tail = lambda p: F.substring_index(p, "\n", -1)
+    each = F.transform(
+        "pieces",
+        lambda p, j: F.when(
+            j > 0,
+            F.struct(
+                F.substring_index(p, "\n", 1).alias("value"),
+                F.when(j == 1, F.concat("lead", F.lit(" "), F.get("pieces", F.lit(0)))).otherwise(plain(F.get("pieces", j - 1))).alias("before"),
+                F.concat(tail(p), F.coalesce(plain(F.get("pieces", j + 1)), F.concat(F.lit(" "), "next"))).alias("after"),
+            ),
+        ),
+    )
+    block = F.when(F.col("header") != "", F.struct(F.col("header").alias("value"), F.col("lead").alias("before"), F.lit("").alias("after")))
+    return (
         df.select(id_col, F.col(path_col).cast("string").alias("path"), F.col(text_col))
-        .where(F.col(text_col).rlike("[0-9]"))
+        .where(F.col(text_col).rlike("[0-9@]") | F.col(text_col).rlike(SECRET_NAMES))
         .select(id_col, "path", words.alias("words"))
         .select(id_col, "path", F.explode(F.array_compact(hit)).alias("hit"))
         .select(id_col, "path", "hit.*")
-        .withColumn("value", F.regexp_extract("word", CANDIDATE, 1))
-        .where(F.col("value").rlike("[0-9]"))
+        .withColumn("pieces", F.split(marked, "\t"))
+        .select(id_col, "path", "place", F.explode(F.array_compact(F.concat(each, F.array(block)))).alias("found"))
+        .select(id_col, "path", "place", "found.*")
+        .where((F.col("value").rlike("[0-9]") & F.col("value").rlike(f"^{LONG_RUN}$")) | F.col("before").rlike(ASSIGNED) | _in_url() | F.col("value").rlike(KEY_BLOCK))
     )
-    key = F.expr("substring(word, 1, instr(word, value) - 1)")
-    return found.select(id_col, "path", "place", "value", F.concat_ws(" ", "before", key).alias("before"), "after")
+
+
+def _in_url() -> Column:
+    return F.col("before").rlike(IN_URL) & F.col("after").startswith("@")
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -146,10 +192,15 @@ class Classifier:
 
 
 def likely_labels(found: DataFrame) -> DataFrame:
-    """Labels by rule, where no reviewed findings exist: a value assigned to a secret's name, or one in a provider's key format, is a finding."""
-    named = F.col("before").rlike(SECRET_NAMES + r"[A-Za-z_]*\W*[=:]")
-    keyed = F.col("value").rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})$")
-    return found.withColumn("label", (named | keyed).cast("int"))
+    """Labels by rule, where no reviewed findings exist.
+
+    A value assigned to a secret's name is a finding, but not a plain word after
+    a colon and a blank, as in prose; so is a URL's password, a private key
+    block, and a value in a provider's key format.
+    """
+    named = F.col("before").rlike(ASSIGNED) & (F.col("value").rlike("[^A-Za-z]") | ~F.col("before").rlike(": $"))
+    keyed = F.col("value").rlike(f"^(AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|{KEY_BLOCK})$")
+    return found.withColumn("label", (named | keyed | _in_url()).cast("int"))
 
 
 def scan(
