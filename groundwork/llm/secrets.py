@@ -9,10 +9,11 @@ it dictionary words cover, shares of digits and capitals, distinct characters,
 what its path says, and what the words around it say. The forest is trained from
 labelled findings, candidates with a 0/1 label.
 
-The classifier (dictionary, transitions, forest) is fitted on bounded samples:
-``sample_rows`` texts for words and transitions, ``labelled_rows`` findings for
-the forest, a share of rows by a hash of the id in either case. The dictionary
-has ``dictionary_words`` words at most, the transition table 36 times 36.
+Dictionary and transition table are counted over all documents: the dictionary
+has the words that stand in at least ``least_share`` of the texts (and in two),
+so that it does not change with the number of texts; the transition table has 36
+times 36 rows. Only the forest is fitted on a bounded sample, ``labelled_rows``
+findings by a hash of the row.
 Candidate search reads every whole text. Only DataFrame operations and Spark's
 own forest are used.
 
@@ -146,18 +147,18 @@ class Classifier:
         self.constant = 1.0
 
     @staticmethod
-    def learn_words(df: DataFrame, sample_rows: int, dictionary_words: int, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-        share = sample_rows / max(1, df.count())
-        part = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
-        words = part.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").count()
+    def learn_words(df: DataFrame, least_share: float, text_col: str = "text") -> Classifier:
+        # Sorted, the first of equal words counts its text.
+        each = F.array_sort(F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda w: w != ""))
+        marked = F.transform("each", lambda w, i: F.struct(w.alias("word"), (~F.get("each", i - 1).eqNullSafe(w)).cast("long").alias("first")))
+        words = df.select(each.alias("each")).select(F.explode(marked).alias("w")).groupBy("w.word").agg(F.count("*").alias("count"), F.sum("w.first").alias("texts"))
         words = written(words, "secret-words")
         pairs = words.select(F.explode(_pairs(F.col("word"))).alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n"))
         lead = F.substring("pair", 1, 1)
         totals = pairs.groupBy(lead.alias("lead")).agg(F.sum("n").alias("all"))
         # At most 36 x 36 rows.
         likely = pairs.join(totals, lead == F.col("lead")).select("pair", F.log((F.col("n") + 0.5) / (F.col("all") + 18)).alias("logp"))
-        # At most `dictionary_words` rows.
-        known = words.where(F.length("word") >= 3).orderBy(F.col("count").desc(), "word").limit(dictionary_words).select("word")
+        known = words.where((F.length("word") >= 3) & (F.col("texts") >= max(2.0, least_share * df.count()))).select("word")
         return Classifier(written(likely, "secret-transitions"), written(known, "secret-dictionary"))
 
     def features(self, found: DataFrame) -> DataFrame:
@@ -166,7 +167,8 @@ class Classifier:
         pairs = found.select("row", F.explode(_pairs(F.col("value"))).alias("pair")).join(F.broadcast(self.transitions), "pair", "left")
         likely = pairs.groupBy("row").agg(F.avg(F.coalesce("logp", unseen)).alias("transition"))
         runs = found.select("row", F.explode(F.split(F.lower("value"), "[^a-z]+")).alias("word")).where("length(word) >= 3")
-        covered = runs.join(F.broadcast(self.dictionary), "word", "left_semi").groupBy("row").agg(F.sum(F.length("word")).alias("covered"))
+        # No broadcast hint: the dictionary is a written table, which Spark sends or shuffles by its size.
+        covered = runs.join(self.dictionary, "word", "left_semi").groupBy("row").agg(F.sum(F.length("word")).alias("covered"))
         joined = described(found).join(likely, "row", "left").join(covered, "row", "left")
         return joined.withColumn("transition", F.coalesce("transition", unseen)).withColumn("coverage", F.coalesce("covered", F.lit(0)) / F.col("length")).drop("covered")
 
@@ -210,9 +212,8 @@ def scan(
     text_col: str = "text",
     path_col: str = "source",
     threshold: float = 0.5,
-    sample_rows: int = 5000,
     labelled_rows: int = 20_000,
-    dictionary_words: int = 5000,
+    least_share: float = 0.0005,
 ) -> DataFrame:
     """Every candidate with its features, ``probability`` and ``is_secret``.
 
@@ -220,7 +221,7 @@ def scan(
     ``after``, ``label``); without them the candidates' own rule labels are used.
     """
     found = written(candidates(df, id_col, text_col, path_col).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    model = Classifier.learn_words(df, sample_rows, dictionary_words, id_col, text_col).learn_findings(likely_labels(found) if labelled is None else labelled, labelled_rows)
+    model = Classifier.learn_words(df, least_share, text_col).learn_findings(likely_labels(found) if labelled is None else labelled, labelled_rows)
     return model.scored(found).withColumn("is_secret", F.col("probability") >= threshold)
 
 

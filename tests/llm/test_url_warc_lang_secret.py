@@ -226,3 +226,13 @@ def test_candidates_anywhere_in_a_word(spark):
         got[r["doc_id"]].append((r["place"], r["value"]))
         assert r["label"] == (r["value"] not in ("my_long_api_key_name12", "MIIEowIBAAKCAQEA1234"))
     assert [sorted(v) for v in got.values()] == list(cases.values())
+
+
+def test_dictionary_is_of_all_documents(spark):
+    # 5400 words in six texts each of 10,800: all of them are known, whatever the number of words and texts.
+    letters = "abcdefghijklmnopqr"
+    words = ["z" + a + b + c for a in letters for b in letters for c in letters][:5400]
+    rows = [(i, " ".join(words[(3 * i + j) % 5400] for j in range(3)) + f" {'key=' * (i % 2)}{words[i % 5400]}1234567890", "p") for i in range(10_800)]
+    known = {*words}
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows) and {r["coverage"] for r in out} == {4 / 14} and {r["value"][:4] for r in out} == known
