@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundwork.llm import exact, mixing, near, packing, quality
 from groundwork.llm.common import table, written
@@ -37,8 +38,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn for the target weights of domains, languages and sources."""
-    rows = written(mix_rows(docs), "mix-rows")
-    return mixing.selected(docs, mixing.drawn(rows, MIX_LEVELS, MIX_WEIGHTS, **MIX))
+    # Ids may be null or repeated, so each row has a key of its own, fixed by writing it.
+    docs = written(docs.withColumn("_gw_row", F.monotonically_increasing_id()), "mix-docs")
+    rows = written(mix_rows(docs, "_gw_row"), "mix-rows")
+    return mixing.selected(docs, mixing.drawn(rows, MIX_LEVELS, MIX_WEIGHTS, **MIX, row_col="_gw_row"), "_gw_row")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

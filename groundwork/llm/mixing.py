@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 RANGES = 4096
 
 
-def leaf_rows(df: DataFrame, levels: dict[str, Column], tokens: Column, id_col: str = "doc_id") -> DataFrame:
-    """Id, level names and ``n_tokens`` of every row of ``df``: all that mixing needs of the texts."""
+def leaf_rows(df: DataFrame, levels: dict[str, Column], tokens: Column, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """Id (and ``row_col``), level names and ``n_tokens`` of every row of ``df``: all that mixing needs of the texts."""
     named = [F.coalesce(c.cast("string"), F.lit("unknown")).alias(name) for name, c in levels.items()]
-    return df.select(F.col(id_col), *named, F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
+    return df.select(F.col(id_col), *([row_col] if row_col else []), *named, F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def seeded(seed: int, epoch: Column, id_col: Column) -> Column:
@@ -72,11 +72,11 @@ def allocate(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str,
     return tree.drop("_gw_cap").withColumnRenamed("_gw_given", "budget")
 
 
-def drawn(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+def drawn(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int, seed: int, id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
     """``rows`` (id, levels, ``n_tokens``) with ``full_epochs``, ``prefix_tokens`` of the next epoch, and ``drawn_tokens``.
 
     The budget is ``budget_share`` of all tokens. ``rows`` is read more than
-    once and should be a written table.
+    once and should be a written table. A ``row_col`` orders rows that share an id.
     """
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
     total = F.floor(F.sum("tokens").over(Window.partitionBy()) * F.lit(budget_share)).cast("long")
@@ -95,7 +95,7 @@ def drawn(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]]
         .withColumn("_gw_start", F.coalesce(F.sum("_gw_sum").over(Window.partitionBy(*levels).orderBy("_gw_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("_gw_sum")
     )
-    inside = Window.partitionBy(*cell).orderBy("_gw_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*cell).orderBy("_gw_key", "n_tokens", *([row_col] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_gw_prefix") - F.col("_gw_start") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return (
         ordered.join(starts, cell)
@@ -105,6 +105,14 @@ def drawn(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]]
     )
 
 
-def selected(df: DataFrame, draws: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` of which tokens were drawn, each once; rows with one id are taken together."""
-    return df.join(draws.where("drawn_tokens > 0").select(id_col), id_col, "left_semi").select(*df.columns)
+def selected(df: DataFrame, draws: DataFrame, row_col: str) -> DataFrame:
+    """The rows of ``df`` of which tokens were drawn, without ``row_col``: one copy for each epoch, of the last one too if only begun.
+
+    ``row_col`` tells the rows of ``df`` and ``draws`` apart and is never null.
+    Whole texts are kept, also the one that the end of a leaf's budget cuts.
+    """
+    copies = F.col("full_epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
+    taken = draws.where("drawn_tokens > 0").select(row_col, copies.cast("int").alias("_gw_copies"))
+    own = [c for c in df.columns if c != row_col]
+    each = F.explode(F.array_repeat(F.lit(0), F.col("_gw_copies"))).alias("_gw_copy")
+    return df.join(taken, row_col).select(*own, each).select(*own)

@@ -82,10 +82,10 @@ MIX_WEIGHTS = {"domain": {"web": 40, "books": 30, "news": 20, "forum": 10}, "lan
 MIX = {"budget_share": 0.6, "max_epochs": 3, "seed": 17}
 
 
-def mix_rows(docs: DataFrame) -> DataFrame:
+def mix_rows(docs: DataFrame, row_col: str | None = None) -> DataFrame:
     number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)")
     domain = F.when(number < 5, "web").when(number < 10, "books").when(number < 15, "news").when(number.isNotNull(), "forum")
-    return mixing.leaf_rows(docs, {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, word_count(F.col("text")))
+    return mixing.leaf_rows(docs, {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, word_count(F.col("text")), row_col=row_col)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,19 @@ def test_clash_of_names(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"key": F.lit(1), "label": F.lit("x"), "n": F.lit(2), "kept": F.lit(False), "size": F.lit(0), "domain": F.lit("d")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_mixing_keeps_rows_without_an_id(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(None if i % 2 else 7, f"text {i} " + "wort " * 20, "en", "src1", 0) for i in range(40)]
+    kept = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, schema), SF).collect()
+    # Four fifths of the tokens of equally long texts; each row is drawn for itself.
+    assert len(kept) == len({r["text"] for r in kept}) == 32
+    assert any(r["doc_id"] is None for r in kept)
+
+
+def test_selected_repeats_epochs(spark):
+    docs = spark.createDataFrame([(0, None, "a"), (1, 5, "b"), (2, 5, "c")], "row long, doc_id long, text string")
+    draws = spark.createDataFrame([(0, 2, 3, 13), (1, 1, 0, 5), (2, 0, 0, 0)], "row long, full_epochs long, prefix_tokens long, drawn_tokens long")
+    out = mixing.selected(docs, draws, "row")
+    assert out.columns == ["doc_id", "text"] and sorted(r["text"] for r in out.collect()) == ["a", "a", "a", "b"]
