@@ -6,6 +6,11 @@ the first arrival it sees below the document's weights, so two documents share
 a component with a probability of just their weighted Jaccard similarity.
 
 The weights are discretised by dyadic levels: (0, 1], (1, 2], (2, 4], (4, 8] ...
+The published method splits one process over the whole range of weights into halves,
+and these again, as its points need them. Here the hierarchy is laid flat: each
+dyadic level has a process of its own, which by the splitting property of Poisson
+processes is the same in distribution, and within a level points are thinned by the
+unit that they draw instead of split further. Signatures are unbiased either way.
 All components of one shingle and level share one process; each of its points
 draws the component and the unit of weight that it belongs to, and counts only
 when the document's weight reaches that unit. Points come in order of time, so a

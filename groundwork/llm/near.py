@@ -7,23 +7,39 @@
    has cannot overlap with anything, and the others are counted in ``GROUPS`` by
    hash. Two rows overlap by no more than the sum of the lesser counts, so rows
    and pairs that cannot reach the threshold are out, with certainty.
-3. A bucket compares its members with one of them only, the one with the smallest
-   share of elements of its own, so the one nearest to what they have in common.
-   Pairs that overlap by ``threshold`` are links; connected components follow.
-   Buckets whose members are still in different components compare all pairs
-   across those that the bound still allows. So a class of near copies costs a few
-   comparisons a member, and no pair that shares a band and could still join two
-   classes is left out.
+3. A bucket compares its members with its centre only, the member with the
+   smallest share of elements of its own. Pairs that overlap by ``threshold`` are
+   links; connected components follow.
+4. Where a bucket still holds several components, its members are told apart by
+   their differences from the centre: the elements that only one of the two has.
+   Two members differ by what their differences do not share, so a member that
+   is no link of the centre can only link to one with which it shares a
+   difference, and that one must share nearly half of its own (``needed``). First
+   each difference compares its holders with the one nearest to the centre; then
+   what is still apart is joined on differences, of which one side offers just so
+   few, rarest first, that no link can be missed.
+
+So a class of near copies costs a few comparisons a member, what all copies have
+in common is no key of any join, and no pair that shares a band and could still
+join two classes is left out.
 
 Overlap is exact: weighted Jaccard of multisets is the plain Jaccard of their
 elements. Two rows at similarity s share one of the 30 bands of 5 components
 with probability 1 - (1 - s^5)^30: above 0.99999 from 0.8 on.
 
+Why differences decide: for sets x, y and a centre c let Dx be the symmetric
+difference of x and c. That of x and y has |Dx| + |Dy| - 2 |Dx & Dy| elements,
+and x and y are a link if it has at most k (|x| + |y|), k = (1 - threshold) / (1 +
+threshold). If x is no link of c, |Dx| > k (|x| + |c|), so a link of x and y needs
+2 |Dx & Dy| > |Dy| + k (|c| - |y|). Elements that c alone has are in all
+differences; they are taken off on both sides. As c has the least share of
+elements of its own, at least one other common difference is always needed.
+
 Defined results: a null text counts as empty; a text without words is a class by
 itself. A text of one to four words has one shingle, all its words. The row with
 the least id of a class stays (null ids are the largest); of fully repeated rows
-one stays. Columns that start with ``_gw_`` are taken; all others are carried. An
-empty table gives an empty result.
+one stays. Columns that start with ``_gw_`` are taken; all others are carried,
+whatever their case. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +51,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm import bagminhash as bag
@@ -47,8 +63,8 @@ BANDS, ROWS = 30, 5
 #: Up to so many keys (a few dozen MB) the candidates' keys are sent to the texts; more of them are met by a shuffle.
 SENT_KEYS = 4_000_000
 
-#: Keys are below two to the power of KEY_BITS, so that a share in thousandths fits a long above them.
-KEY_BITS = 53
+#: Pairs of one hub are dealt out by so many salts, and the hub's elements sent once to each that occurs.
+SALTS = 64
 
 #: Groups of elements by hash, for the bound on overlaps.
 GROUPS = [f"g{i}" for i in range(32)]
@@ -121,12 +137,91 @@ def _common_elements(sets: DataFrame) -> DataFrame:
     return written(sets.join(own, "key", "left").select("key", "elements", "own").mapInArrow(_shared, schema), "near-common")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``a``, ``b``) whose elements overlap by the threshold."""
+def _beside(pairs: DataFrame, hub: str, other: str, table: DataFrame) -> DataFrame:
+    """``pairs`` joined with ``table`` on ``hub``, which may stand in any share of them."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    copies = salted.select(hub, "_salt").distinct().join(table, hub)
+    return salted.join(copies, [hub, "_salt"]).drop("_salt")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (``a``, a hub, and ``b``) with the sizes and sets of both and ``both``, their exact overlap."""
     side = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"{x}_n"), F.col("elements").alias(f"{x}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    found = pairs.join(side("b"), "b").join(side("a"), "a").where(both >= threshold * (F.col("a_n") + F.col("b_n") - both))
-    return written(found.select("a", "b"), "near-links")
+    return _beside(pairs.join(side("b"), "b"), "a", "b", side("a")).withColumn("both", F.size(F.array_intersect("a_set", "b_set")))
+
+
+def _reach(both: Column, threshold: float) -> Column:
+    """Whether an overlap makes a link. Bounds use this form too, so that a pair of exactly the threshold is not lost to rounding."""
+    return both >= threshold * (F.col("a_n") + F.col("b_n") - both)
+
+
+def _fitting(pairs: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """The distinct pairs (``a``, a hub, and ``b``) that sizes and group counts allow to be links."""
+    side = lambda x: counts.select(*(F.col(c).alias(x if c == "rep" else f"{x}_{c}") for c in counts.columns))
+    bound = _reach(F.least("a_common", "b_common"), threshold) & _reach(reduce(add, (F.least(f"a_{g}", f"b_{g}") for g in GROUPS)), threshold)
+    return _beside(pairs.distinct().join(side("b"), "b"), "a", "b", side("a")).where(bound).select("a", "b")
+
+
+def _linked(pairs: DataFrame, counts: DataFrame, sets: DataFrame, threshold: float, labels: DataFrame | None) -> DataFrame:
+    """Labels of the components that the links among ``pairs`` make of those of ``labels``."""
+    found = _compared(_fitting(pairs, counts, threshold), sets)
+    links = written(found.where(_reach(F.col("both"), threshold)).select("a", "b"), "near-links")
+    if labels is not None:
+        if links.isEmpty():
+            return labels
+        links = links.unionByName(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
+    return components(links)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _open(rows: DataFrame, by: str) -> DataFrame:
+    """The rows (with ``label``) of groups that hold more than one component."""
+    return rows.join(rows.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(by), by)
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``centre, rep, dn, needed, far, d`` of each pair of a centre and a member.
+
+    ``d``: the elements, other than those of one row alone, that only one of the
+    two has; ``dn``: the number of all that only one has; ``far``: no link; ``needed``:
+    how many of ``d`` a far member must share with this one to be its link.
+    """
+    k = (1 - threshold) / (1 + threshold)
+    own = F.col("a_n") - F.size("a_set")
+    # The small term is on the safe side of rounding.
+    needed = F.floor((F.col("dn") + k * (F.col("a_n") - F.col("b_n"))) / 2 - 1e-9) + 1 - own
+    out = _compared(pairs.select(F.col("centre").alias("a"), F.col("rep").alias("b")), sets)
+    out = out.withColumn("dn", F.col("a_n") + F.col("b_n") - 2 * F.col("both")).select(
+        F.col("a").alias("centre"),
+        F.col("b").alias("rep"),
+        "dn",
+        needed.cast("int").alias("needed"),
+        (~_reach(F.col("both"), threshold)).alias("far"),
+        F.concat(F.array_except("a_set", "b_set"), F.array_except("b_set", "a_set")).alias("d"),
+    )
+    return written(out, "near-differences")
+
+
+def _nearest_holders(rows: DataFrame) -> DataFrame:
+    """Pairs of each far member (with ``label`` and ``d``) with the holder of each of its differences that is nearest to the centre."""
+    each = rows.select("centre", "rep", "label", "dn", "far", F.explode("d").alias("e"))
+    hubs = each.groupBy("centre", "e").agg(F.min_by("rep", "dn").alias("a"), F.min_by("label", "dn").alias("a_label"), F.bool_or("far").alias("any")).where("any").drop("any")
+    return each.where("far").join(hubs, ["centre", "e"]).where("label <> a_label").select("a", F.col("rep").alias("b"))
+
+
+def _sharing(rows: DataFrame) -> DataFrame:
+    """Pairs of a far member and any other of another component that share one of the differences which the latter must offer."""
+    each = rows.select("centre", "rep", "label", "far", (F.size("d") - F.col("needed") + 1).alias("offers"), F.explode("d").alias("e"))
+    holds = each.where("far").select("centre", "e", F.col("rep").alias("b"), F.col("label").alias("b_label"))
+    many = holds.groupBy("centre", "e").agg(F.count("*").alias("many"))
+    # Differences that no far member has come first: they are offered without a match.
+    rarest = F.row_number().over(Window.partitionBy("centre", "rep").orderBy(F.coalesce("many", F.lit(0)), "e"))
+    offered = each.join(many, ["centre", "e"], "left").withColumn("place", rarest).where("many is not null and place <= offers")
+    offered = offered.select("centre", "e", F.col("rep").alias("a"), F.col("label").alias("a_label"), F.col("far").alias("a_far"))
+    return holds.join(offered, ["centre", "e"]).where("a_label <> b_label and (not a_far or a < b)").select("a", "b")
 
 
 RESULTS = ["class_id", "class_size", "kept"]
@@ -149,31 +244,18 @@ def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) ->
     sets = _common_elements(sets)
     sizes = sets.select(F.col("key").alias("rep"), "n", F.size("elements").alias("common")).where(F.col("common") >= threshold * F.col("n"))
     members = written(meeting.join(sizes, "rep"), "near-members")
-    counts = sets.select(F.col("key").alias("rep"), *GROUPS)
-
-    labels = None
-    own_share = F.floor(1000 * (F.col("n") - F.col("common")) / F.col("n")).cast("long")
-    centre = F.min(F.shiftleft(own_share, KEY_BITS).bitwiseOR(F.col("rep"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    # The same form as the test for a link, so that a pair of exactly the threshold is not lost to rounding.
-    could = lambda most: most >= threshold * (F.col("a_n") + F.col("b_n") - most)
-    fits = could(F.least("a_common", "b_common")) & could(reduce(add, (F.least(f"a_{g}", f"b_{g}") for g in GROUPS)))
-    for to_centre in (True, False):
-        # Buckets that hold members of more than one component.
-        labelled = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        state = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("centre")).where("lo <> hi")
-        apart = written(labelled.join(state.select("bucket", "centre"), "bucket").join(counts, "rep"), "near-apart")
-        if apart.isEmpty():
-            break
-        side = lambda df, x: df.select("bucket", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "common", "label", *GROUPS)))
-        first = apart.where("rep = centre") if to_centre else apart
-        across = F.col("a_label") != F.col("b_label") if to_centre else F.col("a_label") < F.col("b_label")
-        found = side(apart, "b").join(side(first, "a"), "bucket").where(across & fits)
-        links = _links(found.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct(), sets, threshold)
-        if labels is not None:
-            links = links.unionByName(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-    if labels is None:
-        labels = digests.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    counts = sets.select(F.col("key").alias("rep"), "n", F.size("elements").alias("common"), *GROUPS)
+
+    centre = F.min_by("rep", (F.col("n") - F.col("common")) / F.col("n")).alias("centre")
+    centred = written(members.join(members.groupBy("bucket").agg(centre, F.count("*").alias("c")).where("c > 1").drop("c"), "bucket").select("bucket", "centre", "rep"), "near-centred")
+    star = centred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    labels = _linked(star, counts, sets, threshold, None)
+    apart = written(_open(_labelled(centred, labels), "bucket").where("rep <> centre").select("centre", "rep").distinct(), "near-apart")
+    if not apart.isEmpty():
+        differences = _differences(apart, sets, threshold)
+        for candidates in (_nearest_holders, _sharing):
+            left = written(_open(_labelled(differences, labels), "centre"), "near-left")
+            labels = _linked(candidates(left), counts, sets, threshold, labels)
 
     named = digests.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = named.groupBy("label").agg(F.min("least").alias("best"), F.sum("n").alias("class_size"))
@@ -185,8 +267,8 @@ def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) ->
 
 
 def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Every row of ``df`` with ``class_id`` (the least id of its class), ``class_size`` and ``kept``; columns of ``df`` with these names give way."""
-    own = [c for c in df.columns if c not in RESULTS]
+    """Every row of ``df`` with ``class_id`` (the least id of its class), ``class_size`` and ``kept``; columns of ``df`` with these names, in any case, give way."""
+    own = [c for c in df.columns if c.lower() not in RESULTS]
     return _classified(df, id_col, text_col, threshold).select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
 
 

@@ -71,6 +71,26 @@ def test_classes_and_links(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] for r in out)
 
 
+def test_links_past_the_centre(spark):
+    # Copies with so many edits that most are no link of any one text, in two groups that share half of their words.
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    half = [word() for _ in range(60)]
+    rows = []
+    for base in ([*half, *(word() for _ in range(70))], [*half, *(word() for _ in range(50))]):
+        edits = [(rng.randrange(len(base)), word()) for _ in range(12)]
+        for _ in range(90):
+            t = list(base)
+            for at, new in rng.sample(edits, rng.randrange(0, 7)):
+                kind = rng.randrange(3)
+                t[min(at, len(t) - 1) : min(at, len(t) - 1) + (kind < 2)] = [new] if kind else []
+            rows.append((len(rows), " ".join(t)))
+    out = near.classified(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = plain_classes(rows)
+    assert {(r["doc_id"], r["class_id"]) for r in out} == expected
+    assert 3 < len({c for _, c in expected}) < 100
+
+
 def test_near_edges(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (4, None), (4, "")], "doc_id long, text string")
