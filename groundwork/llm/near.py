@@ -215,12 +215,11 @@ def _nearest_holders(rows: DataFrame) -> DataFrame:
 def _sharing(rows: DataFrame) -> DataFrame:
     """Pairs of a far member and any other of another component that share one of the differences which the latter must offer."""
     each = rows.select("centre", "rep", "label", "far", (F.size("d") - F.col("needed") + 1).alias("offers"), F.explode("d").alias("e"))
-    holds = each.where("far").select("centre", "e", F.col("rep").alias("b"), F.col("label").alias("b_label"))
-    many = holds.groupBy("centre", "e").agg(F.count("*").alias("many"))
     # Differences that no far member has come first: they are offered without a match.
-    rarest = F.row_number().over(Window.partitionBy("centre", "rep").orderBy(F.coalesce("many", F.lit(0)), "e"))
-    offered = each.join(many, ["centre", "e"], "left").withColumn("place", rarest).where("many is not null and place <= offers")
-    offered = offered.select("centre", "e", F.col("rep").alias("a"), F.col("label").alias("a_label"), F.col("far").alias("a_far"))
+    counted = each.withColumn("many", F.count_if("far").over(Window.partitionBy("centre", "e")))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("centre", "rep").orderBy("many", "e")))
+    offered = placed.where("many > 0 and place <= offers").select("centre", "e", F.col("rep").alias("a"), F.col("label").alias("a_label"), F.col("far").alias("a_far"))
+    holds = each.where("far").select("centre", "e", F.col("rep").alias("b"), F.col("label").alias("b_label"))
     return holds.join(offered, ["centre", "e"]).where("a_label <> b_label and (not a_far or a < b)").select("a", "b")
 
 
