@@ -9,7 +9,8 @@ text; the language of a text is the one whose spans hold most of its letters.
 
 The model is fitted on at most ``rows_per_language`` rows a language (a share of
 them by a hash of the id, so about that many), and its size is at most
-``MAX_LANGUAGES`` times ``BUCKETS`` numbers however large the corpus is.
+``MAX_LANGUAGES`` times ``BUCKETS`` numbers (134 MB) however large the corpus is. More
+labels than that stop the job before anything is learned.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and no spans; so is every text when there is nothing to learn from. Ties go to
@@ -77,7 +78,8 @@ class Words:
 
 
 def words_of(texts: pa.Array) -> Words:
-    parts = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    # U+0000 separates words below; in a text it is no letter, as is U+0001.
+    parts = pc.utf8_split_whitespace(pc.utf8_lower(pc.replace_substring(texts.fill_null(""), "\0", "\1")))
     coded = parts.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     at = coded.indices.to_numpy()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~quality.passes("base-1")).alias("base_failed"), quality.passes("strict-1").alias("kept"), "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the ledger's masks alone: documents it fails, fails alone, and kept without it."""
+    rows = written(quality.ledger(table(spark, sf_dir, "documents")).select("failed"), "quality-ledger")
+    tables = [quality.ablation(rows, policy).select(F.lit(policy).alias("policy"), "*") for policy in quality.POLICIES]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -46,9 +54,8 @@ URL_RULES = [
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document with its number: bad if of low quality or toxic."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES, labels)
+    """Pages that a rule fits are the labelled ones: the tree learns which templates of a host the rules reject."""
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(
         number("capture_id").alias("page_id"),
         # A revisit has its payload's length and digest from its headers, any other record from the payload as read.
-        F.when(again, length).otherwise(F.octet_length("response.body")).cast("long").alias("payload_bytes"),
+        F.when(again, length).otherwise(F.col("response.body_bytes")).alias("payload_bytes"),
         F.when(again, F.col("response.digest")).otherwise(F.col("response.body_digest")).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         number("response.refers_to").alias("refers_to"),
@@ -133,6 +140,14 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
+ABLATION_SQL = f"""
+WITH ledger AS ({OP1_SQL}),
+rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('shouting', 16), ('long_words', 32)) AS t(rule, bit)),
+policies AS (SELECT * FROM (VALUES ('base-1', 3), ('strict-1', 63)) AS t(policy, mask))
+SELECT policy, rule, count_if(failed & bit <> 0) AS n_failed, count_if(failed & mask = bit) AS n_failed_alone, count_if(failed & mask & ~bit = 0) AS n_kept_without
+FROM policies JOIN rules ON mask & bit <> 0 CROSS JOIN ledger GROUP BY policy, rule
+"""
+
 OP6_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
@@ -189,32 +204,42 @@ SELECT node AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_
 """
 
 
-def _url_sql(max_children: int = 20, z: float = 2.58, strength: float = 5.0, threshold: float = 0.5) -> str:
-    """The same tree, level by level."""
+def _url_sql(levels: int = 6, z: float = 2.58, strength: float = 5.0, threshold: float = 0.5, least: int = 5) -> str:
+    """The same tree, level by level, for paths of so many levels (those of ``pages`` have two)."""
     name, verdict = "NULL", "NULL"
     for decided, rule in sorted(URL_RULES, key=lambda r: len(r[1])):
         domain, slash, rest = rule.partition("/")
         fits = f"((host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash}{rest}'))"
         name, verdict = f"CASE WHEN {fits} THEN '{rule}' ELSE {name} END", f"CASE WHEN {fits} THEN '{decided}' ELSE {verdict} END"
+
+    def apart(n1: str, b1: str, n2: str, b2: str) -> str:
+        return f"coalesce(abs({b1}::DOUBLE * {n2} - {b2}::DOUBLE * {n1}) > {z}::DOUBLE * sqrt(({b1} + {b2})::DOUBLE * ({n1} + {n2} - {b1} - {b2}) * {n1} * {n2} / nullif({n1} + {n2}, 0)), FALSE)"
+
     steps = []
-    for d in range(urls.DEPTH):
+    for d in range(levels):
         steps.append(f"""
-c{d} AS (SELECT host, prefix, l[{d + 1}] AS child, sum(n)::BIGINT AS cn, sum(b)::BIGINT AS cb FROM t{d} GROUP BY ALL),
-p{d} AS (SELECT host, prefix, count(*) AS k, sum(cn)::BIGINT AS pn, sum(cb)::BIGINT AS pb FROM c{d} GROUP BY ALL),
-m{d} AS (SELECT *, CASE WHEN pn > 0 THEN pb::DOUBLE / pn::DOUBLE END AS share FROM c{d} JOIN p{d} USING (host, prefix)),
-n{d} AS (SELECT host, prefix, child, concat_ws('/', prefix, CASE WHEN child = '' OR k = 1 THEN child WHEN k > {max_children} OR NOT coalesce(
-            cn > 0 AND abs(cb - cn * share) > {z}::DOUBLE * sqrt(cn * share * (1 - share)), FALSE) THEN '*' ELSE child END) AS nxt FROM m{d}),
+c{d} AS (SELECT host, prefix, l[{d + 1}] AS child, sum(n)::BIGINT AS cn, sum(b)::BIGINT AS cb FROM t{d} GROUP BY host, prefix, l[{d + 1}]),
+e{d} AS (SELECT *, child <> '' AND cn >= {least} AS seen FROM c{d}),
+s{d} AS (SELECT *, sum(cn) FILTER (WHERE seen) OVER w AS en, sum(cb) FILTER (WHERE seen) OVER w AS eb, count(*) FILTER (WHERE seen) OVER w AS ek,
+                count(*) FILTER (WHERE child <> '' AND NOT seen) OVER w AS rare FROM e{d} WINDOW w AS (PARTITION BY host, prefix)),
+h{d} AS (SELECT *, seen AND coalesce(cb::DOUBLE * en > eb::DOUBLE * cn, FALSE) AS high FROM s{d}),
+g{d} AS (SELECT *, coalesce(sum(cn) FILTER (WHERE high) OVER w, 0) AS hn, coalesce(sum(cb) FILTER (WHERE high) OVER w, 0) AS hb, count(*) FILTER (WHERE high) OVER w AS hk FROM h{d} WINDOW w AS (PARTITION BY host, prefix)),
+f{d} AS (SELECT *, {apart("hn", "hb", "(en - hn)", "(eb - hb)")} AS split FROM g{d}),
+r{d} AS (SELECT *, CASE WHEN NOT split THEN en WHEN high THEN hn ELSE en - hn END - cn AS rn, CASE WHEN NOT split THEN eb WHEN high THEN hb ELSE eb - hb END - cb AS rb,
+                CASE WHEN NOT split THEN ek WHEN high THEN hk ELSE ek - hk END AS rk, CASE WHEN split THEN ek - hk ELSE ek END AS lk FROM f{d}),
+n{d} AS (SELECT host, prefix, child, CASE WHEN child = '' THEN prefix ELSE concat_ws('/', prefix, CASE WHEN NOT seen THEN CASE WHEN rare = 1 THEN child WHEN lk > 1 THEN '*?' ELSE '*' END
+            WHEN rk = 1 OR {apart("cn", "cb", "rn", "rb")} THEN child WHEN split AND high THEN '*!' ELSE '*' END) END AS nxt FROM r{d}),
 t{d + 1} AS (SELECT t.host, t.l, t.n, t.b, nxt AS prefix FROM t{d} t JOIN n{d} x ON t.host = x.host AND t.prefix = x.prefix AND t.l[{d + 1}] = x.child)""")
-    last = f"t{urls.DEPTH}"
+    last = f"t{levels}"
     return rf"""
-WITH k AS (SELECT doc_id AS page_id, (quality = 0 OR toxic = 1) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
-u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-v AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^/', ''), '[0-9]+', '#', 'g'), '/') AS ps FROM u),
-w AS (SELECT * EXCLUDE (ps), [coalesce(ps[1], ''), coalesce(ps[2], ''), coalesce(ps[3], ''), array_to_string(ps[4:], '/')] AS l FROM v),
-t0 AS (SELECT host, l, count(bad) AS n, count_if(bad) AS b, '' AS prefix FROM w LEFT JOIN k USING (page_id) GROUP BY host, l),{",".join(steps)},
-g AS (SELECT host, prefix, (sum(b) + {strength}::DOUBLE * (SELECT coalesce(avg(bad::INT), 0) FROM k)) / (sum(n) + {strength}::DOUBLE) > {threshold} AS impure FROM {last} GROUP BY ALL)
-SELECT page_id, host, path, {name} AS rule, coalesce({verdict}, CASE WHEN impure THEN 'block' ELSE 'allow' END) AS verdict, t.prefix AS template
+v AS (SELECT *, {name} AS rule, {verdict} AS ruled, string_split(regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^/|/$', '', 'g'), '[0-9]+', '#', 'g'), '/') AS ps FROM u),
+w AS (SELECT * EXCLUDE (ps), list_transform(range(1, {levels + 1}), lambda i: coalesce(ps[i], '')) AS l FROM v),
+t0 AS (SELECT host, l, count(ruled) AS n, count_if(ruled = 'block') AS b, '' AS prefix FROM w GROUP BY host, l),{",".join(steps)},
+a AS (SELECT coalesce(sum(b)::DOUBLE / nullif(sum(n), 0), 0) AS overall FROM {last}),
+g AS (SELECT host, prefix, sum(n) >= {least} AND (sum(b) + {strength}::DOUBLE * any_value(overall)) / (sum(n) + {strength}::DOUBLE) > {threshold}::DOUBLE AS impure FROM {last}, a GROUP BY host, prefix)
+SELECT page_id, w.host, path, rule, coalesce(ruled, CASE WHEN impure THEN 'block' ELSE 'allow' END) AS verdict, t.prefix AS template, impure
 FROM w JOIN {last} t USING (host, l) JOIN g ON g.host = t.host AND g.prefix = t.prefix
 """
 
@@ -239,8 +264,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_shards": op9_shards,
         "op10_pack": op10_pack,
+        "quality_ablation": quality_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op4_url_filter": _url_sql(), "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op4_url_filter": _url_sql(), "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL, "quality_ablation": ABLATION_SQL}
