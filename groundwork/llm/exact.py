@@ -8,15 +8,18 @@ what is left out again by other bits. Spark's shuffle and the tables written in
 the shared folder are the spill files, so every level survives lost executors,
 and no bucket of any size has to fit a task.
 
-Before the first deal each Arrow batch is deduplicated by itself. A group of
-copies that makes up a third of all rows thus sends one record a batch, and the
-rows are matched to the final groups by the key of that record, which stands for
-the copies within one batch only. No step gathers a group.
+Before the first deal each slice of a few MB of texts is deduplicated by itself. A
+group of copies that makes up a third of all rows thus sends one record a slice,
+and the rows are matched to the final groups by the key of that record, which
+stands for the copies within one slice only. A record that meets its content in
+the table is passed on at once with the key of the content's first record, so a
+table holds contents and one best record each, and no step gathers a group.
 
 Defined results: null counts as the empty text. Texts are equal when identical
 after lower-casing A-Z only. The row with the largest id stays (null ids are the
-smallest); of fully repeated rows exactly one stays. Other columns are carried
-along unless they start with ``_gw_``. An empty table gives an empty result.
+smallest), and of rows with that id, or without any, exactly one stays. Other
+columns are carried along, whatever their case, unless they start with ``_gw_``.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm.bagminhash import slices
 from groundwork.llm.common import carried, written
 
 LEAST, MASK = -(1 << 63), (1 << 64) - 1
@@ -76,12 +80,12 @@ class ContentTable:
             self.slots[at] = number
 
 
-def _batch_groups(table_bytes: int):
-    """Adds, by Arrow batch: the key of the row's local group, that group's size, and whether the row leads it."""
+def _slice_groups(table_bytes: int):
+    """Adds, by slice of a batch: the key of the row's local group, that group's size, whether the row leads it, and its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (whole.slice(*part) for whole in batches for part in slices(whole.column(1))):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             table, numbers, hashes, lead, count = ContentTable(table_bytes), [], [], {}, {}
             for row, text in enumerate(texts):
@@ -108,39 +112,42 @@ def _batch_groups(table_bytes: int):
     return run
 
 
+#: A row of a level is a record that found no room (with ``_gw_text``), a record that met its content (``_gw_group``), or a content
+#: (with the results), which stands for its first record too.
+LEVEL_SCHEMA = "_gw_key long, _gw_id long, _gw_n long, _gw_hash long, _gw_text string, _gw_group long, _gw_keep_key long, _gw_keep_id long, _gw_group_size long, _gw_text_sha256 string"
+
+
 def _level(table_bytes: int):
     """Resolves what fits the table; passes the rest on with its content."""
+    fields = [x.split() for x in LEVEL_SCHEMA.split(", ")]
+    kinds = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, members, best, count = ContentTable(table_bytes), [], [], []
-        names = ["_gw_key", "_gw_id", "_gw_n", "_gw_hash", "keep_key", "keep_id", "group_size", "text_sha256", "_gw_text"]
-        kinds = [*[pa.int64()] * 7, pa.string(), pa.string()]
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        for batch in batches:
-            over = []
+        table, first, best, count = ContentTable(table_bytes), [], [], []
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+        for batch in (whole.slice(*part) for whole in batches for part in slices(whole.column(4))):
+            rows = []
             for key, doc, n, h, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 number = table.place(normalised(text), h & MASK)
                 if number < 0:
-                    over.append((key, doc, n, h, None, None, None, None, text or ""))
+                    rows.append((key, doc, n, h, text or "", None, None, None, None, None))
+                    continue
+                record = (LEAST if doc is None else doc, -key, doc)
+                if number == len(first):
+                    first.append(key)
+                    best.append(record)
+                    count.append(n)
                     continue
-                if number == len(members):
-                    members.append([])
-                    best.append((LEAST, 0, None))
-                    count.append(0)
-                members[number].append((key, n))
-                best[number] = max(best[number], (LEAST if doc is None else doc, -key, doc), key=lambda x: x[:2])
+                rows.append((key, None, n, None, None, first[number], None, None, None, None))
+                best[number] = max(best[number], record, key=lambda x: x[:2])
                 count[number] += n
-            if over:
-                yield out(over)
-        rows = []
-        for number, content in enumerate(table.contents):
-            _, key, doc = best[number]
-            sha = hashlib.sha256(content).hexdigest()
-            rows += [(k, None, n, None, -key, doc, count[number], sha, None) for k, n in members[number]]
-            if len(rows) > 5000:
+            if rows:
                 yield out(rows)
-                rows = []
-        if rows:
+        for start in range(0, len(first), 5000):
+            rows = []
+            for number in range(start, min(start + 5000, len(first))):
+                _, key, doc = best[number]
+                rows.append((first[number], None, None, None, None, first[number], -key, doc, count[number], hashlib.sha256(table.contents[number]).hexdigest()))
             yield out(rows)
 
     return run
@@ -158,16 +165,18 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> Dat
     rest = carried(df, id_col, text_col)
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, text_col, *rest)]
     schema = ", ".join([*fields, "_gw_key long", "_gw_n long", "_gw_lead boolean", "_gw_hash long"])
-    rows = written(df.select(id_col, text_col, *rest).mapInArrow(_batch_groups(table_bytes), schema), "exact-rows")
+    rows = written(df.select(id_col, text_col, *rest).mapInArrow(_slice_groups(table_bytes), schema), "exact-rows")
     left = rows.where("_gw_lead").select("_gw_key", F.col(id_col).cast("long").alias("_gw_id"), "_gw_n", "_gw_hash", F.col(text_col).alias("_gw_text"))
-    level_schema = "_gw_key long, _gw_id long, _gw_n long, _gw_hash long, keep_key long, keep_id long, group_size long, text_sha256 string, _gw_text string"
     found: DataFrame | None = None
     level = 1
     while True:
-        level_rows = written(left.repartition(F.xxhash64("_gw_hash", F.lit(level))).mapInArrow(_level(table_bytes), level_schema), f"exact-level{level}")
-        done = level_rows.where("keep_key is not null").select("_gw_key", *(F.col(c).alias(f"_gw_{c}") for c in ("keep_key", "keep_id", "group_size", "text_sha256")))
+        level_rows = written(left.repartition(F.xxhash64("_gw_hash", F.lit(level))).mapInArrow(_level(table_bytes), LEVEL_SCHEMA), f"exact-level{level}")
+        results = [f"_gw_{c}" for c in ("keep_key", "keep_id", "group_size", "text_sha256")]
+        contents = level_rows.where("_gw_keep_key is not null").select("_gw_key", *results)
+        others = level_rows.where("_gw_group is not null and _gw_keep_key is null").select(F.col("_gw_key").alias("_gw_other"), F.col("_gw_group").alias("_gw_key"))
+        done = contents.unionByName(others.join(contents, "_gw_key").select(F.col("_gw_other").alias("_gw_key"), *results))
         found = done if found is None else found.unionByName(done)
-        left = level_rows.where("keep_key is null").select("_gw_key", "_gw_id", "_gw_n", "_gw_hash", "_gw_text")
+        left = level_rows.where("_gw_group is null").select("_gw_key", "_gw_id", "_gw_n", "_gw_hash", "_gw_text")
         if left.isEmpty():
             break
         level += 1
@@ -175,12 +184,12 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> Dat
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
-    """Every row of ``df`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; columns of ``df`` with these names give way.
+    """Every row of ``df`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; columns of ``df`` with these names, in any case, give way.
 
     ``table_bytes`` bounds the contents that one table holds, and with it the
     memory of a task.
     """
-    own = [c for c in df.columns if c not in RESULTS]
+    own = [c for c in df.columns if c.lower() not in RESULTS]
     return _grouped(df, id_col, text_col, table_bytes).select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
 
 

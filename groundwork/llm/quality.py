@@ -8,7 +8,8 @@ costs is then bitwise arithmetic on the ledger and never reads a text again.
 Defined results: a null text counts as empty (no words, so ``few_words`` fails
 and the rules on shares pass). Repeated rows get a row each. The operator
 returns only the id and its own columns, so other columns of the input can have
-any name. An empty table gives an empty ledger.
+any name. Texts are measured in slices of a few MB. An empty table gives an empty
+ledger, and no document for any rule.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm.bagminhash import slices
+
 SYMBOLS = b"#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -108,9 +111,8 @@ def _measured(df: DataFrame, text_col: str, carry: list[str], prefix: str) -> Da
     names = [*carry, *(prefix + m for m in MEASURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(x) for x in batch.column(0).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
+        for batch in (whole.slice(*part) for whole in batches for part in slices(whole.column(0))):
+            columns = zip(*(measure(x) for x in batch.column(0).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, pa.int64()) for c in columns)], names)
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry), *(f"{prefix}{m} long" for m in MEASURES)])

@@ -75,6 +75,31 @@ def test_exact_edges(spark):
     assert exact.grouped(df.limit(0)).count() == 0
 
 
+def test_exact_rows_without_ids(spark):
+    # Ids are null in several partitions and slices; no group loses all of its rows.
+    rows = [(None if i % 3 else i, f"text {i % 40}") for i in range(600)] + [(None, f"own {i}") for i in range(50)] + [(0, "own 0"), (0, "own 0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for room in (32 << 20, 500):
+        out = exact.grouped(df, table_bytes=room).collect()
+        assert len(out) == len(rows)
+        groups = {}
+        for r in out:
+            groups.setdefault(r["text"], []).append(r)
+        for text, part in groups.items():
+            ids = [d for d, t in rows if t == text]
+            best = max((d for d in ids if d is not None), default=None)
+            assert sum(r["kept"] for r in part) == 1 and {r["keep_id"] for r in part} == {best} and {r["group_size"] for r in part} == {len(ids)}
+            assert next(r["doc_id"] for r in part if r["kept"]) == best
+        assert exact.deduplicated(df, table_bytes=room).count() == 90
+
+
+def test_exact_columns_of_other_case(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, "A", False)], "doc_id long, text string, Kept boolean")
+    out = exact.grouped(df)
+    assert [c for c in out.columns if c.lower() == "kept"] == ["kept"] and {(r["doc_id"], r["kept"]) for r in out.collect()} == {(1, False), (2, True)}
+    assert exact.deduplicated(df).columns == df.columns and exact.deduplicated(df).first()["Kept"] is False
+
+
 def test_table_compares_contents():
     table = exact.ContentTable(10_000)
     numbers = [table.place(c, 7) for c in (b"a", b"b", b"a", b"c")]  # one hash for all
