@@ -1,10 +1,12 @@
-"""Byte-level BPE ids of whole texts, batch by batch.
+"""Byte-level BPE ids of whole texts, batch by batch, as ``tokenizers`` gives them without added special tokens.
 
 In the vocabulary's splitting pattern a space that stands before a character
 other than white space always starts a new word. Cutting a text at such spaces
 therefore never changes its ids. A batch of texts is cut by Arrow, each distinct
 part is encoded once, and the ids of the texts are gathered from those. Texts
-with other runs of white space after a space are encoded whole.
+with other runs of white space after a space are encoded whole. Texts that hold a
+special token's own text, or white space of a length that the fast library's
+pattern search cannot take, are encoded by ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
+from tokenizers import Tokenizer
 
 #: The splitting pattern of the vocabulary, and the byte-to-letter alphabet of its file (printable
 #: bytes stand for themselves, the others for the letters from 256 on).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: White space of the splitting pattern.
+BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space before white space of any kind, or at the end.
-LOOSE_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+LOOSE_SPACE = rf" ([{BLANK}]|\z)"
+#: A run of white space that the fast library's pattern search is not asked to take: it tries back through all of it.
+LONG_BLANK = rf"[{BLANK}]{{1000}}"
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -35,11 +42,19 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
+def special_tokens(path: str) -> list[str]:
+    """Texts that are special tokens wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return [x["content"] for x in json.load(f).get("added_tokens", ()) if x.get("special")]
+
+
 class TokenCounter:
-    """Special tokens in a text are ordinary text."""
+    """The ids of texts by one vocabulary file."""
 
     def __init__(self, path: str) -> None:
         ranks = vocabulary(path)
+        self.library = Tokenizer.from_file(path)
+        self.special = special_tokens(path)
         self.bpe = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -52,8 +67,15 @@ class TokenCounter:
         """The ids of every text, as uint32; none for null."""
         texts = texts.fill_null("")
         loose = pc.match_substring_regex(texts, LOOSE_SPACE).to_numpy(zero_copy_only=False)
-        plain = iter(self._plain(texts.filter(pa.array(~loose))))
-        return [self._one(texts[i].as_py()) if loose[i] else next(plain) for i in range(len(texts))]
+        odd = pc.match_substring_regex(texts, LONG_BLANK)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = iter(self._plain(texts.filter(pa.array(~loose & ~odd))))
+        return [self._by_library(texts[i].as_py()) if odd[i] else self._one(texts[i].as_py()) if loose[i] else next(plain) for i in range(len(texts))]
+
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
         if not len(texts):

@@ -225,9 +225,9 @@ def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(queries.tokenizer_path())
-    library.encode_special_tokens = True
     counter = TokenCounter(queries.tokenizer_path())
     texts = ["", None, " x", "x ", "a  b\n\n c \n", "   ", "it's 12,3  \t x", "<|endoftext|> hi", "a\x1c b \x1cc", "x y  z", "a \x85b", "日本 語  テ", "'s 'll x's", "word word, word."]
+    texts += ["a <|endoftext|>b  <|endoftext|>", "<|endoftext|>", "<|endoftext", " " * 1_000_000, "x" + "\n" * 1_000_000 + "y", "x \u3000" * 1500 + "z", "b" * 200_000, "tail" + " " * 999, "tail" + " " * 1000]
     rng = random.Random(4)
     texts += ["".join(rng.choice("ab .,'s1é\n\t  ") for _ in range(rng.randrange(60))) for _ in range(300)]
     for text, ids in zip(texts, counter.encode(pa.array(texts)), strict=True):
@@ -247,6 +247,36 @@ def test_differencing(sizes):
         assert max(t for t, _ in whole) - min(t for t, _ in whole) <= max(sizes)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 20))
+def test_cuts_only_what_does_not_fit(sizes, slack):
+    windows = packing.windows_with_cuts(sizes, 100, slack)
+    least = -(-sum(sizes) // 100)
+    assert len(windows) <= least + least * slack // 100
+    parts = {}
+    for window in windows:
+        assert 0 < sum(length for _, _, length in window) <= 100
+        for i, start, length in window:
+            parts.setdefault(i, []).append((start, length))
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(parts[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+
+
+def test_fill_and_whole_tails(spark):
+    pieces = packing.packed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), queries.tokenizer_path())
+    tails = pieces.where("length < 1024").groupBy("doc_id").agg(F.count("*").alias("n"))
+    shares = tails.agg(F.avg((F.col("n") == 1).cast("double")), F.avg("n")).first()
+    fill = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used")).agg(F.avg("used")).first()[0] / 1024
+    assert fill > 0.97 and shares[0] > 0.75 and shares[1] < 1.4
+    odd = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000), (None, "<|endoftext|>"), (3, None)], "doc_id long, text string")
+    out = packing.packed(odd, queries.tokenizer_path())
+    assert {(r["doc_id"], r["doc_tokens"]) for r in out.collect()} == {(1, 1_000_001), (2, 500_001), (None, 2), (3, 1)}
+
+
 def test_pieces_round_trip(spark):
     rng = random.Random(6)
     texts = ["", None, "word " * 5000] + [" ".join(f"t{rng.randrange(999)}" for _ in range(rng.randrange(1500))) for _ in range(60)]
