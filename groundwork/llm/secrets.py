@@ -9,11 +9,17 @@ it dictionary words cover, shares of digits and capitals, distinct characters,
 what its path says, and what the words around it say. The forest is trained from
 labelled findings, candidates with a 0/1 label.
 
+Where no reviewed findings are given, they are made: ``planted`` puts secrets of many
+formats, and values that only look like them, between words of the documents, and
+the label of a finding is what was put there. So labels come from the making and
+from no feature, what stands around a finding is real text, and precision and recall
+can be measured on findings that the forest has not seen (``measured``).
+
 Dictionary and transition table are counted over all documents: the dictionary
 has the words that stand in at least ``least_share`` of the texts (and in two),
 so that it does not change with the number of texts; the transition table has 36
-times 36 rows. Only the forest is fitted on a bounded sample, ``labelled_rows``
-findings by a hash of the row.
+times 36 rows. Only the forest is fitted on a bounded sample, about
+``labelled_rows`` findings by a hash of the row.
 Candidate search reads every whole text. Only DataFrame operations and Spark's
 own forest are used.
 
@@ -194,7 +200,7 @@ class Classifier:
 
 
 def likely_labels(found: DataFrame) -> DataFrame:
-    """Labels by rule, where no reviewed findings exist.
+    """Labels by rule, to compare a forest with or to review findings from.
 
     A value assigned to a secret's name is a finding, but not a plain word after
     a colon and a blank, as in prose; so is a URL's password, a private key
@@ -205,6 +211,85 @@ def likely_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", (named | keyed | _in_url()).cast("int"))
 
 
+#: At most so many findings are made of one document.
+PER_DOCUMENT = 64
+#: Words that stand before and after a finding that is made.
+AROUND = 6
+
+
+def _kinds(h: Column, g: Column, words: Column) -> list[tuple[int, Column, Column]]:
+    """(label, what is put into the text, the candidate in it) from 64 hexadecimal digits each of ``h`` and ``g``, and some ``words``."""
+    hexa = lambda start, n: F.substring(h, start, n)
+    digits = lambda start, n: F.translate(hexa(start, n), "abcdef", "025813")
+    letters = F.translate(F.base64(F.unhex(g)), "+/=", "xY7")
+    base32 = F.translate(F.upper(F.substring(g, 1, 16)), "0189", "GJKQ")
+    some = lambda n: F.pmod(F.conv(hexa(50, 6), 16, 10).cast("long"), F.lit(n))
+    one_of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (some(len(names)) + 1).cast("int"))
+    plain = lambda i: F.lower(F.regexp_replace(F.coalesce(F.get(words, F.lit(i)), F.lit("item")), r"[^\p{L}]", ""))
+    pick = lambda x: F.concat(*x)
+    of_length = lambda c, least, most: F.substring(c, F.lit(1), (F.lit(least) + some(most - least + 1)).cast("int"))
+    name = one_of("password", "passwd", "db_password", "secret", "client_secret", "api_key", "apikey", "token", "auth_token", "access_key")
+    mixed, short, key = of_length(letters, 16, 40), F.concat(of_length(plain(0), 3, 8), digits(1, 2), F.substring(letters, 5, 2)), F.concat(F.lit("AKIA"), base32)
+    lit = F.lit
+    return [
+        (1, pick([name, lit("="), of_length(h, 12, 40)]), of_length(h, 12, 40)),
+        (1, pick([name, lit(' = "'), of_length(h, 16, 64), lit('"')]), of_length(h, 16, 64)),
+        (1, pick([name, lit(": "), mixed]), mixed),
+        (1, pick([lit('{"'), name, lit('":"'), mixed, lit('","region":"x"}')]), mixed),
+        (1, pick([name, lit("="), short]), short),
+        (1, key, key),
+        (1, pick([lit("aws_access_key_id="), key]), key),
+        (1, pick([lit("ghp_"), F.substring(letters, 1, 36)]), pick([lit("ghp_"), F.substring(letters, 1, 36)])),
+        (1, pick([lit("postgres://app:"), mixed, lit("@db.host/x")]), mixed),
+        (1, pick([lit("https://x.host/?"), name, lit("="), mixed, lit("&page=2")]), mixed),
+        (1, lit("-----BEGIN RSA PRIVATE KEY-----"), lit("-----BEGIN RSA PRIVATE KEY-----")),
+        (0, pick([one_of("commit", "revision", "changeset"), lit(" "), of_length(h, 12, 40)]), of_length(h, 12, 40)),
+        (0, pick([one_of("sha1", "md5", "digest", "etag"), lit("="), of_length(h, 32, 64)]), of_length(h, 32, 64)),
+        (0, F.concat_ws("-", hexa(1, 8), hexa(9, 4), hexa(13, 4), hexa(17, 4), hexa(21, 12)), F.concat_ws("-", hexa(1, 8), hexa(9, 4), hexa(13, 4), hexa(17, 4), hexa(21, 12))),
+        (0, F.concat_ws("-", plain(0), plain(1), plain(2), digits(1, 4)), F.concat_ws("-", plain(0), plain(1), plain(2), digits(1, 4))),
+        (0, F.concat_ws("_", plain(0), plain(1), plain(2), digits(1, 2)), F.concat_ws("_", plain(0), plain(1), plain(2), digits(1, 2))),
+        (0, F.concat(digits(1, 10), of_length(digits(11, 10), 2, 10)), F.concat(digits(1, 10), of_length(digits(11, 10), 2, 10))),
+        (0, F.concat(lit("20"), digits(1, 2), lit("-0"), digits(3, 1), lit("-1"), digits(4, 1), lit("T1"), digits(5, 1), lit(":00")), F.concat(lit("20"), digits(1, 2), lit("-0"), digits(3, 1), lit("-1"), digits(4, 1), lit("T1"), digits(5, 1))),
+        (0, F.concat(lit("/"), F.concat_ws("/", plain(0), plain(1), plain(2)), digits(1, 2)), F.concat(lit("/"), F.concat_ws("/", plain(0), plain(1), plain(2)), digits(1, 2))),
+        (0, pick([name, one_of("=", ": ", " = "), one_of("changeme", "none", "required", "example", "missing", "xxxxxxxx", "your_key_here")]), one_of("changeme", "none", "required", "example", "missing", "xxxxxxxx", "your_key_here")),
+        (0, pick([name, one_of(": ", " = "), plain(0)]), plain(0)),
+    ]
+
+
+def planted(df: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", seed: int = 5) -> DataFrame:
+    """About ``rows`` labelled findings: ``row``, what ``candidates`` finds of them, ``label``, and ``kind``.
+
+    Findings are made between words of the texts that a hash chooses; the same
+    number of each kind, half of a text's findings among the secrets on average.
+    """
+    texts = df.count()
+    copies = max(1, min(PER_DOCUMENT, rows // max(1, texts)))
+    key = lambda *parts: F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)
+    place = lambda c: F.pmod(F.xxhash64("doc", c, F.lit(seed)), F.size("words") + 1).cast("int")
+    before = lambda at: F.slice("words", F.greatest(F.lit(1), at - AROUND + 1), F.least(F.lit(AROUND), at))
+    after = lambda at: F.slice("words", at + 1, F.lit(AROUND))
+    each = (
+        df.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < rows / max(1, texts * copies) * (1 << 20))
+        .select(F.col(id_col).cast("string").alias("doc"), F.col(path_col).alias("path"), F.split(F.coalesce(F.col(text_col), F.lit("")), BLANKS).alias("words"))
+        .select("doc", "path", F.explode(F.transform(F.sequence(F.lit(1), F.lit(copies)), lambda c: F.struct(c.cast("string").alias("copy"), before(place(c)).alias("before"), after(place(c)).alias("after")))).alias("p"))
+        .select("doc", "path", "p.*")
+        .withColumns({"h": key("doc", "copy"), "g": key("doc", "copy", F.lit("g"))})
+    )
+    kinds = [F.struct(F.lit(label).alias("label"), F.lit(i).alias("kind"), text.alias("text"), value.alias("value")) for i, (label, text, value) in enumerate(_kinds(F.col("h"), F.col("g"), F.concat("after", "before")))]
+    made = each.withColumn("made", F.get(F.array(*kinds), F.pmod(F.xxhash64("g"), F.lit(len(kinds))).cast("int")))
+    made = made.select(F.col("h").alias("row"), "path", F.concat_ws(" ", "before", "made.text", "after").alias("text"), "made.label", "made.kind", F.col("made.value").alias("put"))
+    made = written(made, "secret-planted")
+    found = candidates(made, "row", "text", "path").join(made.select("row", "label", "kind", "put"), "row").where("value = put")
+    return found.dropDuplicates(["row"]).drop("put", "place")
+
+
+def measured(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``n, precision, recall`` of scored findings with ``label`` and ``probability``."""
+    said, true = F.col("probability") >= threshold, F.col("label") == 1
+    hit = F.count_if(said & true)
+    return scored.agg(F.count("*").alias("n"), F.try_divide(hit, F.count_if(said)).alias("precision"), F.try_divide(hit, F.count_if(true)).alias("recall"))
+
+
 def scan(
     df: DataFrame,
     labelled: DataFrame | None = None,
@@ -218,10 +303,9 @@ def scan(
     """Every candidate with its features, ``probability`` and ``is_secret``.
 
     ``labelled``: reviewed findings (``row``, ``path``, ``value``, ``before``,
-    ``after``, ``label``); without them the candidates' own rule labels are used.
+    ``after``, ``label``); without them about ``labelled_rows`` are ``planted``.
     """
     found = written(candidates(df, id_col, text_col, path_col).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    model = Classifier.learn_words(df, least_share, text_col).learn_findings(likely_labels(found) if labelled is None else labelled, labelled_rows)
+    reviewed = written(planted(df, labelled_rows, id_col, text_col, path_col), "secret-labelled") if labelled is None else labelled
+    model = Classifier.learn_words(df, least_share, text_col).learn_findings(reviewed, labelled_rows)
     return model.scored(found).withColumn("is_secret", F.col("probability") >= threshold)
-
-

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -302,3 +303,33 @@ def test_dictionary_is_of_all_documents(spark):
     known = {*words}
     out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(out) == len(rows) and {r["coverage"] for r in out} == {4 / 14} and {r["value"][:4] for r in out} == known
+
+
+def test_held_out_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    made = secrets.written(secrets.planted(docs, 12_000), "test-planted")
+    part = F.pmod(F.xxhash64("row"), F.lit(5))
+    assert made.select("kind").distinct().count() == 21
+    model = secrets.Classifier.learn_words(docs, 0.0005).learn_findings(made.where(part < 4), 12_000)
+    scored = secrets.written(model.scored(made.where(part == 4)), "test-scored")
+    got = secrets.measured(scored).first()
+    assert got["n"] > 1500 and got["precision"] >= 0.97 and got["recall"] >= 0.97
+    # Each kind by itself, so that no frequent one hides another.
+    wrong = scored.groupBy("kind").agg(F.avg(((F.col("probability") >= 0.5).cast("int") != F.col("label")).cast("double")).alias("w")).where("w > 0.1").collect()
+    assert not wrong
+
+
+def test_candidates_against_a_plain_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    run, blank = re.compile("[A-Za-z0-9+/_-]{12,}"), re.compile(r"[\x20\x09-\x0D]+")
+    plain = set()
+    for r in docs.collect():
+        for place, word in enumerate(blank.split(r["text"] or "")):
+            plain |= {(r["doc_id"], place, x) for x in run.findall(word) if re.search("[0-9]", x)}
+    found = secrets.candidates(docs).collect()
+    values = {(r["doc_id"], r["place"], r["value"]) for r in found}
+    assert len(plain) > 30
+    # Every run is a candidate, or lies in the value that its word assigns.
+    assert all(any((d, p) == (x, y) and v in w for x, y, w in values) for d, p, v in plain)
+    runs = {(d, p, v) for d, p, v in values if run.fullmatch(v) and re.search("[0-9]", v)}
+    assert all(any((d, p) == (x, y) and v in w for x, y, w in plain) for d, p, v in runs)
