@@ -28,8 +28,11 @@ class Entries:
         self.threshold = threshold
         self.vectors, self.payloads = np.zeros((0, 0)), []
 
-    def ask(self, vector: np.ndarray, payload: str | None) -> tuple[bool, str | None, float | None]:
-        """(hit, payload, similarity); a miss stores the payload."""
+    def ask(self, vector: list[float] | None, payload: str | None) -> tuple[bool, str | None, float | None]:
+        """(hit, payload, similarity); a miss stores the payload. Without a vector there is no hit, and nothing is stored."""
+        if vector is None:
+            return False, payload, None
+        vector = np.asarray(vector, np.float64)
         norm = np.linalg.norm(vector)
         unit = vector / norm if norm else vector
         used = len(self.payloads)
@@ -53,7 +56,7 @@ def answer_cache(requests: DataFrame, threshold: float = v.CACHE_THRESHOLD) -> D
     """``seq, scope_key, hit, payload, similarity`` of every request (``seq, scope_key, embedding, payload``).
 
     ``similarity`` is the best over the scope's entries at that time, null for
-    the first. Rows are sorted by scope and arrival within partitions of whole
+    the first and for requests without a vector. Rows are sorted by scope and arrival within partitions of whole
     scopes, and stream through, so a scope is never gathered.
     """
 
@@ -64,7 +67,7 @@ def answer_cache(requests: DataFrame, threshold: float = v.CACHE_THRESHOLD) -> D
             for seq, key, vector, payload in batch.itertuples(index=False):
                 if key != scope:
                     scope, entries = key, Entries(threshold)
-                rows.append((seq, key, *entries.ask(np.asarray(vector, np.float64), payload)))
+                rows.append((seq, key, *entries.ask(vector, payload)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     rows = requests.select(F.col("seq").cast("long").alias("seq"), F.coalesce("scope_key", F.lit("")).alias("scope_key"), "embedding", "payload")

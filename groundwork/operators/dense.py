@@ -3,56 +3,106 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.operators.ordering import numbered
 from groundwork.operators.sparse import ranked
+from groundwork.sources.shared import written
 
 
-def topk(chunks: DataFrame, questions: DataFrame, n: int, scoped: bool = False, max_questions: int = 4096) -> DataFrame:
+#: Scores that a task holds at once.
+CELLS = 1 << 22
+
+
+class _Best:
+    """The n best of each job so far, as flat arrays: job, id, score; ties by id."""
+
+    def __init__(self, jobs: int, n: int) -> None:
+        self.n, self.least = n, np.full(jobs, -np.inf)
+        self.job, self.id, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: (jobs, ids), minus infinity where an id is not in scope."""
+        bar = self.least
+        if len(ids) > self.n:
+            bar = np.maximum(bar, np.partition(scores, len(ids) - self.n, axis=1)[:, len(ids) - self.n])
+        job, at = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+        if not len(job):
+            return
+        score, found = scores[job, at], ids[at]
+        if self.id is not None:
+            job, found, score = np.concatenate([self.job, job]), np.concatenate([self.id, found]), np.concatenate([self.score, score])
+        order = np.lexsort((found, -score, job))
+        job, found, score = job[order], found[order], score[order]
+        first = np.searchsorted(job, np.arange(len(self.least)))
+        place = np.arange(len(job)) - first[job]
+        kept = place < self.n
+        self.job, self.id, self.score = job[kept], found[kept], score[kept]
+        full = place == self.n - 1
+        self.least[job[full]] = score[full]
+
+
+def topk(chunks: DataFrame, questions: DataFrame, n: int, scoped: bool = False, block: int = 4096) -> DataFrame:
     """``question_id[, scope_no], id, score, rank``: the n chunks of the largest cosine, ties by id.
 
     ``chunks``: id, embedding, and company and fiscal_year when ``scoped``.
     ``questions``: question_id, embedding, and scopes when ``scoped`` (no scope:
-    all chunks). The question matrix goes to every task, so a batch holds at
-    most ``max_questions``; larger sets are to be cut into batches. Each task
-    keeps the n best of its own chunks before anything is shuffled.
+    all chunks). Questions are taken in blocks of at most ``block``, one after the
+    other; a block's matrix goes to every task, and each task keeps the n best of
+    its own chunks before anything is shuffled. Rows without an embedding are
+    neither ranked nor answered.
     """
-    asked = questions.select("question_id", "embedding", *(["scopes"] if scoped else [])).limit(max_questions + 1).collect()
-    if len(asked) > max_questions:
-        raise ValueError(f"more than {max_questions} questions in one batch")
+    asked = questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding", *(["scopes"] if scoped else []))
+    kind = questions.schema["question_id"].dataType.simpleString()
+    local = _searched(chunks, asked.limit(block + 1).collect(), kind, n, scoped, block)
+    if local is None:
+        # More than one block: the questions are numbered once, and the finds of each block written before the next is sent.
+        asked = numbered(asked.withColumn("_key", F.monotonically_increasing_id()), ["_key"], "_no", 0).drop("_key")
+        blocks = asked.agg(F.max("_no")).first()[0] // block + 1
+        parts = [asked.where(F.col("_no").between(i * block, (i + 1) * block - 1)).drop("_no") for i in range(blocks)]
+        local = reduce(DataFrame.unionByName, (written(_searched(chunks, part.collect(), kind, n, scoped, block), "dense-block") for part in parts))
+    out = ranked(local, ["question_id", "scope_no"], n)
+    return out if scoped else out.drop("scope_no")
+
+
+def _searched(chunks: DataFrame, asked: list, kind: str, n: int, scoped: bool, block: int) -> DataFrame | None:
+    """The n best of each task's chunks for the questions of one block; None if there are more than a block of them."""
+    if len(asked) > block:
+        return None
     jobs = [(q["question_id"], no, s, q["embedding"]) for q in asked for no, s in enumerate((q["scopes"] or [None]) if scoped else [None])]
     matrix = _unit(np.array([j[3] for j in jobs], np.float64)) if jobs else np.zeros((0, 1))
-    sent = chunks.sparkSession.sparkContext.broadcast(([j[0] for j in jobs], [j[1] for j in jobs], [(j[2]["company"], j[2]["fiscal_year"]) if j[2] else (None, None) for j in jobs], matrix))
+    wanted = [((j[2]["company"], j[2]["fiscal_year"]) if j[2] else (None, None)) for j in jobs]
+    sent = chunks.sparkSession.sparkContext.broadcast(([j[0] for j in jobs], np.array([j[1] for j in jobs], np.int64), wanted, matrix))
+
+    def fitting(asked_values: list, values: pd.Series) -> np.ndarray:
+        """(jobs, rows): the job asks for the row's value, or for none."""
+        codes, names = pd.factorize(values)
+        code = {name: i for i, name in enumerate(names)}
+        own = np.array([-2 if x is None else code.get(x, -3) for x in asked_values])
+        return (own[:, None] == codes[None, :]) | (own[:, None] == -2)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, numbers, scopes, vectors = sent.value
-        best: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            scores = _unit(np.array(batch["embedding"].tolist(), np.float64)) @ vectors.T
-            for j, (company, year) in enumerate(scopes):
-                fits = np.ones(len(batch), bool)
-                if company is not None:
-                    fits &= (batch["company"] == company).to_numpy()
-                if year is not None:
-                    fits &= (batch["fiscal_year"] == year).to_numpy()
-                rows = np.flatnonzero(fits)
-                rows = rows[np.lexsort((batch["id"].to_numpy()[rows], -scores[rows, j]))[:n]]
-                best.append(pd.DataFrame({"question_id": ids[j], "scope_no": numbers[j], "id": batch["id"].to_numpy()[rows], "score": scores[rows, j]}))
-        if best:
-            found = pd.concat(best).sort_values(["score", "id"], ascending=[False, True])
-            yield found.groupby(["question_id", "scope_no"]).head(n)
-
-    kinds = {c: chunks.schema["id"].dataType.simpleString() if c == "id" else questions.schema["question_id"].dataType.simpleString() for c in ("id", "question_id")}
+        best = _Best(len(ids), n)
+        step = max(1, CELLS // max(1, len(ids)))
+        for whole in batches if ids else ():
+            for start in range(0, len(whole), step):
+                batch = whole.iloc[start : start + step]
+                scores = vectors @ _unit(np.array(batch["embedding"].tolist(), np.float64)).T
+                if scoped:
+                    fits = fitting([s[0] for s in scopes], batch["company"]) & fitting([s[1] for s in scopes], batch["fiscal_year"])
+                    scores = np.where(fits, scores, -np.inf)
+                best.offer(batch["id"].to_numpy(), scores)
+        if len(best.job):
+            yield pd.DataFrame({"question_id": [ids[j] for j in best.job], "scope_no": numbers[best.job], "id": best.id, "score": best.score})
+
     columns = ["id", "embedding", *(["company", "fiscal_year"] if scoped else [])]
-    local = chunks.select(*columns).mapInPandas(search, f"question_id {kinds['question_id']}, scope_no int, id {kinds['id']}, score double")
-    out = ranked(local, ["question_id", "scope_no"], n)
-    return out if scoped else out.drop("scope_no")
+    return chunks.where(F.col("embedding").isNotNull()).select(*columns).mapInPandas(search, f"question_id {kind}, scope_no int, id {chunks.schema['id'].dataType.simpleString()}, score double")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

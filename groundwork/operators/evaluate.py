@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.functions import answers as a
+from groundwork.operators.ordering import running_total
 
 
 def golden_guard(golden: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -22,6 +23,26 @@ def load_golden(golden: DataFrame, allowed: DataFrame) -> DataFrame:
     return golden
 
 
+GOLDEN = "question string, ground_truth string, company string, year string, type string, expected_route string, relevant string"
+
+
+def read_golden(spark: SparkSession, path: str, allowed: DataFrame) -> DataFrame:
+    """A golden set under the guard: JSON, one row a line or one list, or a YAML list where a YAML library is installed.
+
+    YAML has no distributed reader; such a set is hand-labelled and small, and is read by the driver.
+    """
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        texts = spark.read.text(path, wholetext=True).take(1)
+        rows = yaml.safe_load(texts[0]["value"]) if texts else []
+        names = [x.split()[0] for x in GOLDEN.split(", ")]
+        golden = spark.createDataFrame([tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows or []], GOLDEN)
+    else:
+        golden = spark.read.json(path, schema=GOLDEN, multiLine=path.endswith(".json"))
+    return load_golden(golden, allowed)
+
+
 def retrieval_first_rank(specs: DataFrame, contexts: DataFrame) -> DataFrame:
     """``question_id, rank_strict, rank_lenient, hit_strict, hit_lenient, mrr_strict`` of every question in ``specs``.
 
@@ -84,13 +105,12 @@ def routing_scores(rows: DataFrame) -> DataFrame:
 def latency_median(rows: DataFrame, latency: str = "latency_ms") -> DataFrame:
     """The upper median: of n values in order, the one numbered n div 2 from 0.
 
-    Values are counted first, so what is ordered is one row for each distinct
-    value, and the cumulative count decides.
+    Values are counted first; counts are added up over range partitions.
     """
     counts = rows.where(F.col(latency).isNotNull()).groupBy(F.col(latency).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy())})
-    return ranked.where(F.col("upto") > F.expr("total div 2")).agg(F.min("value").alias("latency_median"))
+    placed = running_total(counts, "value", "n", "before")
+    half = placed.agg(F.expr("coalesce(sum(n), 0) div 2")).first()[0]
+    return placed.where(F.col("before") + F.col("n") > half).agg(F.min("value").alias("latency_median"))
 
 
 def mean_numeric_columns(scores: DataFrame) -> DataFrame:

@@ -13,14 +13,14 @@ FACT_COLUMNS = ["ticker", "fiscal_year", "fiscal_period", "line_item_standardize
 ORDER = ["piece_index", "row_no", "year_no"]
 
 
-def table_to_facts(pieces: DataFrame) -> DataFrame:
+def table_to_facts(pieces: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One fact for each row and year of every table piece that has a canonical grid.
 
     ``pieces``: company, fiscal_year, section, type, text and ``piece_index``,
-    the piece's place in the whole list. Facts keep their order in ``ORDER``.
+    the piece's place in the whole list, and columns to ``keep``. Facts keep their order in ``ORDER``.
     """
     grids = tables.canonical(pieces.where(F.col("type") == "table"), "text").where(F.col("canon").isNotNull())
-    rows = grids.select("company", "fiscal_year", "section", "piece_index", "canon.years", "canon.unit", F.posexplode("canon.rows").alias("row_no", "row"))
+    rows = grids.select(*keep, "company", "fiscal_year", "section", "piece_index", "canon.years", "canon.unit", F.posexplode("canon.rows").alias("row_no", "row"))
     values = rows.select("*", F.posexplode("row.vals").alias("year_no", "metric_value"))
     return values.select(
         F.col("company").alias("ticker"),
@@ -34,6 +34,7 @@ def table_to_facts(pieces: DataFrame) -> DataFrame:
         F.col("section").alias("source_section"),
         F.concat_ws("-", "company", "fiscal_year", F.col("piece_index").cast("string")).alias("source_table_id"),
         *ORDER,
+        *keep,
     )
 
 

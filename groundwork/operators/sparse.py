@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import vocabulary as v
@@ -10,24 +12,28 @@ from groundwork.functions.text import tokenize
 from groundwork.sources.shared import written
 
 
-def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id, term, tf, dl``: one row for each term of a document. Counts are combined before the shuffle, where a document's rows lie together."""
+def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, term, tf, dl`` and columns to ``carry``: one row for each term of a document. Counts are combined before the shuffle, where a document's rows lie together."""
     tokens = tokenize(F.col(text_col))
-    terms = corpus.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+    terms = corpus.select(F.col(id_col).alias("id"), *carry, tokens.alias("tokens")).select("id", *carry, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"), *(F.first(c).alias(c) for c in carry))
 
 
 class Bm25Index:
-    """Postings with the statistics of the whole corpus; written once, read by every batch of questions."""
-
-    def __init__(self, corpus: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = v.BM25_K1, b: float = v.BM25_B, floor: float = v.BM25_FLOOR) -> None:
-        self.k1, self.b = k1, b
-        self.postings = written(postings(corpus, id_col, text_col), "bm25-postings")
-        sizes = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text_col)))).alias("avgdl")).first()
-        self.n, self.avgdl = sizes["n"], sizes["avgdl"] or 0.0
-        frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+    """Postings with the statistics of the whole corpus; written once, in order of terms, and read by every batch of questions.
+
+    ``carry``: columns of the corpus that scores are cut by, such as those of scopes.
+    """
+
+    def __init__(self, corpus: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = v.BM25_K1, b: float = v.BM25_B, floor: float = v.BM25_FLOOR, carry: tuple[str, ...] = ()) -> None:
+        self.k1, self.b, self.carry = k1, b, carry
+        self.postings = written(postings(corpus, id_col, text_col, carry).sortWithinPartitions("term"), "bm25-postings")
+        # Each text is tokenized once: the number of tokens is that of the postings, and documents without any count too.
+        frequencies = written(self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "bm25-frequencies")
+        self.n = corpus.count()
+        self.avgdl = (frequencies.agg(F.sum("cf")).first()[0] or 0) / self.n if self.n else 0.0
         idf = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        raw = written(frequencies.withColumn("raw_idf", idf), "bm25-terms")
+        raw = frequencies.select("term", "df", idf.alias("raw_idf"))
         self.average_idf = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
         # A term in over half of all documents gets a share of the mean instead of a negative weight.
         self.terms = raw.withColumn("idf", F.when(F.col("raw_idf") < 0, F.lit(floor * self.average_idf)).otherwise(F.col("raw_idf")))
@@ -35,18 +41,27 @@ class Bm25Index:
     def stats(self) -> DataFrame:
         return self.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(self.n).cast("long").alias("n_docs"), F.lit(round(self.avgdl, 6)).alias("avgdl"))
 
-    def scores(self, questions: DataFrame) -> DataFrame:
-        """``question_id, id, score`` of all documents that share a term with a question; repeated terms count each time.
+    def scores(self, questions: DataFrame, scopes_of: Callable[[], Column] | None = None) -> DataFrame:
+        """``question_id[, scope_no], id, score`` of all documents that share a term with a question; repeated terms count each time.
 
         Question terms are met with the postings of those terms alone; Spark
-        broadcasts them when they are few. Partial sums precede the shuffle. Scores
+        broadcasts them when they are few. ``scopes_of`` gives the numbers of the
+        question's ``scopes`` that a posting's carried columns fit, so that what is out
+        of scope goes before it is summed. Partial sums precede the shuffle. Scores
         are rounded to nine decimals, so that equal ones tie in whatever order they were summed.
         """
+        rest = ["scopes"] if scopes_of else []
         asked = questions.select("question_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qf"))
         weighted = asked.join(self.terms.select("term", "idf"), "term")
+        if scopes_of:
+            weighted = weighted.join(questions.select("question_id", *rest), "question_id")
         long = F.lit(1 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(self.avgdl)
         score = F.col("qf") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * long)
-        return self.postings.join(weighted, "term").groupBy("question_id", "id").agg(F.round(F.sum(score), 9).alias("score"))
+        met = self.postings.join(weighted, "term")
+        by = ["question_id", "id"]
+        if scopes_of:
+            met, by = met.withColumn("scope_no", F.explode(scopes_of())), ["question_id", "scope_no", "id"]
+        return met.groupBy(*by).agg(F.round(F.sum(score), 9).alias("score"))
 
     def topk(self, questions: DataFrame, n: int) -> DataFrame:
         """The n best documents with a positive score; ties by id."""

@@ -49,6 +49,6 @@ def build_fact_store(pieces: DataFrame) -> DataFrame:
     return f.with_entry_ids(f.dedup(f.table_to_facts(pieces)))
 
 
-def build_chunk_index(pieces: DataFrame, embedder: Embedder = hashed_embedder, count: c.Counter = c.count_tokens) -> DataFrame:
-    """Chunks with embeddings from pieces."""
-    return embedded(c.build_chunks(pieces, count), "text", embedder)
+def build_chunk_index(pieces: DataFrame, embedder: Embedder = hashed_embedder, count: c.Counter = c.count_tokens, id_digits: int = 8) -> DataFrame:
+    """Chunks with embeddings from pieces. Of an id that is met again only the first stays; 32 ``id_digits`` tell all texts apart."""
+    return embedded(c.build_chunks(pieces, count, id_digits), "text", embedder)

@@ -37,6 +37,15 @@ def in_scope(scopes: Column, company: Column, year: Column) -> Column:
     return F.when(F.size(scopes) == 0, F.array(F.lit(0))).otherwise(numbers)
 
 
+def scoped_scores(index: Bm25Index, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``question_id, scope_no, id, score``, positive ones, of the chunks in each scope."""
+    fits = lambda: in_scope(F.col("scopes"), F.col("company"), F.col("fiscal_year"))
+    if set(META) <= set(index.carry):
+        return index.scores(questions, fits).where("score > 0")
+    scored = index.scores(questions).where("score > 0").join(chunks.select("id", *META), "id").join(questions.select("question_id", "scopes"), "question_id")
+    return scored.select("question_id", "id", "score", F.explode(fits()).alias("scope_no"))
+
+
 def batch_search(
     questions: DataFrame,
     chunks: DataFrame,
@@ -58,10 +67,8 @@ def batch_search(
     near = dense.topk(chunks, asked, candidates, scoped=True)
     by = ["question_id", "scope_no"]
     if hybrid:
-        index = index or Bm25Index(chunks)
-        scored = index.scores(questions).where("score > 0").join(chunks.select("id", *META), "id").join(questions.select("question_id", "scopes"), "question_id")
-        scored = scored.select("question_id", "id", "score", F.explode(in_scope(F.col("scopes"), F.col("company"), F.col("fiscal_year"))).alias("scope_no"))
-        fused = fuse.rrf(near, ranked(scored, by, candidates), by)
+        index = index or Bm25Index(chunks, carry=tuple(META))
+        fused = fuse.rrf(near, ranked(scoped_scores(index, questions, chunks), by, candidates), by)
     else:
         fused = near
     limit = F.when(F.size("scopes") > 1, F.lit(per_scope)).otherwise(F.col("k") if "k" in questions.columns else F.lit(top_k))

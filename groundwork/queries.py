@@ -102,6 +102,15 @@ ded AS (SELECT *, min(piece_index * 100 + row_no * 10 + year_no) OVER (PARTITION
 store AS (SELECT row_number() OVER (ORDER BY seen) AS entry_id, ticker, fiscal_year, fiscal_period, line_item_standardized, line_item_raw, metric_value, unit,
                  source_company_fy, source_section, source_table_id FROM ded)
 """
+#: The tables' cells and Markdown, line by line.
+MD_SQL = f"""{GRID_SQL},
+mdl AS (SELECT k, f, list(y::VARCHAR ORDER BY y) AS ys, list(total ORDER BY y) AS ts, list(fin ORDER BY y) AS fs, list(n ORDER BY y) AS os FROM grid, (SELECT unnest(range(2021, 2026)) AS f) WHERE y BETWEEN f - 2 AND f GROUP BY k, f),
+mdc AS (SELECT k, f, [list_concat(['(in thousands)'], ys), list_concat(['Total revenues'], list_transform(ts, lambda x: CASE WHEN x < 0 THEN '(' || format('{{:,}}', -x) || ')' ELSE '$' || format('{{:,}}', x) END)),
+    list_concat(['Cost of revenues:'], list_transform(fs, lambda x: format('{{:,}}', x))),
+    list_concat(['Net income *'], list_transform(range(1, 4), lambda i: CASE WHEN ts[i] < 2 * fs[i] THEN '(' || format('{{:,}}', 2 * fs[i] - ts[i]) || ')' ELSE '$' || format('{{:,}}', ts[i] - 2 * fs[i]) END)),
+    list_concat(['Orders received'], list_transform(os, lambda x: format('{{:,}}', x + 100000)))] AS cells FROM mdl),
+md AS (SELECT k, f, cells, array_to_string(list_transform(list_concat(cells[1:1], [['---', '---', '---', '---']], cells[2:]), lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS text FROM mdc)
+"""
 FACTS = "ticker, fiscal_year, fiscal_period, line_item_standardized, line_item_raw, metric_value, unit, source_company_fy, source_section, source_table_id"
 
 
@@ -171,18 +180,22 @@ def year_columns(spark: SparkSession, sf: str) -> DataFrame:
     return graded.select("company", "fiscal_year", F.array_join("canon.years", ",").alias("years"))
 
 
-@query(f"""WITH {GRID_SQL} SELECT 'N' || k AS company, f::VARCHAR AS fiscal_year, string_agg(DISTINCT label, ';' ORDER BY label) AS labels FROM
-    (SELECT k, f, line_item_raw AS label FROM raw WHERE line_item_standardized IS NOT NULL) GROUP BY k, f""")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Total net sales;Net income;Part B' ELSE 'Net income;Total net sales;Part A' END AS labels FROM orders")
 def headline_rows(spark: SparkSession, sf: str) -> DataFrame:
-    graded = tables.canonical(_pieces(spark, sf))
+    """The first three of a table for each order: rows with a code go before the others, each kind in the table's order."""
+    rows = ["| Part A | 1 | 2 |", "| Net income | 3 | 4 |", "| Part B | 5 | 6 |", "| Total net sales | 7 | 8 |"]
+    head = "| | 2020 | 2021 |\n|---|---|---|\n"
+    even, odd = head + "\n".join(rows[::-1]), head + "\n".join(rows)
+    graded = tables.canonical(table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, even).otherwise(odd).alias("text")))
     names = F.transform(tables.headline_rows(F.col("canon.rows"), 3), lambda r: r["raw_label"])
-    return graded.select("company", "fiscal_year", F.array_join(F.array_sort(names), ";").alias("labels"))
+    return graded.select("o_orderkey", F.array_join(names, ";").alias("labels"))
 
 
-@query("SELECT 'N' || n_nationkey AS company, unnest(range(2021, 2026))::VARCHAR AS fiscal_year, 5 AS n_rows, 4 AS n_cells FROM nation")
+@query(f"WITH {MD_SQL} SELECT 'N' || k AS company, f::VARCHAR AS fiscal_year, array_to_string(list_transform(cells, lambda r: array_to_string(r, '^')), '~') AS cells FROM md")
 def parse_markdown_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _pieces(spark, sf).withColumn("r", tables.markdown_rows(F.col("text")))
-    return rows.select("company", "fiscal_year", F.size("r").alias("n_rows"), F.array_max(F.transform("r", lambda x: F.size(x))).alias("n_cells"))
+    """Every cell of every table, in place."""
+    rows = F.transform(tables.markdown_rows(F.col("text")), lambda r: F.array_join(r, "^"))
+    return _pieces(spark, sf).select("company", "fiscal_year", F.array_join(rows, "~").alias("cells"))
 
 
 @query("""SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END) AS n_rows FROM orders""")
@@ -264,8 +277,8 @@ YEARS = tuple(str(y) for y in range(2019, 2026))
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey").cast("string")
-    k2 = ((F.col("n_nationkey") + 1) % 25).cast("string")
+    """A question of each customer about its nation, in one of six forms."""
+    k, k2 = F.col("c_nationkey").cast("string"), ((F.col("c_nationkey") + 1) % 25).cast("string")
     forms = [
         F.concat(F.lit("What was the total revenue of n"), k, F.lit(" in 2021?")),
         F.concat(F.lit("Why did net income of N"), k, F.lit(" fall from 2021 to 2023?")),
@@ -274,8 +287,9 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("How much revenue did FY2024 bring?"),
         F.concat(F.lit("What does n"), k, F.lit(" say about operating income in 2025?")),
     ]
-    rows = table(spark, sf, "nation").select("n_nationkey", F.posexplode(F.array(*forms)).alias("form", "question"))
-    return rows.select((F.col("n_nationkey").cast("long") * 6 + F.col("form")).alias("question_id"), "question")
+    # All forms occur among the numbers divisible by 50, which searches take.
+    form = ((F.col("c_custkey") + 3 * F.expr("c_custkey div 50")) % 6).cast("int")
+    return table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("question_id"), F.get(F.array(*forms), form).alias("question"))
 
 
 def _understood(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,7 +297,7 @@ def _understood(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUESTIONS_SQL = """
-qs AS (SELECT (n_nationkey * 6 + t)::BIGINT AS question_id, t, 'N' || n_nationkey AS c, 'N' || (n_nationkey + 1) % 25 AS c2 FROM (SELECT n_nationkey, unnest(range(6)) AS t FROM nation)),
+qs AS (SELECT c_custkey::BIGINT AS question_id, (c_custkey + 3 * (c_custkey // 50)) % 6 AS t, 'N' || c_nationkey AS c, 'N' || (c_nationkey + 1) % 25 AS c2 FROM customer),
 un AS (SELECT question_id, t, CASE t WHEN 4 THEN []::VARCHAR[] WHEN 2 THEN list_sort([c, c2]) ELSE [c] END AS companies,
           CASE t WHEN 0 THEN ['2021'] WHEN 1 THEN ['2021', '2022', '2023'] WHEN 2 THEN ['2022'] WHEN 5 THEN ['2025'] ELSE []::VARCHAR[] END AS years,
           CASE t WHEN 0 THEN ['TOTAL_REVENUE'] WHEN 1 THEN ['NET_INCOME'] WHEN 2 THEN ['COST_OF_REVENUE', 'GROSS_PROFIT'] WHEN 4 THEN ['TOTAL_REVENUE'] WHEN 5 THEN ['OPERATING_INCOME'] ELSE []::VARCHAR[] END AS metrics,
@@ -372,9 +386,9 @@ post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, l
 dfs AS (SELECT term, count(*) AS df, ln(any_value(sizes.n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, sizes GROUP BY term),
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN {v.BM25_FLOOR}::DOUBLE * (SELECT avg(raw) FROM dfs) ELSE raw END AS idf FROM dfs)
 """
-#: Questions are the first ten benchmark texts; question number is item number.
+#: Questions are the benchmark's texts; question number is item number.
 BM25_SQL = f"""{CORPUS_SQL},
-asked AS (SELECT question_id, term, count(*) AS qf FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+asked AS (SELECT question_id, term, count(*) AS qf FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
 bm AS (SELECT question_id, id, round(sum(qf * idf * tf * {v.BM25_K1 + 1}::DOUBLE / (tf + {v.BM25_K1}::DOUBLE * ({1 - v.BM25_B}::DOUBLE + {v.BM25_B}::DOUBLE * dl / avgdl))), 9) AS score
        FROM post JOIN asked USING (term) JOIN terms USING (term), sizes GROUP BY question_id, id)
 """
@@ -385,8 +399,8 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten queries that the feature is defined for: the benchmark's first."""
-    return table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    """Every benchmark text as a question."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
 @query("SELECT doc_id, len(ts)::INT AS n_tokens, md5(array_to_string(ts, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)")
@@ -406,22 +420,22 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a vector; their company is the vector's label, their year the language."""
+    """All documents; their company is their vector's label, if they have one, their year the language."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("L"), F.col("label").cast("string")).alias("company"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("fiscal_year"), F.col("source").alias("section"))
-    return docs.join(vectors, "id")
+    return docs.join(vectors, "id", "left")
 
 
 def _vector_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten questions: a benchmark text with the vector of its number; scopes are its own label's and the next one's."""
+    """Benchmark texts with the vector of their number; scopes are its own label's and the next one's."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding", "label")
     scope = lambda c: F.struct(F.concat(F.lit("L"), c.cast("string")).alias("company"), F.lit(None).cast("string").alias("fiscal_year"))
     return _asked(spark, sf).join(vectors, "question_id").select("question_id", "question", "embedding", F.array(scope(F.col("label")), scope(F.col("label") + 1)).alias("scopes"))
 
 
 RETRIEVAL_SQL = f"""{BM25_SQL},
-ch AS (SELECT doc_id AS id, text, lang AS fiscal_year, source AS section, 'L' || label AS company, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON doc_id = vec_id),
-vq AS (SELECT item_id AS question_id, text AS question, embedding::DOUBLE[] AS e, label FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id < 10),
+ch AS (SELECT doc_id AS id, text, lang AS fiscal_year, source AS section, 'L' || label AS company, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+vq AS (SELECT item_id AS question_id, text AS question, embedding::DOUBLE[] AS e, label FROM benchmark JOIN embeddings ON item_id = vec_id),
 vs AS (SELECT question_id, e, question, s AS scope_no, 'L' || (label + s) AS company FROM vq, (SELECT unnest([0, 1])::INT AS s)),
 dn AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY score DESC, id)::INT AS rank FROM
        (SELECT question_id, scope_no, id, list_dot_product(ch.e, vs.e) / sqrt(list_dot_product(ch.e, ch.e)) / sqrt(list_dot_product(vs.e, vs.e)) AS score FROM ch JOIN vs USING (company)) QUALIFY rank <= 30),
@@ -458,7 +472,7 @@ def _reranked(spark: SparkSession, sf: str, top_k: int) -> DataFrame:
     return fuse.rerank(fused, fuse.token_overlap, top_k, BY)
 
 
-@query(f"""WITH {RETRIEVAL_SQL}, a AS (SELECT question_id, id, list_dot_product(ch.e, vq.e) / sqrt(list_dot_product(ch.e, ch.e)) / sqrt(list_dot_product(vq.e, vq.e)) AS score FROM ch, vq)
+@query(f"""WITH {RETRIEVAL_SQL}, a AS (SELECT question_id, id, list_dot_product(ch.e, vq.e) / sqrt(list_dot_product(ch.e, ch.e)) / sqrt(list_dot_product(vq.e, vq.e)) AS score FROM ch, vq WHERE ch.e IS NOT NULL)
     SELECT question_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM a) WHERE rank <= 10""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.topk(_chunks(spark, sf), _vector_questions(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -510,10 +524,15 @@ def scoped_merge(spark: SparkSession, sf: str) -> DataFrame:
     return fuse.merge_scopes(_reranked(spark, sf, 4)).select("question_id", "pos", "id", "scope_no")
 
 
+def _index(chunks: DataFrame) -> Bm25Index:
+    return Bm25Index(chunks.select("id", "text", *search.META), carry=tuple(search.META))
+
+
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, pos, id, company, fiscal_year, section, round(rerank_score, 6) AS rerank_score FROM mg JOIN ch USING (id)")
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search in one call; questions bring their vectors."""
-    hits = search.batch_search(_vector_questions(spark, sf), _chunks(spark, sf), Bm25Index(_corpus(spark, sf)))
+    chunks = _chunks(spark, sf)
+    hits = search.batch_search(_vector_questions(spark, sf), chunks, _index(chunks))
     return hits.select("question_id", "pos", "id", "company", "fiscal_year", "section", F.round("rerank_score", 6).alias("rerank_score"))
 
 
@@ -587,10 +606,10 @@ def piece_length_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", keeps("prose", text.stripped(F.col("text"))).alias("as_prose"), keeps("table", F.col("text")).alias("as_table"))
 
 
-@query(f"WITH {GRID_SQL}, {PROSE_SQL} SELECT 'N' || k || '/' || f AS path, 'table' AS type, count(*) AS n FROM (SELECT DISTINCT k, f FROM raw) GROUP BY ALL UNION ALL SELECT path, type, count(*) FROM prose GROUP BY ALL")
+@query(f"WITH {MD_SQL}, {PROSE_SQL} SELECT 'N' || k || '/' || f AS path, 'table' AS type, f::VARCHAR AS fiscal_year, md5(text) AS digest FROM md UNION ALL SELECT path, type, fiscal_year, md5(text) FROM prose")
 def pieces_union(spark: SparkSession, sf: str) -> DataFrame:
     both = _pieces(spark, sf).select(*filings.PIECES).unionByName(filings.extract_pieces(_pages(spark, sf)).select(*filings.PIECES))
-    return both.groupBy("path", "type").agg(F.count("*").alias("n"))
+    return both.select("path", "type", "fiscal_year", F.md5("text").alias("digest"))
 
 
 @query("SELECT page_id::VARCHAR AS company, 'acc' AS accession, md5(html) AS digest FROM pages")
@@ -645,10 +664,9 @@ def write_chunk_index(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query(f"WITH {GRID_SQL} SELECT (SELECT count(*) FROM (SELECT DISTINCT k, f FROM raw)) AS n_chunks, (SELECT count(*) FROM (SELECT DISTINCT k, f FROM raw)) AS n_captioned")
+@query()
 def chunk_build_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the nations' tables, each of which is one chunk."""
-    return chunks.build_counts(chunks.build_chunks(_pieces(spark, sf)))
+    return chunks.build_counts(chunks.build_chunks(_document_pieces(spark, sf)))
 
 
 @query()
@@ -663,9 +681,12 @@ def split_table(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.split_tables(table(spark, sf, "documents").select("doc_id", md.alias("md"), F.lit("lines").alias("summary")), ["doc_id"])
 
 
-@query("SELECT 0::BIGINT AS n_over")
+@query(rf"""WITH t AS (SELECT len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x1c-\x1f\x{{85}}]')) AS n FROM documents)
+    SELECT count(*) AS n_chunks, count_if(n > {v.EMBED_LIMIT}) AS n_over, max(n)::BIGINT AS most, 0::BIGINT AS n_over_split FROM t""")
 def budget_check(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.budget_check(chunks.build_chunks(_document_pieces(spark, sf))).select("n_over")
+    """Of documents as they are, and, of their chunks, how many are over (none)."""
+    split = chunks.budget_check(chunks.build_chunks(_document_pieces(spark, sf))).select(F.col("n_over").alias("n_over_split"))
+    return chunks.budget_check(table(spark, sf, "documents")).join(F.broadcast(split), F.lit(True))
 
 
 @query("SELECT o_custkey, o_orderkey, recency FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS recency FROM orders) WHERE recency <= 3")
@@ -690,27 +711,45 @@ def recent_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.recent_history(pairs).select("conv_id", "turn", F.md5("history").alias("digest"))
 
 
-def _requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as a request in the scope of its label, and again later."""
-    e = table(spark, sf, "embeddings").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
-    return e.select((F.col("vec_id") + F.col("again") * 10_000_000_000).alias("seq"), F.col("label").cast("string").alias("scope_key"), "embedding", F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("payload"))
-
-
-#: First visits miss (no two vectors of a label are that near), second visits hit.
-CACHE_SQL = "reqs AS (SELECT vec_id + again * 10000000000 AS seq, label::VARCHAR AS scope_key, again = 1 AS hit, 'p' || vec_id AS payload FROM embeddings, (SELECT unnest([0, 1]) AS again))"
+#: Requests of a vector's own scope, as multiples of its label and one: cosine and sine of 10 degrees, and of 15. The second is no hit of
+#: the first; the third lies between them, a tie; the fourth is the third again; the fifth is 15 degrees from the third and 5 from the first;
+#: the sixth is far from all and the seventh a near miss of the sixth.
+OWN_SCOPE = [(0.984807753, 0.173648178), (0.984807753, -0.173648178), (1.0, 0.0), (2.0, 0.0), (0.965925826, 0.258819045), (-1.0, 0.0), (-0.965925826, 0.258819045)]
 
 
-@query(f"WITH {CACHE_SQL} SELECT * FROM reqs")
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a request in the scope of its label, and again later; and seven in a scope of its own."""
+    e = table(spark, sf, "embeddings")
+    twice = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    shared = twice.select((F.col("vec_id") + F.col("again") * 10_000_000_000).alias("seq"), F.col("label").cast("string").alias("scope_key"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("payload"))
+    times = F.col("label") + 1.0
+    own = e.select("vec_id", F.posexplode(F.array(*(F.array(times * x, times * y) for x, y in OWN_SCOPE))).alias("no", "embedding"))
+    own = own.select((F.lit(20_000_000_000) + F.col("vec_id") * 10 + F.col("no")).alias("seq"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("scope_key"), "embedding", F.concat(F.lit("o"), F.col("no").cast("string")).alias("payload"))
+    return shared.unionByName(own)
+
+
+#: In a label's scope first visits miss (no two of its vectors are that near) and second visits hit.
+CACHE_SQL = """
+vn AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+firsts AS (SELECT a.vec_id, max(list_dot_product(a.u, b.u)) AS best FROM vn a JOIN vn b ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY 1),
+reqs AS (SELECT vec_id + again * 10000000000 AS seq, label::VARCHAR AS scope_key, again = 1 AS hit, 'p' || vec_id AS payload, CASE WHEN again = 1 THEN 1.0::DOUBLE ELSE best END AS similarity
+         FROM embeddings LEFT JOIN firsts USING (vec_id), (SELECT unnest([0, 1]) AS again)
+         UNION ALL SELECT 20000000000 + vec_id * 10 + n, 'v' || vec_id, h, p, c FROM embeddings,
+             (VALUES (0, FALSE, 'o0', NULL), (1, FALSE, 'o1', 0.939693), (2, TRUE, 'o1', 0.984808), (3, TRUE, 'o1', 0.984808), (4, TRUE, 'o0', 0.996195), (5, FALSE, 'o5', -0.984808), (6, FALSE, 'o6', 0.965926)) AS t(n, h, p, c))"""
+CACHED = f"WITH {CACHE_SQL} SELECT seq, scope_key, hit, payload, round(similarity, 6)::DOUBLE AS similarity FROM reqs"
+
+
+@query(CACHED)
 def answer_cache(spark: SparkSession, sf: str) -> DataFrame:
-    return cache.answer_cache(_requests(spark, sf)).drop("similarity")
+    return cache.answer_cache(_requests(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT count(*) AS entries, count(*) AS hits, count(*) AS misses, 0.5::DOUBLE AS hit_rate FROM embeddings")
+@query("SELECT 5 * count(*) AS entries, 4 * count(*) AS hits, 5 * count(*) AS misses, 4.0::DOUBLE / 9 AS hit_rate FROM embeddings")
 def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
     return cache.cache_stats(cache.answer_cache(_requests(spark, sf)))
 
 
-@query(f"WITH {CACHE_SQL} SELECT * FROM reqs")
+@query(CACHED)
 def answer_cache_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same requests as a stream."""
     root = f"{shared_dir(spark)}/cache-stream-{uuid.uuid4().hex}"
@@ -719,18 +758,34 @@ def answer_cache_stream(spark: SparkSession, sf: str) -> DataFrame:
     stream = spark.readStream.schema(requests.schema).parquet(f"{root}/in")
     run = jobs.answer_cache_stream(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("similarity")
+    return spark.read.parquet(f"{root}/out").withColumn("similarity", F.round("similarity", 6))
+
+
+INGEST_SQL = rf"""WITH {GRID_SQL}, {PROSE_SQL},
+paths AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM (SELECT path FROM prose UNION ALL SELECT DISTINCT 'N' || k || '/' || f FROM raw)),
+facts AS (SELECT ticker, fiscal_year, line_item_raw, metric_value, y, f, row_no, year_no, place FROM raw JOIN paths ON path = ticker || '/' || f WHERE row_no < 2),
+firsts AS (SELECT *, min(place * 100 + row_no * 10 + year_no) OVER w AS seen FROM facts WINDOW w AS (PARTITION BY ticker, fiscal_year, lower(line_item_raw), metric_value)),
+kept AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY ticker, fiscal_year, lower(line_item_raw), metric_value ORDER BY f <> y, place, row_no, year_no) = 1),
+short AS (SELECT *, company || '-' || fiscal_year || '-other-prose-' || left(md5(text), 8) AS id FROM prose WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x1c-\x1f\x{{85}}]')) <= {v.PROSE_TOKENS})
+SELECT 'piece' AS kind, path AS id, company, md5(text) AS what, 0::DOUBLE AS value FROM prose
+UNION ALL SELECT 'fact', ticker || '-' || f || '-' || place, ticker, fiscal_year || ' ' || line_item_raw || ' ' || row_number() OVER (ORDER BY seen), metric_value FROM kept
+UNION ALL SELECT 'chunk', id, any_value(company), min(path), 64::DOUBLE FROM short GROUP BY id"""
 
 
-@query(f"WITH {PROSE_SQL} SELECT path, company, md5(text) AS digest FROM prose")
+@query(INGEST_SQL)
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as a stream of filings; the pieces that end up stored."""
+    """Pages and the nations' filings as a stream in several batches: the prose pieces, facts, and chunks of one-chunk pieces that end up stored."""
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    pages = _pages(spark, sf)
-    pages.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(pages.schema).parquet(f"{root}/in")
+    pages = _pages(spark, sf).unionByName(_html_filings(spark, sf))
+    pages.repartition(4).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     jobs.incremental_ingest(stream, spark, root).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/pieces").select("path", "company", F.md5("text").alias("digest"))
+    pieces = jobs.stored_pieces(spark, root).where("type = 'prose'")
+    one = jobs.stored_chunks(spark, root).join(pieces.select("path", "piece_no", "text"), ["path", "piece_no", "text"])
+    found = jobs.stored_facts(spark, root)
+    out = pieces.select(F.lit("piece").alias("kind"), F.col("path").alias("id"), "company", F.md5("text").alias("what"), F.lit(0.0).alias("value"))
+    out = out.unionByName(found.select(F.lit("fact").alias("kind"), F.col("source_table_id").alias("id"), F.col("ticker").alias("company"), F.concat_ws(" ", "fiscal_year", "line_item_raw", F.col("entry_id").cast("string")).alias("what"), F.col("metric_value").alias("value")))
+    return out.unionByName(one.select(F.lit("chunk").alias("kind"), "id", "company", F.col("path").alias("what"), F.size("embedding").cast("double").alias("value")))
 
 
 # ---------------------------------------------------------------- evidence and answers
@@ -970,17 +1025,59 @@ def golden_guard(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.golden_guard(events, allowed).select("event_id", F.col("company").alias("event_type"))
 
 
-@query("SELECT event_id, event_type AS company FROM events")
+@query("SELECT 'q' || event_id AS question, event_type AS company, CASE WHEN event_id % 3 > 0 THEN 'TABLE' END AS expected_route, CASE WHEN event_id % 4 = 0 THEN event_type || ' FY2021 mda' END AS relevant, 'a \"b\", c' AS ground_truth FROM events")
 def read_golden(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("event_id", F.col("event_type").alias("company"))
-    return evaluate.load_golden(events, events.select("company").distinct())
-
-
-@query(f"""WITH {RETRIEVAL_SQL}, {GRID_SQL}, {QUESTIONS_SQL} SELECT question_id, route AS intent, CASE WHEN t < 3 THEN route ELSE 'TEXT' END AS executed FROM un WHERE question_id < 10""")
+    """Labelled questions of events, written as files of a golden set and read back under the guard."""
+    n = F.col("event_id")
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lit("q"), n.cast("string")).alias("question"), F.lit('a "b", c').alias("ground_truth"), F.col("event_type").alias("company"),
+        F.when(n % 3 > 0, "TABLE").alias("expected_route"), F.when(n % 4 == 0, F.concat("event_type", F.lit(" FY2021 mda"))).alias("relevant"),
+    )
+    path = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    golden = evaluate.read_golden(spark, path, rows.select("company").distinct())
+    return golden.select("question", "company", "expected_route", "relevant", "ground_truth")
+
+
+GATHER_SQL = f"""WITH {CORPUS_SQL}, {EXCERPTS_SQL},
+gu AS (SELECT un.*, embedding::DOUBLE[] AS e, CASE t WHEN 0 THEN 'What was the total revenue of n' || substr(companies[1], 2) || ' in 2021?' WHEN 1 THEN 'Why did net income of N' || substr(companies[1], 2) || ' fall from 2021 to 2023?'
+              WHEN 2 THEN 'Compare gross profit and cost of sales for n' || substr(qs.c, 2) || ' and n' || substr(qs.c2, 2) || ' in 2022' WHEN 3 THEN 'What risks does n' || substr(companies[1], 2) || ' describe?'
+              WHEN 4 THEN 'How much revenue did FY2024 bring?' ELSE 'What does n' || substr(companies[1], 2) || ' say about operating income in 2025?' END AS question
+       FROM un JOIN qs USING (question_id, t) JOIN embeddings ON vec_id = question_id // 50 WHERE question_id % 50 = 0),
+gr AS (SELECT question_id, route AS intent, CASE WHEN question_id IN (SELECT question_id FROM found) AND route <> 'TEXT' THEN route ELSE 'TEXT' END AS executed, len(companies) * greatest(1, len(years)) AS n_scopes FROM gu),
+gc AS (SELECT doc_id::VARCHAR AS id, text, 'N' || label AS company, (2021 + doc_id % 5)::VARCHAR AS fiscal_year, source AS section, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+gs AS (SELECT question_id, e, (ci * greatest(1, len(years)) + yi)::INT AS scope_no, companies[ci + 1] AS company, years[yi + 1] AS fiscal_year
+       FROM (SELECT *, unnest(range(greatest(1, len(years)))) AS yi FROM (SELECT *, unnest(range(greatest(1, len(companies)))) AS ci FROM gu))),
+gm AS (SELECT gs.question_id, scope_no, id, gs.e AS qe, gc.e AS ce FROM gs JOIN gc ON (gs.company IS NULL OR gs.company = gc.company) AND (gs.fiscal_year IS NULL OR gs.fiscal_year = gc.fiscal_year)),
+gd AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY score DESC, id)::INT AS rank FROM
+       (SELECT question_id, scope_no, id, list_dot_product(ce, qe) / sqrt(list_dot_product(ce, ce)) / sqrt(list_dot_product(qe, qe)) AS score FROM gm WHERE ce IS NOT NULL) QUALIFY rank <= 30),
+ga AS (SELECT question_id, term, count(*) AS qf FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM gu) GROUP BY ALL),
+gb AS (SELECT question_id, id::VARCHAR AS id, round(sum(qf * idf * tf * {v.BM25_K1 + 1}::DOUBLE / (tf + {v.BM25_K1}::DOUBLE * ({1 - v.BM25_B}::DOUBLE + {v.BM25_B}::DOUBLE * dl / avgdl))), 9) AS score
+       FROM post JOIN ga USING (term) JOIN terms USING (term), sizes GROUP BY question_id, id),
+gp AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY score DESC, id)::INT AS rank FROM (SELECT question_id, scope_no, id, score FROM gm JOIN gb USING (question_id, id) WHERE score > 0) QUALIFY rank <= 30),
+gf AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST)::INT AS rank FROM
+       (SELECT question_id, scope_no, id, coalesce(1.0::DOUBLE / ({v.RRF_K} + gd.rank), 0) + coalesce(1.0::DOUBLE / ({v.RRF_K} + gp.rank), 0) AS rrf, gd.rank AS dr, gp.rank AS sr FROM gd FULL JOIN gp USING (question_id, scope_no, id))),
+gt AS (SELECT question_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS q FROM gu),
+gk AS (SELECT *, row_number() OVER (PARTITION BY question_id, scope_no ORDER BY rerank_score DESC, fused)::INT AS rank FROM
+       (SELECT question_id, scope_no, gf.id, gf.rank AS fused, coalesce(len(list_intersect(q, ts))::DOUBLE / len(q), 0) AS rerank_score FROM gf JOIN toks ON toks.id::VARCHAR = gf.id JOIN gt USING (question_id))),
+gl AS (SELECT gk.* FROM gk JOIN gr USING (question_id) WHERE rank <= CASE WHEN n_scopes > 1 THEN 4 WHEN executed = 'TABLE' THEN 3 ELSE 5 END QUALIFY row_number() OVER (PARTITION BY question_id, gk.id ORDER BY scope_no, rank) = 1),
+ge AS (SELECT question_id, id, company, fiscal_year, section, rerank_score, 0 AS src, 0 AS a, 0 AS b FROM ex WHERE question_id IN (SELECT question_id FROM gr)
+       UNION ALL SELECT question_id, id, gc.company, gc.fiscal_year, gc.section, rerank_score, 1, scope_no, rank FROM gl JOIN gc USING (id))
+SELECT question_id, intent, executed, pos, id, company, fiscal_year, section, round(rerank_score, 6) AS rerank_score FROM gr LEFT JOIN
+    (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY src, a, b, company, fiscal_year)::INT AS pos FROM ge) USING (question_id)"""
+
+
+@query(GATHER_SQL)
 def gather_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Intent and executed route of the first ten questions; the evidence itself is gathered on the way."""
-    asked = _understood(spark, sf).where("question_id < 10")
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding")
-    found, routes = search.gather_evidence(asked.join(vectors, "question_id"), build.build_fact_store(_pieces(spark, sf)), _chunks(spark, sf), Bm25Index(_corpus(spark, sf)))
-    counts = found.groupBy("question_id").agg(F.count("*").alias("n"))
-    return routes.join(counts, "question_id", "left").where("executed = 'TEXT' or n > 0").select("question_id", "intent", "executed")
+    """Evidence by position, and routes, of the customers' questions whose number is divisible by 50, over all documents.
+
+    A document's company is a nation by its vector's label, its year follows from its number.
+    """
+    vectors = table(spark, sf, "embeddings")
+    asked = _understood(spark, sf).where("question_id % 50 = 0").join(vectors.select((F.col("vec_id") * 50).alias("question_id"), "embedding"), "question_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("section"), (F.lit(2021) + F.col("doc_id") % 5).cast("string").alias("fiscal_year"))
+    named = vectors.select(F.col("vec_id").alias("doc_id"), "embedding", F.concat(F.lit("N"), F.col("label").cast("string")).alias("company"))
+    corpus = docs.join(named, "doc_id", "left").withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
+    found, routes = search.gather_evidence(asked, build.build_fact_store(_pieces(spark, sf)), corpus, _index(corpus))
+    found = found.select("question_id", "pos", "id", "company", "fiscal_year", "section", F.round("rerank_score", 6).alias("rerank_score"))
+    return routes.join(found, "question_id", "left")

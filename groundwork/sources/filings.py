@@ -31,7 +31,8 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pieces(pieces: DataFrame, path: str) -> None:
-    pieces.write.mode("overwrite").partitionBy("company", "fiscal_year").parquet(path)
+    """By company and year; rebalanced first, so that a task writes few partitions and a large one is split."""
+    pieces.hint("rebalance", "company", "fiscal_year").write.mode("overwrite").partitionBy("company", "fiscal_year").parquet(path)
 
 
 def write_fact_store(facts: DataFrame, path: str) -> None:
@@ -41,7 +42,7 @@ def write_fact_store(facts: DataFrame, path: str) -> None:
 
 def write_chunk_index(chunks: DataFrame, path: str) -> None:
     """Drop and rebuild; the same input gives the same index."""
-    chunks.write.mode("overwrite").partitionBy("company", "fiscal_year").parquet(path)
+    chunks.hint("rebalance", "company", "fiscal_year").write.mode("overwrite").partitionBy("company", "fiscal_year").parquet(path)
 
 
 def latest_filings(filings: DataFrame, n: int = 3, by: str = "company", order: tuple[str, ...] = ("filed",)) -> DataFrame:
@@ -85,10 +86,14 @@ def extract_pieces(filings: DataFrame, patterns: tuple = v.SECTIONS) -> DataFram
     return pages.select("path", "company", "fiscal_year", F.posexplode(kept).alias("piece_no", "p")).select("path", "company", "fiscal_year", "p.*", "piece_no")
 
 
+def first_piece_index(pieces: DataFrame) -> DataFrame:
+    """``path, piece_index``: how many pieces stand before those of a path. Only counts by filing are added up."""
+    return running_total(pieces.groupBy("path").agg(F.count("*").alias("n")), "path", "n", "piece_index").drop("n")
+
+
 def with_piece_index(pieces: DataFrame) -> DataFrame:
-    """``piece_index``: the place of a piece in the list of all, by path and number. Only counts by filing are added up."""
-    counts = pieces.groupBy("path").agg(F.count("*").alias("n"))
-    return pieces.join(running_total(counts, "path", "n", "_before"), "path").withColumn("piece_index", F.col("_before") + F.col("piece_no")).drop("_before", "n")
+    """``piece_index``: the place of a piece in the list of all, by path and number."""
+    return pieces.join(first_piece_index(pieces), "path").withColumn("piece_index", F.col("piece_index") + F.col("piece_no"))
 
 
 def profile(pieces: DataFrame, sections: tuple[str, ...] = (*(s for s, _ in v.SECTIONS), "other")) -> DataFrame:

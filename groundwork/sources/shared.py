@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a folder of
-    our own is made and set for the rest of the session.
+    Only where that setting is absent and all runs on one machine, as in tests, a
+    folder of our own is made and set for the rest of the session. On a cluster
+    the setting is required: executors would write to their own disks.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         if found := spark.sparkContext.getCheckpointDir():
             return found
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")

@@ -13,9 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from groundwork.functions import vocabulary as v
 from groundwork.operators import chunks as c
+from groundwork.operators import facts as f
 from groundwork.operators.cache import OUT, Entries
-from groundwork.plans.build import build_fact_store
+from groundwork.plans.build import Embedder, embedded, hashed_embedder
 from groundwork.sources import filings as s
+from groundwork.sources.shared import written
 
 
 def answer_cache_stream(requests: DataFrame, threshold: float = v.CACHE_THRESHOLD) -> DataFrame:
@@ -33,7 +35,7 @@ def answer_cache_stream(requests: DataFrame, threshold: float = v.CACHE_THRESHOL
             entries.vectors = np.array(vectors, np.float64).reshape(len(payloads), -1)
         rows = []
         for seq, vector, payload in sorted(((r.seq, r.embedding, r.payload) for b in batches for r in b.itertuples()), key=lambda r: r[0]):
-            rows.append((seq, key[0], *entries.ask(np.asarray(vector, np.float64), payload)))
+            rows.append((seq, key[0], *entries.ask(vector, payload)))
         state.update((entries.vectors[: len(entries.payloads)].ravel().tolist(), entries.payloads))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
 
@@ -41,40 +43,69 @@ def answer_cache_stream(requests: DataFrame, threshold: float = v.CACHE_THRESHOL
     return rows.groupBy("scope_key").applyInPandasWithState(run, OUT, "vectors array<double>, payloads array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def incremental_ingest(filings: DataFrame, spark: SparkSession, root: str) -> DataStreamWriter:
-    """A stream of filings (``path, company, html``) into ``pieces``, ``chunks`` and ``facts`` below ``root``.
+#: What is stored of each batch, by company and batch: pieces, the facts of their tables as they stand there, and chunks. Of a chunk
+#: that an earlier batch has stored, only the vector is left out.
+STORED = {
+    "pieces": "path string, section string, type string, text string, piece_no int, fiscal_year string, company string, batch long",
+    "facts": "fiscal_year string, fiscal_period string, line_item_standardized string, line_item_raw string, metric_value double, unit string, source_company_fy string, source_section string, path string, piece_no int, row_no int, year_no int, company string, batch long",
+    "chunks": "id string, path string, fiscal_year string, section string, type string, piece_no int, captioned boolean, chunk_no int, text string, embedding array<float>, company string, batch long",
+}
 
-    A batch that is run again changes nothing: pieces of a path and chunks of an
-    id that are already stored are left out. Facts are built anew for the
-    companies that a batch touches, from their stored pieces, and only those
-    partitions are replaced.
-    """
 
-    def stored(name: str) -> DataFrame | None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")  # noqa: SLF001
-        exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # noqa: SLF001
-        return spark.read.parquet(f"{root}/{name}") if exists else None
+def incremental_ingest(filings: DataFrame, spark: SparkSession, root: str, embedder: Embedder = hashed_embedder, count: c.Counter = c.count_tokens, id_digits: int = 8) -> DataStreamWriter:
+    """A stream of filings (``path, company, html``) into ``pieces``, ``facts`` and ``chunks`` below ``root``.
+
+    Each batch writes partitions of its own, so one that is run again replaces
+    what it wrote. Pieces of a path that another batch has stored are left out.
+    Only the stored partitions of a batch's companies are read, and only chunks
+    that are not stored yet are embedded. ``stored_pieces``, ``stored_facts`` and
+    ``stored_chunks`` read what one build of all filings would give.
+    """
+    for name, schema in STORED.items():
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("company", "batch").parquet(f"{root}/{name}")
 
     def ingest(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            pieces = s.extract_pieces(batch)
-            if (old := stored("pieces")) is not None:
-                pieces = pieces.join(old.select("path").distinct(), "path", "left_anti")
-            pieces = pieces.persist()
-            chunks = c.build_chunks(pieces)
-            if (known := stored("chunks")) is not None:
-                chunks = chunks.join(known.select("id"), "id", "left_anti")
-            chunks.write.mode("append").parquet(f"{root}/chunks")
-            touched = pieces.select("company").distinct().persist()
-            touched.count()
-            pieces.write.mode("append").parquet(f"{root}/pieces")
-            every = spark.read.parquet(f"{root}/pieces").join(touched, "company", "left_semi")
-            store = build_fact_store(s.with_piece_index(every))
-            store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{root}/facts")
-        finally:
-            batch.unpersist()
+        companies = F.broadcast(batch.select("company").distinct())  # a row for each company of one batch
+        before = lambda name: _stored(spark, root, name).where(F.col("batch") != number).join(companies, "company", "left_semi")
+
+        def store(df: DataFrame, name: str) -> None:
+            columns = [x.split()[0] for x in STORED[name].split(", ")]
+            out = df.withColumn("batch", F.lit(number).cast("long")).select(*columns).hint("rebalance", "company")
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company", "batch").parquet(f"{root}/{name}")
+
+        pieces = written(s.extract_pieces(batch).join(before("pieces").select("path").distinct(), "path", "left_anti"), "ingest-pieces")
+        store(pieces, "pieces")
+        found = f.table_to_facts(pieces.withColumn("piece_index", F.col("piece_no")), keep=("path",))
+        store(found.withColumnRenamed("ticker", "company").withColumn("piece_no", F.col("piece_index")), "facts")
+        chunks = written(c.build_chunks(pieces, count, id_digits), "ingest-chunks")
+        known = before("chunks").where("embedding is not null").select("id").distinct()
+        new = embedded(chunks.join(known, "id", "left_anti"), "text", embedder)
+        again = chunks.join(known, "id", "left_semi").withColumn("embedding", F.lit(None).cast("array<float>"))
+        store(new.unionByName(again), "chunks")
 
     return filings.writeStream.foreachBatch(ingest)
 
 
+def _stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(STORED[name]).parquet(f"{root}/{name}")
+
+
+def stored_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return _stored(spark, root, "pieces").select(*s.PIECES)
+
+
+def stored_facts(spark: SparkSession, root: str) -> DataFrame:
+    """The fact store of all stored filings. Pieces are numbered over all of them, so identifiers are unique and those of one full build."""
+    places = s.first_piece_index(stored_pieces(spark, root))
+    placed = _stored(spark, root, "facts").join(places, "path").withColumn("piece_index", F.col("piece_index") + F.col("piece_no")).withColumnRenamed("company", "ticker")
+    filed = F.regexp_extract("source_company_fy", "FY([^ ]*)$", 1)
+    named = placed.withColumn("source_table_id", F.concat_ws("-", "ticker", filed, F.col("piece_index").cast("string")))
+    return f.with_entry_ids(f.dedup(named.select(*f.FACT_COLUMNS, *f.ORDER)))
+
+
+def stored_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The chunk index of all stored filings: each id once, the first in document order, with its vector."""
+    rows = _stored(spark, root, "chunks").drop("batch")
+    rest = [x for x in rows.columns if x not in ("id", "embedding")]
+    first = rows.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("path", "piece_no", "chunk_no")).alias("c"), F.max_by("embedding", F.col("embedding").isNotNull()).alias("embedding"))
+    return first.select("id", "c.*", "embedding")
