@@ -25,9 +25,13 @@ of its own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.llm.common import written
+
 #: Ranges of the seeded order, by the first three hexadecimal digits.
 RANGES = 4096
 
@@ -47,7 +51,8 @@ def allocate(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str,
     """``leaves`` (the levels and ``tokens``) with ``budget``: tokens to draw from each leaf.
 
     ``weights``: by level, the weight of a child name. One row for each node of
-    the tree takes part; windows are by parent.
+    the tree takes part; windows are by parent, so the children of one node, two
+    numbers each, are put in order by one task. Leaves are not gathered.
     """
     tree = leaves.withColumn("_gw_cap", F.col("tokens") * max_epochs).withColumn("_gw_given", budget)
     for depth, level in enumerate(levels):
@@ -78,10 +83,10 @@ def drawn(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]]
     The budget is ``budget_share`` of all tokens. ``rows`` is read more than
     once and should be a written table. A ``row_col`` orders rows that share an id.
     """
-    leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
-    total = F.floor(F.sum("tokens").over(Window.partitionBy()) * F.lit(budget_share)).cast("long")
+    leaves = written(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
+    budget = math.floor((leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share)
     budgets = (
-        allocate(leaves.withColumn("_gw_total", total), levels, weights, F.col("_gw_total"), max_epochs)
+        allocate(leaves, levels, weights, F.lit(budget).cast("long"), max_epochs)
         .withColumn("full_epochs", F.expr("case when tokens > 0 then budget div tokens else 0 end"))
         .withColumn("_gw_prefix", F.expr("case when tokens > 0 then budget % tokens else 0 end"))
         .select(*levels, "full_epochs", "_gw_prefix")

@@ -40,8 +40,10 @@ def byte_shards(rows: DataFrame, shards: int, id_col: str = "doc_id") -> DataFra
     The tables joined back by broadcast have one row for each range partition
     (``spark.sql.shuffle.partitions`` at most) and one for each shard.
     """
-    order = [F.col(id_col).asc_nulls_first(), *(F.col(c) for c in rows.columns if c != id_col)]
-    ranged = written(rows.repartitionByRange(F.col(id_col).asc_nulls_first()).withColumn("_gw_part", F.spark_partition_id()), "shard-rows")
+    # The last key tells repeated rows apart, so that no id or row, however frequent, has to fit one range.
+    order = [F.col(id_col).asc_nulls_first(), *(F.col(c) for c in rows.columns if c != id_col), F.col("_gw_tie")]
+    sized_rows = written(rows.withColumn("_gw_tie", F.monotonically_increasing_id()), "shard-sizes")
+    ranged = written(sized_rows.repartitionByRange(*order).withColumn("_gw_part", F.spark_partition_id()), "shard-rows")
     totals = ranged.groupBy("_gw_part").agg(F.sum("size").alias("_gw_bytes"), F.count("*").alias("_gw_rows"))
     before = Window.orderBy("_gw_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -60,6 +62,8 @@ def byte_shards(rows: DataFrame, shards: int, id_col: str = "doc_id") -> DataFra
         .withColumn("_gw_mid", 2 * (F.col("_gw_byte0") + F.col("_gw_upto")) - F.col("size"))
         .withColumn("shard", F.expr(f"cast(least({shards - 1}, (cast(_gw_mid as decimal(38,0)) * {shards}) div (2 * _gw_all)) as int)"))
         .withColumn("_gw_row", F.col("_gw_row0") + F.col("_gw_no") - 1)
+        .select(*rows.columns, "shard", "_gw_row")
     )
+    placed = written(placed, "shard-places")
     firsts = placed.groupBy("shard").agg(F.min("_gw_row").alias("_gw_first"))
     return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_gw_row") - F.col("_gw_first")).select(*rows.columns, "shard", "slot")
