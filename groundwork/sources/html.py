@@ -7,11 +7,17 @@ scripts and styles are no text, hidden nodes are left out altogether.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = {"script", "style", "template", "noscript"}
+SILENT = {"script", "style", "template"}
+SIGNS = {"$", "%"}
+#: A whole number written with one decimal.
+WHOLE = re.compile(r"^(\d+)\.0$")
+#: The widest and longest that a cell can be.
+ACROSS, DOWN = 1000, 65534
 
 
 class _Table:
@@ -78,7 +84,7 @@ class Page(HTMLParser):
             if not self._open[-1].rows:
                 self._open[-1].rows.append([])
             span = [int(values[k]) if values.get(k, "").isdigit() and int(values[k]) else 1 for k in ("colspan", "rowspan")]
-            self._open[-1].rows[-1].append(([], min(span[0], 1000), min(span[1], 1000)))
+            self._open[-1].rows[-1].append(([], min(span[0], ACROSS), min(span[1], DOWN)))
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
@@ -110,17 +116,25 @@ def grid(table: _Table) -> list[list[str]]:
 
 
 def clean_table(cells: list[list[str]]) -> list[list[str]]:
-    """Without empty and repeated columns, columns of mere ``$`` or ``%``, empty rows, and ``.0`` after whole numbers."""
-    rows = [[c.strip() for c in row] for row in cells]
-    rows = [[c[:-2] if c.endswith(".0") and c[:-2].isdigit() else c for c in row] for row in rows if any(row)]
-    columns = [list(c) for c in zip(*rows, strict=True)] if rows else []
-    kept: list[list[str]] = []
-    for column in columns:
-        filled = [c for c in column if c]
-        marks = sum(c in ("$", "%") for c in filled)
-        if filled and marks < max(1, len(filled) // 2) and column not in kept:
-            kept.append(column)
-    return [list(row) for row in zip(*kept, strict=True) if any(row)] if kept else []
+    """The table without what spans and spacers leave behind.
+
+    Only filled cells are kept, by column, so empty rows and columns are gone from
+    the start. A column goes if a sign alone stands in half of its cells (rounded
+    down, one at least), or if an earlier one is equal. Rows that only those
+    columns filled go with them.
+    """
+    columns: dict[int, dict[int, str]] = {}
+    for r, row in enumerate(cells):
+        for c, cell in enumerate(row):
+            if text := WHOLE.sub(r"\1", cell.strip()):
+                columns.setdefault(c, {})[r] = text
+    kept: list[dict[int, str]] = []
+    for _, filled in sorted(columns.items()):
+        signs = len([x for x in filled.values() if x in SIGNS])
+        mere_signs = signs > 0 and 2 * signs + 1 >= len(filled)
+        if not mere_signs and filled not in kept:
+            kept.append(filled)
+    return [[filled.get(r, "") for filled in kept] for r in sorted({r for filled in kept for r in filled})]
 
 
 def to_markdown(rows: list[list[str]]) -> str:

@@ -1,5 +1,9 @@
 """Operators on small inputs."""
 
+import json
+import shutil
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +12,7 @@ from groundwork.operators.ordering import numbered, running_total
 from groundwork.operators.sparse import Bm25Index
 from groundwork.plans import build, search
 from groundwork.sources import filings, html
+from groundwork.streaming import jobs
 
 PAGE = """<html><head><title>T &amp; Co</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
 <div style="DISPLAY : none">x</div><div style="display: none">20200131 hidden<br><b>junk</b></div><!-- c -->
@@ -17,6 +22,52 @@ PAGE = """<html><head><title>T &amp; Co</title><style>p{}</style><script>var a =
 <tr><td>Net income</td><td>$</td><td>(20)</td><td>$</td><td>30</td></tr></table></body></html>""" % ("word " * 40)
 
 
+def test_clean_table_rule_by_rule():
+    clean = html.clean_table
+    assert clean([["a", "", "1.0"], ["", "", ""], ["b", "", "2.50"]]) == [["a", "1"], ["b", "2.50"]]  # empty rows and columns, whole numbers
+    assert clean([["x.0", "1,200.0", "-3.0", "0.0"]]) == [["x.0", "1,200.0", "-3.0", "0"]]  # only plain digits lose the suffix
+    assert clean([["2023", "2023", "5"], ["1", "1", "6"]]) == [["2023", "5"], ["1", "6"]]  # equal columns
+    assert clean([["a", "$", "1"], ["b", "", "2"], ["c", "%", "3"]]) == [["a", "1"], ["b", "2"], ["c", "3"]]  # signs alone
+    assert clean([["$"], ["1"], ["2"]]) == [] and clean([["$"], ["1"], ["2"], ["3"]]) == [["$"], ["1"], ["2"], ["3"]]  # half of the cells, rounded down
+    assert clean([["a", ""], ["", "$"]]) == [["a"]]  # a row that only a dropped column filled
+    assert clean([]) == clean([[]]) == clean([[" ", ""]]) == []
+
+
+def test_spans_and_noscript():
+    page = html.Page("<noscript>kept</noscript><table><tr><td rowspan=2000>a</td><td>0</td></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 1500)) + "</table>")
+    rows = html.grid(page.tables[0])
+    assert page.prose == ["kept"] and len(rows) == 1500 and {r[0] for r in rows} == {"a"} and rows[-1][1] == "1499"
+
+
+def test_ingest_equals_one_build(spark, tmp_path):
+    # Two batches and a replay; company AA comes in both, a chunk comes again with an earlier path, a filing comes twice.
+    page = lambda year, words, amount: f"<p>{year}1231</p><p>Item 7. Management {words}</p><table><tr><th></th><th>2023</th><th>2024</th></tr><tr><td>Net income</td><td>{amount}</td><td>20,000</td></tr><tr><td>Total assets</td><td>30,001</td><td>{amount}</td></tr><tr><td>Other things owned</td><td>55,555</td><td>66,666</td></tr></table>"
+    words = " ".join(f"word{i}" for i in range(900))
+    first = [("p5", "AA", page(2023, words, "1,000")), ("p7", "BB", page(2024, words + " b", "7,000"))]
+    second = [("p2", "AA", page(2023, words, "1,000")), ("p5", "AA", page(2020, "other " * 60, "9")), ("p6", "CC", page(2024, "c " * 80, "3,000")), ("p9", "AA", page(2024, words + " a", "4,000"))]
+    schema = "path string, company string, html string"
+    root, source = f"file://{tmp_path}/store", tmp_path / "in"
+    stream = lambda: jobs.incremental_ingest(spark.readStream.schema(schema).parquet(str(source)), spark, root).option("checkpointLocation", f"{root}-state").trigger(availableNow=True)
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream().start().awaitTermination()
+    shutil.copytree(tmp_path / "store", tmp_path / "before")
+    for commit in ("1", ".1.crc"):  # the second batch is not known to have ended, and is run again
+        (tmp_path / "store-state" / "commits" / commit).unlink()
+    stream().start().awaitTermination()
+
+    whole = spark.createDataFrame([*first, *(x for x in second if x[0] != "p5")], schema)
+    pieces = filings.with_piece_index(filings.extract_pieces(whole))
+    shown = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for store in (root, f"file://{tmp_path}/before"):
+        assert shown(jobs.stored_pieces(spark, store)) == shown(pieces.drop("piece_index"))
+        found = jobs.stored_facts(spark, store)
+        assert shown(found) == shown(build.build_fact_store(pieces)) and found.count() == found.select("entry_id").distinct().count() > 6
+        assert found.select("ticker").distinct().count() == 3
+        chunks_of = jobs.stored_chunks(spark, store)
+        assert shown(chunks_of) == shown(build.build_chunk_index(pieces)) and chunks_of.where("embedding is null").count() == 0
+
+
 def test_html(spark):
     page = html.Page(PAGE)
     assert "hidden" not in " ".join(page.words) and "no" not in page.words and page.words[0] == "T & Co"
@@ -71,8 +122,34 @@ def test_dense_limits(spark):
     chunks_df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "id long, embedding array<double>")
     asked = spark.createDataFrame([(7, [2.0, 0.0])], "question_id long, embedding array<double>")
     assert [(r["id"], r["rank"]) for r in dense.topk(chunks_df, asked, 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
-    with pytest.raises(ValueError, match="more than 0"):
-        dense.topk(chunks_df, asked, 2, max_questions=0)
+    assert dense.topk(chunks_df, asked.limit(0), 2).count() == 0
+
+
+def test_dense_blocks_ties_and_missing_vectors(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (90, 3)).astype(float)  # many equal directions
+    rows = [(f"c{i:02}", v.tolist() if i % 9 else None, f"co{i % 3}", str(2020 + i % 2)) for i, v in enumerate(vectors)]
+    queries = [(i, rng.integers(-2, 3, 3).astype(float).tolist() if i % 7 else None, [] if i % 4 else [("co1", None), (None, "2021"), ("co9", None)]) for i in range(60)]
+    chunks_df = spark.createDataFrame(rows, "id string, embedding array<double>, company string, fiscal_year string").repartition(4)
+    asked = spark.createDataFrame(queries, "question_id long, embedding array<double>, scopes array<struct<company:string,fiscal_year:string>>")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    expected = set()
+    for q, e, scopes in queries:
+        for no, (company, year) in enumerate(scopes or [(None, None)]) if e else ():
+            fits = [(-round(float(unit(v) @ unit(e)), 9), i) for i, v, c, y in rows if v and company in (None, c) and year in (None, y)]
+            expected |= {(q, no, i, rank) for rank, (_, i) in enumerate(sorted(fits)[:5], 1)}
+    exact = lambda df: {(r["question_id"], r["scope_no"], r["id"], r["rank"]) for r in df.collect()}
+    whole, blocks = exact(dense.topk(chunks_df, asked, 5, scoped=True)), exact(dense.topk(chunks_df, asked, 5, scoped=True, block=7))
+    assert whole == blocks and len(whole) == len(expected) and {x[:2] for x in whole} == {x[:2] for x in expected}
+    assert len(whole & expected) > 0.9 * len(expected)  # equal directions may differ in their last bit
+
+
+def test_dense_ten_thousand_questions(spark):
+    rng = np.random.default_rng(1)
+    chunks_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(10_000, 8)))], "question_id long, embedding array<double>")
+    out = dense.topk(chunks_df, asked, 3)
+    assert out.count() == 30_000 and out.select("question_id").distinct().count() == 10_000
 
 
 def test_merge_and_rerank_off(spark):
@@ -112,6 +189,25 @@ def test_cache(spark):
     assert cache.cache_stats(cache.answer_cache(empty)).first()["hit_rate"] == 0.0
 
 
+def test_cache_without_vectors(spark):
+    rows = [(1, "a", None, "p1"), (2, "a", [1.0, 0.0], "p2"), (3, "a", None, "p3"), (4, "a", [2.0, 0.0], "p4")]
+    out = cache.answer_cache(spark.createDataFrame(rows, "seq long, scope_key string, embedding array<double>, payload string")).orderBy("seq").collect()
+    assert [(r["hit"], r["payload"], r["similarity"]) for r in out] == [(False, "p1", None), (False, "p2", None), (False, "p3", None), (True, "p2", 1.0)]
+
+
+def test_golden_files(spark, tmp_path):
+    allowed = spark.createDataFrame([("AA",)], "company string")
+    rows = [{"question": "q: 1?", "company": "AA", "year": 2024}, {"question": "q2", "company": "AA", "relevant": "AA FY2024 mda"}]
+    (tmp_path / "g.json").write_text(json.dumps(rows))
+    (tmp_path / "g.yaml").write_text("- question: 'q: 1?'\n  company: AA\n  year: 2024\n- question: q2\n  company: AA\n  relevant: AA FY2024 mda\n")
+    pytest.importorskip("yaml")
+    for name in ("g.json", "g.yaml"):
+        got = evaluate.read_golden(spark, f"file://{tmp_path}/{name}", allowed).orderBy("question").collect()
+        assert [(r["question"], r["year"], r["relevant"]) for r in got] == [("q2", None, "AA FY2024 mda"), ("q: 1?", "2024", None)]
+    with pytest.raises(ValueError, match="AA"):
+        evaluate.read_golden(spark, f"file://{tmp_path}/g.json", allowed.limit(0))
+
+
 def test_answers_without_evidence(spark):
     answers = spark.createDataFrame([(1, "See [1] and [4]."), (2, "Sure [1].")], "question_id long, text string")
     found = spark.createDataFrame([(1, 1, "c", "t", "CO", "2024", "mda", None)], "question_id long, pos int, id string, text string, company string, fiscal_year string, section string, rerank_score double")
