@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,19 +11,16 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import vocabulary as v
 
+WORD = re.compile("[a-z0-9]+")
+
 #: Pairs (question, text) to scores, a batch at a time.
 PairScorer = Callable[[pd.Series, pd.Series], pd.Series]
 
 
 def token_overlap(question: pd.Series, text: pd.Series) -> pd.Series:
-    """Stand-in for a cross-encoder: the share of a question's distinct words that the text has."""
-    from re import findall
-
-    def one(q: str, t: str) -> float:
-        asked = set(findall("[a-z0-9]+", (q or "").lower()))
-        return len(asked & set(findall("[a-z0-9]+", (t or "").lower()))) / len(asked) if asked else 0.0
-
-    return pd.Series([one(q, t) for q, t in zip(question, text, strict=True)], dtype="float64")
+    """Stand-in for a cross-encoder: the share of a question's distinct words that the text has. Each distinct string of a batch is read once."""
+    words = {x: set(WORD.findall((x or "").lower())) for x in {*question, *text}}
+    return pd.Series([len(words[q] & words[t]) / max(1, len(words[q])) for q, t in zip(question, text, strict=True)], dtype="float64")
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, by: list[str], k: int = v.RRF_K) -> DataFrame:

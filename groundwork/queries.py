@@ -398,7 +398,7 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _asked(spark: SparkSession, sf: str) -> DataFrame:
+def asked(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark text as a question."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
@@ -416,21 +416,21 @@ def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} SELECT question_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM bm WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return Bm25Index(_corpus(spark, sf)).topk(_asked(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
+    return Bm25Index(_corpus(spark, sf)).topk(asked(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+def searched_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """All documents; their company is their vector's label, if they have one, their year the language."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("L"), F.col("label").cast("string")).alias("company"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("fiscal_year"), F.col("source").alias("section"))
     return docs.join(vectors, "id", "left")
 
 
-def _vector_questions(spark: SparkSession, sf: str) -> DataFrame:
+def asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts with the vector of their number; scopes are its own label's and the next one's."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question_id"), "embedding", "label")
     scope = lambda c: F.struct(F.concat(F.lit("L"), c.cast("string")).alias("company"), F.lit(None).cast("string").alias("fiscal_year"))
-    return _asked(spark, sf).join(vectors, "question_id").select("question_id", "question", "embedding", F.array(scope(F.col("label")), scope(F.col("label") + 1)).alias("scopes"))
+    return asked(spark, sf).join(vectors, "question_id").select("question_id", "question", "embedding", F.array(scope(F.col("label")), scope(F.col("label") + 1)).alias("scopes"))
 
 
 RETRIEVAL_SQL = f"""{BM25_SQL},
@@ -454,12 +454,12 @@ BY = ["question_id", "scope_no"]
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.topk(_chunks(spark, sf), _vector_questions(spark, sf), 30, scoped=True)
+    return dense.topk(searched_chunks(spark, sf), asked_vectors(spark, sf), 30, scoped=True)
 
 
 def _sparse(spark: SparkSession, sf: str) -> DataFrame:
-    scored = Bm25Index(_corpus(spark, sf)).scores(_asked(spark, sf)).where("score > 0")
-    scoped = search.scoped_candidates(_vector_questions(spark, sf), _chunks(spark, sf))
+    scored = Bm25Index(_corpus(spark, sf)).scores(asked(spark, sf)).where("score > 0")
+    scoped = search.scoped_candidates(asked_vectors(spark, sf), searched_chunks(spark, sf))
     return ranked(scored.join(scoped, ["question_id", "id"]), BY, 30)
 
 
@@ -468,14 +468,14 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf: str, top_k: int) -> DataFrame:
-    fused = _fused(spark, sf).select(*BY, "id", "rank").join(_asked(spark, sf), "question_id").join(_corpus(spark, sf), "id")
+    fused = _fused(spark, sf).select(*BY, "id", "rank").join(asked(spark, sf), "question_id").join(_corpus(spark, sf), "id")
     return fuse.rerank(fused, fuse.token_overlap, top_k, BY)
 
 
 @query(f"""WITH {RETRIEVAL_SQL}, a AS (SELECT question_id, id, list_dot_product(ch.e, vq.e) / sqrt(list_dot_product(ch.e, ch.e)) / sqrt(list_dot_product(vq.e, vq.e)) AS score FROM ch, vq WHERE ch.e IS NOT NULL)
     SELECT question_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank FROM a) WHERE rank <= 10""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.topk(_chunks(spark, sf), _vector_questions(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
+    return dense.topk(searched_chunks(spark, sf), asked_vectors(spark, sf), 10).select("question_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
@@ -495,7 +495,7 @@ def retriever_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id FROM ch JOIN vs USING (company)")
 def scoped_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return search.scoped_candidates(_vector_questions(spark, sf), _chunks(spark, sf))
+    return search.scoped_candidates(asked_vectors(spark, sf), searched_chunks(spark, sf))
 
 
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, round(rrf_score, 9) AS rrf_score, dense_rank, sparse_rank, rank FROM fu")
@@ -510,7 +510,7 @@ def hit_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, company, fiscal_year, md5(text) AS text_digest FROM fu JOIN ch USING (id)")
 def candidate_text(spark: SparkSession, sf: str) -> DataFrame:
-    named = _fused(spark, sf).select(*BY, "id").join(_chunks(spark, sf), "id")
+    named = _fused(spark, sf).select(*BY, "id").join(searched_chunks(spark, sf), "id")
     return named.select(*BY, "id", "company", "fiscal_year", F.md5("text").alias("text_digest"))
 
 
@@ -524,21 +524,21 @@ def scoped_merge(spark: SparkSession, sf: str) -> DataFrame:
     return fuse.merge_scopes(_reranked(spark, sf, 4)).select("question_id", "pos", "id", "scope_no")
 
 
-def _index(chunks: DataFrame) -> Bm25Index:
+def search_index(chunks: DataFrame) -> Bm25Index:
     return Bm25Index(chunks.select("id", "text", *search.META), carry=tuple(search.META))
 
 
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, pos, id, company, fiscal_year, section, round(rerank_score, 6) AS rerank_score FROM mg JOIN ch USING (id)")
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """The whole search in one call; questions bring their vectors."""
-    chunks = _chunks(spark, sf)
-    hits = search.batch_search(_vector_questions(spark, sf), chunks, _index(chunks))
+    chunks = searched_chunks(spark, sf)
+    hits = search.batch_search(asked_vectors(spark, sf), chunks, search_index(chunks))
     return hits.select("question_id", "pos", "id", "company", "fiscal_year", "section", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("SELECT doc_id AS id, lang AS fiscal_year, 'L' || label AS company FROM documents JOIN embeddings ON doc_id = vec_id WHERE label = 1 AND lang = 'en'")
 def metadata_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).where((F.col("company") == "L1") & (F.col("fiscal_year") == "en")).select("id", "fiscal_year", "company")
+    return searched_chunks(spark, sf).where((F.col("company") == "L1") & (F.col("fiscal_year") == "en")).select("id", "fiscal_year", "company")
 
 
 # ---------------------------------------------------------------- sections, pieces, chunks
@@ -1074,10 +1074,10 @@ def gather_evidence(spark: SparkSession, sf: str) -> DataFrame:
     A document's company is a nation by its vector's label, its year follows from its number.
     """
     vectors = table(spark, sf, "embeddings")
-    asked = _understood(spark, sf).where("question_id % 50 = 0").join(vectors.select((F.col("vec_id") * 50).alias("question_id"), "embedding"), "question_id")
+    wanted = _understood(spark, sf).where("question_id % 50 = 0").join(vectors.select((F.col("vec_id") * 50).alias("question_id"), "embedding"), "question_id")
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("section"), (F.lit(2021) + F.col("doc_id") % 5).cast("string").alias("fiscal_year"))
     named = vectors.select(F.col("vec_id").alias("doc_id"), "embedding", F.concat(F.lit("N"), F.col("label").cast("string")).alias("company"))
     corpus = docs.join(named, "doc_id", "left").withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
-    found, routes = search.gather_evidence(asked, build.build_fact_store(_pieces(spark, sf)), corpus, _index(corpus))
+    found, routes = search.gather_evidence(wanted, build.build_fact_store(_pieces(spark, sf)), corpus, search_index(corpus))
     found = found.select("question_id", "pos", "id", "company", "fiscal_year", "section", F.round("rerank_score", 6).alias("rerank_score"))
     return routes.join(found, "question_id", "left")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groundwork import queries
 from groundwork.operators import cache, chunks, dense, evaluate, evidence, facts, fuse, history
 from groundwork.operators.ordering import numbered, running_total
 from groundwork.operators.sparse import Bm25Index
@@ -14,6 +15,8 @@ from groundwork.plans import build, search
 from groundwork.sources import filings, html
 from groundwork.streaming import jobs
 
+SF = "/root/testdata/sf0.001"
+
 PAGE = """<html><head><title>T &amp; Co</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body>
 <div style="DISPLAY : none">x</div><div style="display: none">20200131 hidden<br><b>junk</b></div><!-- c -->
 <p>Filed 20240131</p><p>Item 1. Business %s</p>
@@ -174,6 +177,52 @@ def test_chunks(spark):
     assert len({r["id"] for r in rows}) == len(rows) == len(split) and chunks.budget_check(built).first()["n_over"] == 0
 
 
+def test_splitters_on_all_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    parts = {}
+    for r in queries.split_prose(spark, SF).collect():
+        parts.setdefault(r["doc_id"], {})[r["chunk_no"]] = r["text"]
+    assert set(parts) == {d for d, t in docs.items() if t and t.strip()}
+    for doc, numbered_parts in parts.items():
+        start, end = -1, 0
+        for no in range(len(numbered_parts)):
+            part = numbered_parts[no]
+            assert 0 < chunks.count_tokens(part) <= 450
+            upto = end + len(docs[doc][end:]) - len(docs[doc][end:].lstrip())
+            at = docs[doc].rfind(part, start + 1, upto + len(part))  # the last place that loses nothing
+            assert at >= 0
+            # Parts follow each other with nothing but blanks lost between them, and share up to 60 tokens.
+            assert not docs[doc][end:at].strip() and chunks.count_tokens(docs[doc][at:end]) <= 60
+            start, end = at, at + len(part)
+        assert not docs[doc][end:].strip()
+
+    def plain_table(text):
+        head = "[Table summary: lines]\n\n| text |\n|---|"
+        rows = [f"| {x} |" for x in text.split("\n")]
+        if chunks.count_tokens("\n".join([head, *rows])) <= 500 or len(rows) < 1:
+            return ["\n".join([head, *rows])]
+        out = []
+        for row in rows:
+            if out and chunks.count_tokens("\n".join([head, *out[-1], row])) <= 500:
+                out[-1].append(row)
+            else:
+                out.append([row])
+        return ["\n".join([head, *x]) for x in out]
+
+    found = {}
+    for r in queries.split_table(spark, SF).collect():
+        found.setdefault(r["doc_id"], {})[r["chunk_no"]] = r["text"]
+    for doc, text in docs.items():
+        whole = [found[doc][i] for i in range(len(found[doc]))]
+        plain = plain_table(text)
+        if all(chunks.count_tokens(x) <= 512 for x in plain):
+            assert whole == plain
+        assert all(chunks.count_tokens(x) <= 512 for x in whole)
+    counts = queries.chunk_build_counts(spark, SF).first()
+    index = queries.build_chunk_index(spark, SF)
+    assert counts["n_chunks"] == index.count() == index.select("id").distinct().count() and counts["n_captioned"] == 125
+
+
 def test_history(spark):
     turns = [(1, i, "user" if i % 2 == 0 else "assistant", f" t{i} " if i != 2 else "  ") for i in range(10)] + [(2, 0, "assistant", "x"), (2, 1, "user", "y")]
     pairs = history.qa_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
