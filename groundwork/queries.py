@@ -623,8 +623,16 @@ def read_filings(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(name(F.col("company")).alias("company"), name(F.col("accession")).alias("accession"), F.md5(F.regexp_replace("html", "\u0003$", "")).alias("digest"))
 
 
-@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, md5(text) AS digest FROM prose", "write_pieces")
-@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, md5(text) AS digest FROM prose", "read_pieces")
+@query(f"WITH {PROSE_SQL} SELECT path, md5(text) AS digest, 'company=' || company || '/fiscal_year=' || fiscal_year AS folder FROM prose")
+def write_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Each piece and the folder that it was written to."""
+    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    filings.write_pieces(filings.extract_pieces(_pages(spark, sf)), path)
+    folder = F.regexp_extract("_metadata.file_path", "(company=[^/]*/fiscal_year=[^/]*)/", 1)
+    return spark.read.parquet(path).select("path", F.md5("text").alias("digest"), folder.alias("folder"))
+
+
+@query(f"WITH {PROSE_SQL} SELECT path, company, fiscal_year, md5(text) AS digest FROM prose")
 def read_pieces(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
     filings.write_pieces(filings.extract_pieces(_pages(spark, sf)), path)
@@ -840,7 +848,16 @@ vs AS (SELECT *, list_filter(numbers, lambda x: x BETWEEN 1 AND n_excerpts) AS c
 VERIFIED = f"WITH {VERIFY_SQL} SELECT question_id, n_excerpts, refused, array_to_string(cited, ',') AS cited, array_to_string(wrong, ',') AS hallucinated FROM vs"
 
 
-@query(VERIFIED, "citation_split")
+@query("""SELECT o_orderkey, array_to_string(list_filter(ns, lambda x: x BETWEEN 1 AND o_orderkey % 4), ',') AS cited, array_to_string(list_filter(ns, lambda x: x NOT BETWEEN 1 AND o_orderkey % 4), ',') AS hallucinated
+    FROM (SELECT o_orderkey, [o_orderkey % 7, o_orderkey % 5, 2] AS ns FROM orders)""")
+def citation_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers cited of as many excerpts as the order's number leaves over by four."""
+    n = F.col("o_orderkey")
+    cited, wrong = answers.citation_split(F.array((n % 7).cast("long"), (n % 5).cast("long"), F.lit(2).cast("long")), (n % 4).cast("int"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return table(spark, sf, "orders").select("o_orderkey", joined(cited).alias("cited"), joined(wrong).alias("hallucinated"))
+
+
 @query(VERIFIED)
 def verify_answers(spark: SparkSession, sf: str) -> DataFrame:
     rows = evidence.verify(_answers(spark, sf), _evidence(spark, sf))
@@ -866,13 +883,21 @@ def cited_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(F.transform(answers.cited_numbers(said), lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-@query("SELECT o_orderkey, (100000 + o_orderkey)::VARCHAR AS number, o_orderkey % 2 = 0 AS matches FROM orders", "numeric_match")
-@query("SELECT o_orderkey, (100000 + o_orderkey)::VARCHAR AS number, o_orderkey % 2 = 0 AS matches FROM orders")
+def _reference(number: Column) -> Column:
+    return F.concat(F.lit("In 2021 it was $"), F.format_number(number, 0), F.lit(", not 99,999"))
+
+
+@query("SELECT o_orderkey, (100000 + o_orderkey)::VARCHAR AS number FROM orders")
 def primary_number(spark: SparkSession, sf: str) -> DataFrame:
-    number = F.col("o_orderkey") + 100000
-    reference = F.concat(F.lit("In 2021 it was $"), F.format_number(number, 0), F.lit(", not 99,999"))
-    response = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("$"), number.cast("string"))).otherwise("12")
-    return table(spark, sf, "orders").select("o_orderkey", answers.primary_number(reference).alias("number"), answers.numeric_match(reference, response).alias("matches"))
+    return table(spark, sf, "orders").select("o_orderkey", answers.primary_number(_reference(F.col("o_orderkey") + 100000)).alias("number"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 < 2 AS matches FROM lineitem")
+def numeric_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses with the reference's number in one form or another, and with another number."""
+    number, kind = F.col("l_orderkey") + 100000, F.col("l_linenumber") % 3
+    response = F.when(kind == 0, F.concat(F.lit("about $"), F.format_number(number, 0), F.lit("."))).when(kind == 1, number.cast("string")).otherwise(F.concat(F.lit("2021, 99,999 or "), (number + 1).cast("string")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", answers.numeric_match(_reference(number), response).alias("matches"))
 
 
 # ---------------------------------------------------------------- evaluation
