@@ -74,8 +74,29 @@ def test_stages_on_odd_input(spark):
         assert count in (0, 2, 1)
 
 
+def test_rows_without_ids_at_every_stage(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = lambda i: " ".join(f"wort{i}x{j}" for j in range(60))
+    rows = [(None if i % 2 else i, text(i), "en", "src1", 0) for i in range(40)] + [(None, text(i).upper(), "en", "src1", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = queries.written(stage(spark, docs, SF), "test-null-ids")
+        counts.append((docs.count(), docs.where("doc_id is null").count()))
+    # Capitals fail a rule; each text is its own class; four fifths of the tokens are drawn.
+    assert counts[:3] == [(40, 20)] * 3 and counts[3][0] == 32 and counts[3][1] >= 12
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.where("start = 0").count() == 32
+    low = spark.createDataFrame([(d, t.lower(), *rest) for d, t, *rest in rows], schema).repartition(5)
+    kept = queries.written(corpus_pipeline.exact_dedup(spark, low, SF), "test-null-ids").collect()
+    assert len(kept) == 40 and sum(r["doc_id"] is None for r in kept) == 20
+    copies = spark.createDataFrame([(None, text(i % 4) + f" {i}", "en", "src1", 0) for i in range(12)] + [(7, text(0) + " x", "en", "src1", 0)], schema).repartition(3)
+    near_kept = corpus_pipeline.near_dedup(spark, copies, SF).collect()
+    assert len(near_kept) == 4 and sorted(r["doc_id"] is None for r in near_kept) == [False, True, True, True]
+
+
 def test_clash_of_names(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"key": F.lit(1), "label": F.lit("x"), "n": F.lit(2), "kept": F.lit(False), "size": F.lit(0), "domain": F.lit("d")})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"key": F.lit(1), "label": F.lit("x"), "n": F.lit(2), "kept": F.lit(False), "size": F.lit(0), "domain": F.lit("d"), "Class_Id": F.lit(3), "KEEP_ID": F.lit(4)})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
 
