@@ -187,7 +187,8 @@ def _differences(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     ``d``: the elements, other than those of one row alone, that only one of the
     two has; ``dn``: the number of all that only one has; ``far``: no link; ``needed``:
-    how many of ``d`` a far member must share with this one to be its link.
+    how many of ``d`` a far member must share with this one to be its link; ``s0``,
+    ``s1``: which remainders of 64 the elements of ``d`` and their upper bits have.
     """
     k = (1 - threshold) / (1 + threshold)
     own = F.col("a_n") - F.size("a_set")
@@ -200,27 +201,48 @@ def _differences(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
         "dn",
         needed.cast("int").alias("needed"),
         (~_reach(F.col("both"), threshold)).alias("far"),
+        F.col("b_n").alias("n"),
+        own.alias("own"),
         F.concat(F.array_except("a_set", "b_set"), F.array_except("b_set", "a_set")).alias("d"),
     )
-    return written(out, "near-differences")
+    bits = lambda shift: F.aggregate("d", F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(e, shift), F.lit(64)).cast("int"))))
+    return written(out.withColumns({"s0": bits(0), "s1": bits(6)}), "near-differences")
 
 
-def _nearest_holders(rows: DataFrame) -> DataFrame:
-    """Pairs of each far member (with ``label`` and ``d``) with the holder of each of its differences that is nearest to the centre."""
-    each = rows.select("centre", "rep", "label", "dn", "far", F.explode("d").alias("e"))
-    hubs = each.groupBy("centre", "e").agg(F.min_by("rep", "dn").alias("a"), F.min_by("label", "dn").alias("a_label"), F.bool_or("far").alias("any")).where("any").drop("any")
-    return each.where("far").join(hubs, ["centre", "e"]).where("label <> a_label").select("a", F.col("rep").alias("b"))
+def _share_enough(threshold: float) -> Column:
+    """Whether ``a`` and ``b`` of one centre can share as many differences as a link needs.
+
+    What one has in a remainder that the other has not is not shared.
+    """
+    k = (1 - threshold) / (1 + threshold)
+    only = lambda x, y, s: F.bit_count(F.col(f"{x}_{s}").bitwiseAND(F.bitwise_not(f"{y}_{s}")))
+    most = F.least(*(F.col(f"{x}_m") - only(x, y, s) for x, y in ("ab", "ba") for s in ("s0", "s1")))
+    return 2 * (most + F.col("a_own")) >= F.col("a_dn") + F.col("b_dn") - k * (F.col("a_n") + F.col("b_n")) - 1e-9
+
+
+#: What is told of a member beside each of its differences.
+FACTS = ["rep", "label", "far", "n", "own", "dn", "m", "s0", "s1"]
+
+
+def _nearest_holders(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of each far member and the holder of each of its differences that is nearest to the centre."""
+    each = rows.withColumn("m", F.size("d")).select("centre", *FACTS, F.explode("d").alias("e"))
+    nearest = each.groupBy("centre", "e").agg(*(F.min_by(c, "dn").alias(f"a_{c}") for c in FACTS), F.bool_or("far").alias("any")).where("any").drop("any")
+    holds = each.where("far").select("centre", "e", *(F.col(c).alias(f"b_{c}") for c in FACTS))
+    met = holds.join(nearest, ["centre", "e"]).where((F.col("a_label") != F.col("b_label")) & _share_enough(threshold))
+    return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
-def _sharing(rows: DataFrame) -> DataFrame:
+def _sharing(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a far member and any other of another component that share one of the differences which the latter must offer."""
-    each = rows.select("centre", "rep", "label", "far", (F.size("d") - F.col("needed") + 1).alias("offers"), F.explode("d").alias("e"))
+    each = rows.withColumn("m", F.size("d")).select("centre", *FACTS, (F.col("m") - F.col("needed") + 1).alias("offers"), F.explode("d").alias("e"))
     # Differences that no far member has come first: they are offered without a match.
     counted = each.withColumn("many", F.count_if("far").over(Window.partitionBy("centre", "e")))
     placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("centre", "rep").orderBy("many", "e")))
-    offered = placed.where("many > 0 and place <= offers").select("centre", "e", F.col("rep").alias("a"), F.col("label").alias("a_label"), F.col("far").alias("a_far"))
-    holds = each.where("far").select("centre", "e", F.col("rep").alias("b"), F.col("label").alias("b_label"))
-    return holds.join(offered, ["centre", "e"]).where("a_label <> b_label and (not a_far or a < b)").select("a", "b")
+    side = lambda df, x: df.select("centre", "e", *(F.col(c).alias(f"{x}_{c}") for c in FACTS))
+    offered, holds = side(placed.where("many > 0 and place <= offers"), "a"), side(each.where("far"), "b")
+    met = holds.join(offered, ["centre", "e"]).where(F.expr("a_label <> b_label and (not a_far or a_rep < b_rep)") & _share_enough(threshold))
+    return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
 RESULTS = ["class_id", "class_size", "kept"]
@@ -254,7 +276,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) ->
         differences = _differences(apart, sets, threshold)
         for candidates in (_nearest_holders, _sharing):
             left = written(_open(_labelled(differences, labels), "centre"), "near-left")
-            labels = _linked(candidates(left), counts, sets, threshold, labels)
+            labels = _linked(candidates(left, threshold), counts, sets, threshold, labels)
 
     named = digests.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = named.groupBy("label").agg(F.min("least").alias("best"), F.sum("n").alias("class_size"))
