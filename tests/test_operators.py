@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork import queries
+from groundwork.functions import vocabulary
 from groundwork.operators import cache, chunks, dense, evaluate, evidence, facts, fuse, history
 from groundwork.operators.ordering import numbered, running_total
 from groundwork.operators.sparse import Bm25Index
@@ -223,6 +224,30 @@ def test_splitters_on_all_documents(spark):
     assert counts["n_chunks"] == index.count() == index.select("id").distinct().count() and counts["n_captioned"] == 125
 
 
+def test_seams(spark):
+    # The caller's embedder and counter are called with whole texts, questions with the search prefix, in batches.
+    texts = spark.createDataFrame([(i, "w" * i) for i in range(70)] + [(70, None)], "id long, text string").coalesce(1)
+
+    def embedder(batch):
+        return [[float(len(x)), float(len(batch))] for x in batch]
+
+    got = {r["id"]: r["embedding"] for r in build.embedded(texts, "text", embedder).collect()}
+    assert all(got[i][0] == i for i in range(70)) and got[70][0] == 0.0 and max(e[1] for e in got.values()) == 32.0
+    prefix = len(vocabulary.QUERY_PREFIX)
+    assert [r["embedding"][0] for r in build.embedded(texts.where("id < 3"), "text", embedder, query=True).orderBy("id").collect()] == [prefix, prefix + 1.0, prefix + 2.0]
+    counted = chunks.budget_check(texts, limit=60, count=len).first()
+    assert (counted["n_chunks"], counted["n_over"], counted["most"]) == (71, 9, 69)
+
+
+def test_written_index_is_the_built_one(spark, tmp_path):
+    pieces = spark.createDataFrame([(f"p{i}", f"C{i % 2}", "2024", "mda", "prose", f"text {i} " * 200, 0) for i in range(6)], "path string, company string, fiscal_year string, section string, type string, text string, piece_no int")
+    built = build.build_chunk_index(pieces, id_digits=32)
+    filings.write_chunk_index(built, f"file://{tmp_path}/index")
+    shown = lambda df: sorted(map(str, df.withColumn("fiscal_year", F.col("fiscal_year").cast("string")).select(*sorted(df.columns)).collect()))
+    assert shown(spark.read.parquet(f"file://{tmp_path}/index")) == shown(built)
+    assert all(len(r["id"].rsplit("-", 1)[1]) == 32 for r in built.collect())
+
+
 def test_history(spark):
     turns = [(1, i, "user" if i % 2 == 0 else "assistant", f" t{i} " if i != 2 else "  ") for i in range(10)] + [(2, 0, "assistant", "x"), (2, 1, "user", "y")]
     pairs = history.qa_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
