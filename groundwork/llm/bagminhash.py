@@ -48,12 +48,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, length) of slices of a text column."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of a text column with at most so many bytes, or one text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and (total + size > SLICE_BYTES or i - start >= 1 << 14):
+        if i > start and (total + size > most or i - start >= 1 << 14):
             yield start, i - start
             start, total = i, 0
         total += size

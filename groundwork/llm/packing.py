@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from groundwork.llm.bagminhash import slices
 from groundwork.llm.tokens import TokenCounter
 
+#: Texts are encoded in slices of so many bytes: the larger a slice, the fewer words are encoded twice.
+ENCODED_BYTES = 8 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -132,7 +134,7 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-        for batch in (whole.slice(*part) for whole in batches for part in slices(whole.column(1))):
+        for batch in (whole.slice(*part) for whole in batches for part in slices(whole.column(1), ENCODED_BYTES)):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), counter.encode(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

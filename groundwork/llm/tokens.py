@@ -28,8 +28,9 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space before white space of any kind, or at the end.
 LOOSE_SPACE = rf" ([{BLANK}]|\z)"
-#: A run of white space that the fast library's pattern search is not asked to take: it tries back through all of it.
-LONG_BLANK = rf"[{BLANK}]{{1000}}"
+#: A run of white space that the fast library's pattern search is not asked to take, as it tries back through all of it; and one that is
+#: looked for first, as a search for long repeats is slow.
+LONG_BLANK, SOME_BLANK = rf"[{BLANK}]{{1000}}", rf"[{BLANK}]{{8}}"
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -67,10 +68,11 @@ class TokenCounter:
         """The ids of every text, as uint32; none for null."""
         texts = texts.fill_null("")
         loose = pc.match_substring_regex(texts, LOOSE_SPACE).to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(texts, LONG_BLANK)
+        odd = np.zeros(len(texts), bool)
+        some = np.flatnonzero(pc.match_substring_regex(texts, SOME_BLANK).to_numpy(zero_copy_only=False))
+        odd[some] = pc.match_substring_regex(texts.take(pa.array(some)), LONG_BLANK).to_numpy(zero_copy_only=False)
         for token in self.special:
-            odd = pc.or_(odd, pc.match_substring(texts, token))
-        odd = odd.to_numpy(zero_copy_only=False)
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         plain = iter(self._plain(texts.filter(pa.array(~loose & ~odd))))
         return [self._by_library(texts[i].as_py()) if odd[i] else self._one(texts[i].as_py()) if loose[i] else next(plain) for i in range(len(texts))]
 
