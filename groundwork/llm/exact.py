@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.bagminhash import slices
-from groundwork.llm.common import carried, written
+from groundwork.llm.common import carried, having, written
 
 LEAST, MASK = -(1 << 63), (1 << 64) - 1
 
@@ -156,8 +156,8 @@ def _level(table_bytes: int):
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> DataFrame:
-    """Every row with its columns and the results under names of our own (``_gw_``).
+def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its columns, and the results by key of a slice's group, both under names of our own (``_gw_``).
 
     The loop ends after one level unless some partition held more contents than
     a table takes.
@@ -180,7 +180,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> Dat
         if left.isEmpty():
             break
         level += 1
-    return rows.join(found, "_gw_key").withColumn("_gw_kept", F.col("_gw_lead") & (F.col("_gw_key") == F.col("_gw_keep_key")))
+    return rows, found
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
@@ -190,9 +190,12 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     memory of a task.
     """
     own = [c for c in df.columns if c.lower() not in RESULTS]
-    return _grouped(df, id_col, text_col, table_bytes).select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
+    rows, found = _grouped(df, id_col, text_col, table_bytes)
+    joined = rows.join(found, "_gw_key").withColumn("_gw_kept", F.col("_gw_lead") & (F.col("_gw_key") == F.col("_gw_keep_key")))
+    return joined.select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``df`` that stay, with its columns."""
-    return _grouped(df, id_col, text_col, table_bytes).where("_gw_kept").select(*df.columns)
+    rows, found = _grouped(df, id_col, text_col, table_bytes)
+    return having(rows.where("_gw_lead"), found.where("_gw_key = _gw_keep_key"), "_gw_key").select(*df.columns)

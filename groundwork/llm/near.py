@@ -55,14 +55,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm import bagminhash as bag
-from groundwork.llm.common import carried, written
+from groundwork.llm.common import carried, having, written
 from groundwork.llm.components import components
 
 BANDS, ROWS = 30, 5
 
-#: Up to so many keys (a few dozen MB) the candidates' keys are sent to the texts; more of them are met by a shuffle.
-SENT_KEYS = 4_000_000
-
 #: Pairs of one hub are dealt out by so many salts, and the hub's elements sent once to each that occurs.
 SALTS = 64
 
@@ -107,8 +104,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _element_sets(rows: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
     """``key, elements`` of the rows with these keys. Their texts alone are read again."""
-    few = keys.count() <= SENT_KEYS
-    texts = rows.select("_gw_key", text_col).join(F.broadcast(keys) if few else keys, "_gw_key", "left_semi")
+    texts = having(rows.select("_gw_key", text_col), keys, "_gw_key")
     return written(texts.mapInArrow(_elements, "key long, elements array<long>"), "near-sets")
 
 
@@ -248,8 +244,8 @@ def _sharing(rows: DataFrame, threshold: float) -> DataFrame:
 RESULTS = ["class_id", "class_size", "kept"]
 
 
-def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Every row with its columns and the results under names of our own (``_gw_``)."""
+def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Every row with its columns, and the results by digest, both under names of our own (``_gw_``)."""
     rest = carried(df, id_col, text_col)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, text_col, *rest)), "_gw_key long, _gw_d1 long, _gw_d2 long, _gw_n long, _gw_bands array<long>"])
     rows = written(df.select(id_col, text_col, *rest).mapInArrow(_sign, schema), "near-rows")
@@ -281,18 +277,21 @@ def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) ->
     named = digests.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     classes = named.groupBy("label").agg(F.min("least").alias("best"), F.sum("n").alias("class_size"))
     by_digest = named.select("_gw_d1", "_gw_d2", "label").join(classes, "label").select("_gw_d1", "_gw_d2", F.col("best").alias("_gw_best"), F.col("class_size").alias("_gw_class_size"))
-    filled = rows.where("_gw_n > 0").join(by_digest, ["_gw_d1", "_gw_d2"])
-    out = filled.select(id_col, text_col, *rest, F.col("_gw_best.id").alias("_gw_class_id"), "_gw_class_size", (F.col("_gw_best.key") == F.col("_gw_key")).alias("_gw_kept"))
-    alone = rows.where("_gw_n = 0").select(id_col, text_col, *rest, F.col(id_col).alias("_gw_class_id"), F.lit(1).cast("long").alias("_gw_class_size"), F.lit(True).alias("_gw_kept"))
-    return out.unionByName(alone)
+    return rows, by_digest
 
 
 def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Every row of ``df`` with ``class_id`` (the least id of its class), ``class_size`` and ``kept``; columns of ``df`` with these names, in any case, give way."""
     own = [c for c in df.columns if c.lower() not in RESULTS]
-    return _classified(df, id_col, text_col, threshold).select(*own, *(F.col(f"_gw_{c}").alias(c) for c in RESULTS))
+    rows, by_digest = _classified(df, id_col, text_col, threshold)
+    filled = rows.where("_gw_n > 0").join(by_digest, ["_gw_d1", "_gw_d2"])
+    out = filled.select(*own, F.col("_gw_best.id").alias("class_id"), F.col("_gw_class_size").alias("class_size"), (F.col("_gw_best.key") == F.col("_gw_key")).alias("kept"))
+    alone = rows.where("_gw_n = 0").select(*own, F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row of each class, with the columns of ``df``."""
-    return _classified(df, id_col, text_col, threshold).where("_gw_kept").select(*df.columns)
+    rows, by_digest = _classified(df, id_col, text_col, threshold)
+    best = by_digest.select(F.col("_gw_best.key").alias("_gw_key")).distinct()
+    return having(rows.where("_gw_n > 0"), best, "_gw_key").unionByName(rows.where("_gw_n = 0")).select(*df.columns)
