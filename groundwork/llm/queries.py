@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import exact, langid, mixing, near, packing, quality, secrets, sharding, urls, warc
+from groundwork.llm import exact, infill, langid, merkle, mixing, near, packing, quality, secrets, sharding, simhash, urls, warc
 from groundwork.llm.common import shared_dir, table, word_count, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -119,6 +119,32 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+#: Fields of a manifest's leaf.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose number's checksum 7 divides are held against their proofs with one character more than they have."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = {"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1}
+    changed = F.when(tampered, merkle.leaf_hash([more.get(c, F.col(c)) for c in LEAF]))
+    rows = merkle.manifest(table(spark, sf_dir, "documents").select(*LEAF), merkle.leaf_hash([F.col(c) for c in LEAF]), changed)
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("presented"), F.col("path")))
+    proof = F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -252,6 +278,46 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >=
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, '<P>' || substring(t, 1, a) AS pre, '<M>' || substring(t, a + 1, b - a) AS mid, '<S>' || substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN pre || suf || mid WHEN 'spm' THEN suf || pre || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR))::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+#: CRC-32 of the decimal id bit by bit, levels as lists, proofs by place.
+OP12_SQL = f"""
+WITH RECURSIVE bits AS (SELECT doc_id AS of, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT) AS bytes FROM documents WHERE doc_id IS NOT NULL),
+crc(of, bytes, i, step, c) AS (SELECT DISTINCT of, bytes, 1, 0, xor(4294967295, bytes[1]) FROM bits UNION ALL
+    SELECT of, bytes, i + (step = 7)::INT, (step + 1) % 8, xor(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CASE WHEN step = 7 THEN coalesce(bytes[i + 1], 0) ELSE 0 END) FROM crc WHERE i <= len(bytes)),
+bad AS (SELECT of FROM crc WHERE i > len(bytes) AND xor(c, 4294967295) % 7 = 0),
+l AS (SELECT doc_id, coalesce('=' || lang, '') AS k, sha256({" || ".join(_field_sql(c) for c in LEAF)}) AS leaf,
+             sha256({" || ".join(_field_sql("n_chars + 1" if c == "n_chars" else c) for c in LEAF)}) AS other FROM documents),
+p AS (SELECT doc_id, k, leaf, CASE WHEN doc_id IN (SELECT of FROM bad) THEN other ELSE leaf END AS shown, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+lv(k, level, nodes) AS (SELECT k, 0, list(leaf ORDER BY pos) FROM p GROUP BY k UNION ALL
+    SELECT k, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], ''))) FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT k, nodes[1] AS subroot, row_number() OVER (ORDER BY k) - 1 AS kpos FROM lv WHERE len(nodes) = 1),
+top(level, nodes) AS (SELECT 0, list(subroot ORDER BY kpos) FROM sub UNION ALL
+    SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], ''))) FROM top WHERE len(nodes) > 1),
+depth AS (SELECT k, max(level) AS depth FROM lv GROUP BY k),
+steps AS (SELECT p.doc_id, p.k, p.pos, lv.level AS step, (p.pos >> lv.level) % 2 = 1 AS is_right, nodes[xor(p.pos >> lv.level, 1) + 1] AS sibling FROM p JOIN lv USING (k) WHERE len(nodes) > 1
+    UNION ALL SELECT p.doc_id, p.k, p.pos, depth + top.level, (kpos >> top.level) % 2 = 1, nodes[xor(kpos >> top.level, 1) + 1] FROM p JOIN sub USING (k) JOIN depth USING (k), top WHERE len(nodes) > 1),
+paths AS (SELECT k, pos, list(struct_pack(r := is_right, s := sibling) ORDER BY step) AS path FROM steps GROUP BY k, pos),
+fold(k, pos, path, i, node) AS (SELECT p.k, p.pos, coalesce(path, []), 1, shown FROM p LEFT JOIN paths USING (k, pos) UNION ALL
+    SELECT k, pos, path, i + 1, sha256(CASE WHEN path[i].s IS NULL THEN node WHEN path[i].r THEN path[i].s || node ELSE node || path[i].s END) FROM fold WHERE i <= len(path))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: coalesce(x.s, '')), '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM p JOIN sub USING (k) JOIN (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) ON TRUE JOIN (SELECT * FROM fold WHERE i > len(path)) USING (k, pos)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -264,9 +330,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_shards": op9_shards,
         "op10_pack": op10_pack,
+        "op11_infill": op11_infill,
+        "op12_merkle": op12_merkle,
+        "op13_simhash": op13_simhash,
         "quality_ablation": quality_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op4_url_filter": _url_sql(), "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL, "quality_ablation": ABLATION_SQL}
+    return {"op1_quality": OP1_SQL, "op3_mix": _mix_sql(), "op4_url_filter": _url_sql(), "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_near_dedup": OP8_SQL, "op11_infill": OP11_SQL, "op12_merkle": OP12_SQL, "quality_ablation": ABLATION_SQL}
