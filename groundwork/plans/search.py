@@ -13,37 +13,49 @@ from groundwork.sources.shared import written
 META = ["company", "fiscal_year"]
 
 
+#: The key of a scope that holds all chunks is dealt out in so many parts.
+SALTS = 16
+
+
 def scoped_candidates(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``question_id, scope_no, id`` of the chunks inside each scope of a question, or all of them where it has none.
+    """``question_id, scope_no, id`` of the chunks inside each scope of a question, or all of them, as scope 0, where it has none.
 
-    Scopes of one shape are met by an equi-join of their own. Questions without
-    a scope are paired with every chunk, so this is for questions that have one.
+    A chunk offers a key for every way to ask for it: by company and year, by
+    either, by neither; ways that no scope asks are left out. A scope has one key, so
+    one equi-join meets all scopes. A key can stand for any share of the chunks,
+    which are dealt out by salt, and a scope is sent once to each salt.
     """
-    scopes = questions.select("question_id", F.posexplode("scopes").alias("scope_no", "s")).select("question_id", "scope_no", "s.company", "s.fiscal_year")
-    docs = chunks.select("id", *META)
-    shapes = {("company", "fiscal_year"): (True, True), ("company",): (True, False), ("fiscal_year",): (False, True)}
-    out = None
-    for keys, (has_company, has_year) in shapes.items():
-        part = scopes.where((F.col("company").isNotNull() == has_company) & (F.col("fiscal_year").isNotNull() == has_year)).select("question_id", "scope_no", *keys)
-        found = part.join(docs, list(keys)).select("question_id", "scope_no", "id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    none = F.array(F.struct(F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("fiscal_year")))
+    whole = F.when(F.size("scopes") > 0, F.col("scopes")).otherwise(none)
+    scopes = questions.select("question_id", F.posexplode(whole).alias("scope_no", "s")).select("question_id", "scope_no", "s.company", "s.fiscal_year")
+    shape = lambda company, year: F.concat(F.when(company, "c").otherwise("-"), F.when(year, "y").otherwise("-"))
+    scopes = scopes.withColumn("shape", shape(F.col("company").isNotNull(), F.col("fiscal_year").isNotNull()))
+    asked = [r[0] for r in scopes.select("shape").distinct().collect()]  # four at most
+    offers = F.array(*(F.lit(x) for x in sorted(asked))) if asked else F.array().cast("array<string>")
+    value = lambda kind, c: F.coalesce(F.when(F.contains(F.col("shape"), F.lit(kind)), F.col(c)), F.lit(""))
+    keyed = lambda df: df.withColumns({"k_company": value("c", "company"), "k_year": value("y", "fiscal_year")})
+    # A chunk without a company (or year) is in no scope that asks for one.
+    has = lambda kind, c: ~F.contains(F.col("shape"), F.lit(kind)) | F.col(c).isNotNull()
+    docs = chunks.select("id", *META).withColumn("shape", F.explode(offers)).where(has("c", "company") & has("y", "fiscal_year"))
+    docs = keyed(docs).withColumn("salt", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SALTS)).cast("int")).drop(*META)
+    scopes = keyed(scopes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop(*META)
+    return scopes.join(docs, ["shape", "k_company", "k_year", "salt"]).select("question_id", "scope_no", "id")
 
 
 def in_scope(scopes: Column, company: Column, year: Column) -> Column:
     """Numbers of the scopes that hold a chunk; scope 0 of a question without scopes holds all."""
     fits = lambda s: (s["company"].isNull() | (s["company"] == company)) & (s["fiscal_year"].isNull() | (s["fiscal_year"] == year))
     numbers = F.filter(F.transform(scopes, lambda s, i: F.when(fits(s), i)), lambda i: i.isNotNull())
-    return F.when(F.size(scopes) == 0, F.array(F.lit(0))).otherwise(numbers)
+    return F.when(F.size(scopes) > 0, numbers).otherwise(F.array(F.lit(0)))
 
 
-def scoped_scores(index: Bm25Index, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``question_id, scope_no, id, score``, positive ones, of the chunks in each scope."""
+def scoped_sparse(index: Bm25Index, questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """``question_id, scope_no, id, score, rank``: the n best chunks of each scope."""
     fits = lambda: in_scope(F.col("scopes"), F.col("company"), F.col("fiscal_year"))
     if set(META) <= set(index.carry):
-        return index.scores(questions, fits).where("score > 0")
+        return index.topk(questions, n, fits)
     scored = index.scores(questions).where("score > 0").join(chunks.select("id", *META), "id").join(questions.select("question_id", "scopes"), "question_id")
-    return scored.select("question_id", "id", "score", F.explode(fits()).alias("scope_no"))
+    return ranked(scored.select("question_id", "id", "score", F.explode(fits()).alias("scope_no")), ["question_id", "scope_no"], n)
 
 
 def batch_search(
@@ -68,7 +80,7 @@ def batch_search(
     by = ["question_id", "scope_no"]
     if hybrid:
         index = index or Bm25Index(chunks, carry=tuple(META))
-        fused = fuse.rrf(near, ranked(scoped_scores(index, questions, chunks), by, candidates), by)
+        fused = fuse.rrf(near, scoped_sparse(index, questions, chunks, candidates), by)
     else:
         fused = near
     limit = F.when(F.size("scopes") > 1, F.lit(per_scope)).otherwise(F.col("k") if "k" in questions.columns else F.lit(top_k))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import answers, questions, tables, text
 from groundwork.functions import vocabulary as v
 from groundwork.operators import cache, chunks, dense, evaluate, evidence, facts, fuse, history
-from groundwork.operators.sparse import Bm25Index, ranked
+from groundwork.operators.sparse import Bm25Index
 from groundwork.plans import build, search
 from groundwork.sources import filings
 from groundwork.sources.shared import shared_dir, written
@@ -458,9 +458,8 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf: str) -> DataFrame:
-    scored = Bm25Index(_corpus(spark, sf)).scores(asked(spark, sf)).where("score > 0")
-    scoped = search.scoped_candidates(asked_vectors(spark, sf), searched_chunks(spark, sf))
-    return ranked(scored.join(scoped, ["question_id", "id"]), BY, 30)
+    chunks = searched_chunks(spark, sf)
+    return search.scoped_sparse(search_index(chunks), asked_vectors(spark, sf), chunks, 30)
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,9 +492,21 @@ def retriever_rank(spark: SparkSession, sf: str) -> DataFrame:
     return one(_dense(spark, sf), "dense").unionByName(one(_sparse(spark, sf), "sparse"))
 
 
-@query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id FROM ch JOIN vs USING (company)")
+@query(f"""WITH {RETRIEVAL_SQL},
+scoped AS (SELECT question_id, company, NULL AS year, scope_no FROM vs WHERE question_id % 50 > 4
+    UNION ALL SELECT item_id, NULL, NULL, 0 FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 50 < 2
+    UNION ALL SELECT question_id, NULL, 'fr', 0 FROM vq WHERE question_id % 50 = 2
+    UNION ALL SELECT question_id, 'L' || label, NULL, 0 FROM vq WHERE question_id % 50 = 3 UNION ALL SELECT question_id, NULL, NULL, 1 FROM vq WHERE question_id % 50 = 3
+    UNION ALL SELECT question_id, 'L' || label, 'en', 0 FROM vq WHERE question_id % 50 = 4)
+SELECT question_id, scope_no::INT AS scope_no, id FROM scoped JOIN ch ON (scoped.company IS NULL OR scoped.company = ch.company) AND (year IS NULL OR year = fiscal_year)""")
 def scoped_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return search.scoped_candidates(asked_vectors(spark, sf), searched_chunks(spark, sf))
+    """Of every fifty questions one has no scope, one null ones, one a year, one a company or anything, one a company and a year."""
+    scope = lambda company, year: F.struct(company.cast("string").alias("company"), F.lit(year).cast("string").alias("fiscal_year"))
+    own, none = F.get("scopes", F.lit(0))["company"], F.lit(None)
+    kind = F.col("question_id") % 50
+    empty = F.filter("scopes", lambda s: F.lit(False))
+    mixed = F.when(kind == 0, empty).when(kind == 2, F.array(scope(none, "fr"))).when(kind == 3, F.array(scope(own, None), scope(none, None))).when(kind == 4, F.array(scope(own, "en"))).when(kind > 4, F.col("scopes"))
+    return search.scoped_candidates(asked_vectors(spark, sf).withColumn("scopes", mixed), searched_chunks(spark, sf))
 
 
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, round(rrf_score, 9) AS rrf_score, dense_rank, sparse_rank, rank FROM fu")
