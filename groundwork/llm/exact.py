@@ -1,12 +1,14 @@
 """Exact deduplication by recursive (Grace) hash partitioning.
 
-Records are dealt out by a hash of their content. Each partition feeds an
-open-addressing table that compares complete contents and holds at most
-``table_bytes`` of them. Copies of a content in the table are absorbed; a new
-content that no longer fits goes on, unresolved, to the next level, which deals
-what is left out again by other bits. Spark's shuffle and the tables written in
-the shared folder are the spill files, so every level survives lost executors,
-and no bucket of any size has to fit a task.
+Records are dealt out by a hash of their content to as many buckets as their counted
+bytes ask for, each half a table full. A bucket feeds an open-addressing table that
+compares complete contents and holds at most ``table_bytes`` of them. Copies of a
+content in the table are absorbed; what a bucket still has too much goes on,
+unresolved, to the next level, which counts it and deals it out again by other bits
+to buckets that are to be filled less. So levels are one or two at any size, and only
+what overflows is ever moved again. Spark's shuffle and the tables written in the
+shared folder are the spill files, so every level survives lost executors, and no
+bucket of any size has to fit a task.
 
 Before the first deal each slice of a few MB of texts is deduplicated by itself. A
 group of copies that makes up a third of all rows thus sends one record a slice,
@@ -15,7 +17,7 @@ stands for the copies within one slice only. A record that meets its content in
 the table is passed on at once with the key of the content's first record, so a
 table holds contents and one best record each, and no step gathers a group.
 
-Defined results: null counts as the empty text. Texts are equal when identical
+Defined results: ids are whole numbers. Null counts as the empty text. Texts are equal when identical
 after lower-casing A-Z only. The row with the largest id stays (null ids are the
 smallest), and of rows with that id, or without any, exactly one stays. Other
 columns are carried along, whatever their case, unless they start with ``_gw_``.
@@ -87,10 +89,11 @@ def _slice_groups(table_bytes: int):
         first = TaskContext.get().partitionId() << 33
         for batch in (whole.slice(*part) for whole in batches for part in slices(whole.column(1))):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            table, numbers, hashes, lead, count = ContentTable(table_bytes), [], [], {}, {}
+            table, numbers, hashes, sizes, lead, count = ContentTable(table_bytes), [], [], [], {}, {}
             for row, text in enumerate(texts):
                 h = xxhash.xxh3_64_intdigest(content := normalised(text))
                 hashes.append(h)
+                sizes.append(len(content))
                 number = table.place(content, h)
                 if number < 0:
                     number = -1 - row  # no room: a group of its own here, met again by its copies at the next step
@@ -106,15 +109,17 @@ def _slice_groups(table_bytes: int):
                 pa.array([count[n] for n in numbers], pa.int64()),
                 pa.array([lead[n] == row for row, n in enumerate(numbers)], pa.bool_()),
                 pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                pa.array(sizes, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_gw_key", "_gw_n", "_gw_lead", "_gw_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_gw_key", "_gw_n", "_gw_lead", "_gw_hash", "_gw_size"])
 
     return run
 
 
 #: A row of a level is a record that found no room (with ``_gw_text``), a record that met its content (``_gw_group``), or a content
 #: (with the results), which stands for its first record too.
-LEVEL_SCHEMA = "_gw_key long, _gw_id long, _gw_n long, _gw_hash long, _gw_text string, _gw_group long, _gw_keep_key long, _gw_keep_id long, _gw_group_size long, _gw_text_sha256 string"
+LEVEL_SCHEMA = "_gw_key long, _gw_id long, _gw_n long, _gw_hash long, _gw_text string, _gw_size long, _gw_group long, _gw_keep_key long, _gw_keep_id long, _gw_group_size long, _gw_text_sha256 string"
+RECORD = ["_gw_key", "_gw_id", "_gw_n", "_gw_hash", "_gw_text", "_gw_size"]
 
 
 def _level(table_bytes: int):
@@ -130,7 +135,7 @@ def _level(table_bytes: int):
             for key, doc, n, h, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 number = table.place(normalised(text), h & MASK)
                 if number < 0:
-                    rows.append((key, doc, n, h, text or "", None, None, None, None, None))
+                    rows.append((key, doc, n, h, text or "", len(normalised(text)), None, None, None, None, None))
                     continue
                 record = (LEAST if doc is None else doc, -key, doc)
                 if number == len(first):
@@ -138,7 +143,7 @@ def _level(table_bytes: int):
                     best.append(record)
                     count.append(n)
                     continue
-                rows.append((key, None, n, None, None, first[number], None, None, None, None))
+                rows.append((key, None, n, None, None, None, first[number], None, None, None, None))
                 best[number] = max(best[number], record, key=lambda x: x[:2])
                 count[number] += n
             if rows:
@@ -147,36 +152,40 @@ def _level(table_bytes: int):
             rows = []
             for number in range(start, min(start + 5000, len(first))):
                 _, key, doc = best[number]
-                rows.append((first[number], None, None, None, None, first[number], -key, doc, count[number], hashlib.sha256(table.contents[number]).hexdigest()))
+                rows.append((first[number], None, None, None, None, None, first[number], -key, doc, count[number], hashlib.sha256(table.contents[number]).hexdigest()))
             yield out(rows)
 
     return run
 
 
+def _buckets(left: DataFrame, table_bytes: int, level: int) -> int:
+    """How many buckets what is left is dealt out to: counted bytes by the share of a table that they are to fill, a half at first."""
+    filled = left.agg(F.sum(F.col("_gw_size") + 100)).first()[0] or 0
+    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) if level == 1 else 1
+    return max(least, -(-filled * 2**level // table_bytes))
+
+
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, table_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Every row with its columns, and the results by key of a slice's group, both under names of our own (``_gw_``).
-
-    The loop ends after one level unless some partition held more contents than
-    a table takes.
-    """
+    """Every row with its columns, and the results by key of a slice's group, both under names of our own (``_gw_``)."""
     rest = carried(df, id_col, text_col)
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, text_col, *rest)]
-    schema = ", ".join([*fields, "_gw_key long", "_gw_n long", "_gw_lead boolean", "_gw_hash long"])
+    schema = ", ".join([*fields, "_gw_key long", "_gw_n long", "_gw_lead boolean", "_gw_hash long", "_gw_size long"])
     rows = written(df.select(id_col, text_col, *rest).mapInArrow(_slice_groups(table_bytes), schema), "exact-rows")
-    left = rows.where("_gw_lead").select("_gw_key", F.col(id_col).cast("long").alias("_gw_id"), "_gw_n", "_gw_hash", F.col(text_col).alias("_gw_text"))
+    left = rows.where("_gw_lead").select("_gw_key", F.col(id_col).cast("long").alias("_gw_id"), "_gw_n", "_gw_hash", F.col(text_col).alias("_gw_text"), "_gw_size")
     found: DataFrame | None = None
     level = 1
     while True:
-        level_rows = written(left.repartition(F.xxhash64("_gw_hash", F.lit(level))).mapInArrow(_level(table_bytes), LEVEL_SCHEMA), f"exact-level{level}")
+        dealt = left.repartition(_buckets(left, table_bytes, level), F.xxhash64("_gw_hash", F.lit(level))).select(*RECORD)
+        level_rows = written(dealt.mapInArrow(_level(table_bytes), LEVEL_SCHEMA), f"exact-level{level}")
         results = [f"_gw_{c}" for c in ("keep_key", "keep_id", "group_size", "text_sha256")]
         contents = level_rows.where("_gw_keep_key is not null").select("_gw_key", *results)
         others = level_rows.where("_gw_group is not null and _gw_keep_key is null").select(F.col("_gw_key").alias("_gw_other"), F.col("_gw_group").alias("_gw_key"))
         done = contents.unionByName(others.join(contents, "_gw_key").select(F.col("_gw_other").alias("_gw_key"), *results))
         found = done if found is None else found.unionByName(done)
-        left = level_rows.where("_gw_group is null").select("_gw_key", "_gw_id", "_gw_n", "_gw_hash", "_gw_text")
+        left = level_rows.where("_gw_group is null").select(*RECORD)
         if left.isEmpty():
             break
         level += 1

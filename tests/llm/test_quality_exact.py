@@ -8,7 +8,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from groundwork.llm import exact, quality
+from groundwork.llm import common, exact, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -105,3 +105,28 @@ def test_table_compares_contents():
     numbers = [table.place(c, 7) for c in (b"a", b"b", b"a", b"c")]  # one hash for all
     assert numbers == [0, 1, 0, 2]
     assert [table.place(str(i).encode(), i) for i in range(2000)].count(-1) > 0
+
+
+def test_levels_follow_overflow_and_not_bytes(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    levels = []
+    real = exact._buckets
+
+    def counted(left, table_bytes, level):
+        levels.append(level)
+        return real(left, table_bytes, level)
+
+    monkeypatch.setattr(exact, "_buckets", counted)
+    shown = lambda df: sorted(map(repr, df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
+    whole = shown(exact.grouped(docs))
+    assert levels == [1]
+    for room in (400_000, 25_000):  # a hundredth of all bytes: buckets overflow, and only these are split again
+        levels.clear()
+        assert shown(exact.grouped(docs, table_bytes=room)) == whole and len(levels) <= 3
+
+
+def test_keys_sent_or_shuffled_choose_the_same_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i % 37}") for i in range(300)], "doc_id long, text string").repartition(4)
+    sent = sorted(map(tuple, exact.deduplicated(df).collect()))
+    monkeypatch.setattr(common, "SENT_KEYS", 0)
+    assert sorted(map(tuple, exact.deduplicated(df).collect())) == sent == [(i, f"text {i % 37}") for i in range(263, 300)]
