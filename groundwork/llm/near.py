@@ -229,15 +229,30 @@ def _nearest_holders(rows: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Members ``a`` and ``b`` (far) of two components beside each difference that they share and that ``a`` must offer.
+
+    Only differences that two components hold can be shared with another one, so only
+    these are counted and offered. Of a difference's holders, those of its largest
+    component meet the others alone: the members of a family never meet.
+    """
+    each = rows.withColumn("m", F.size("d")).select("centre", *FACTS, "needed", F.explode("d").alias("e"))
+    by_label = each.groupBy("centre", "e", "label").agg(F.count_if("far").alias("far"), F.count("*").alias("n"))
+    keys = by_label.groupBy("centre", "e").agg(F.sum("far").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    keys = written(keys.where("lo <> hi and many > 0").select("centre", "e", "many", "main"), "near-shared")
+    shared = each.join(keys, ["centre", "e"])
+    of_member = Window.partitionBy("centre", "rep")
+    placed = shared.withColumns({"place": F.row_number().over(of_member.orderBy("many", "e")), "held": F.count("*").over(of_member)})
+    placed = written(placed, "near-placed")
+    side = lambda df, x: df.select("centre", "e", *(F.col(c).alias(f"{x}_{c}") for c in FACTS))
+    offered, holds = placed.where("place <= held - needed + 1"), placed.where("far")
+    met = side(offered.where("label <> main"), "a").join(side(holds, "b"), ["centre", "e"])
+    return met.unionByName(side(offered.where("label = main"), "a").join(side(holds.where("label <> main"), "b"), ["centre", "e"]))
+
+
 def _sharing(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a far member and any other of another component that share one of the differences which the latter must offer."""
-    each = rows.withColumn("m", F.size("d")).select("centre", *FACTS, (F.col("m") - F.col("needed") + 1).alias("offers"), F.explode("d").alias("e"))
-    # Differences that no far member has come first: they are offered without a match.
-    counted = each.withColumn("many", F.count_if("far").over(Window.partitionBy("centre", "e")))
-    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("centre", "rep").orderBy("many", "e")))
-    side = lambda df, x: df.select("centre", "e", *(F.col(c).alias(f"{x}_{c}") for c in FACTS))
-    offered, holds = side(placed.where("many > 0 and place <= offers"), "a"), side(each.where("far"), "b")
-    met = holds.join(offered, ["centre", "e"]).where(F.expr("a_label <> b_label and (not a_far or a_rep < b_rep)") & _share_enough(threshold))
+    met = _meeting(rows).where(F.expr("a_label <> b_label and (not a_far or a_rep < b_rep)") & _share_enough(threshold))
     return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 

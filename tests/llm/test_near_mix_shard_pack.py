@@ -91,6 +91,38 @@ def test_links_past_the_centre(spark):
     assert 3 < len({c for _, c in expected}) < 100
 
 
+def differences(spark, members):
+    """Rows as ``near._meeting`` takes them, from (rep, label, far, needed, differences)."""
+    rows = [(0, rep, label, far, 100, 0, len(d), needed, 0, 0, sorted(d)) for rep, label, far, needed, d in members]
+    return spark.createDataFrame(rows, "centre long, rep long, label long, far boolean, n int, own int, dn int, needed int, s0 long, s1 long, d array<long>")
+
+
+def test_families_do_not_meet_themselves(spark):
+    # All of a family differ from the centre in one passage, as do a few of other components; a member also has differences of its own.
+    counts = []
+    for m in (200, 400, 800):
+        family = [(i, 1, True, 16, {*range(30), 1000 + i}) for i in range(1, m + 1)]
+        others = [(5000 + i, 5000 + i, True, 16, {*range(30), 9000 + i}) for i in range(3)]
+        met = near._meeting(differences(spark, family + others)).select("a_rep", "b_rep").collect()
+        assert {frozenset(pair) for pair in met} >= {frozenset((a, 5000 + i)) for a in range(1, m + 1) for i in range(3)}
+        counts.append(len(met))
+    assert counts[1] < 2.2 * counts[0] and counts[2] < 2.2 * counts[1]
+    assert near._meeting(differences(spark, family)).count() == 0
+
+
+def test_meeting_loses_no_pair(spark):
+    rng = random.Random(6)
+    members = []
+    for i in range(1, 90):
+        base = {rng.randrange(40) for _ in range(rng.randrange(2, 14))}
+        members.append((i, rng.choice([1, 1, 1, 2, 2, i + 100]), rng.random() < 0.8, rng.randrange(1, len(base) + 1), base))
+    met = {(r["a_rep"], r["b_rep"]) for r in near._meeting(differences(spark, members)).collect()}
+    for a, la, _, needed, da in members:
+        for b, lb, far, _, db in members:
+            if la != lb and far and len(da & db) >= needed:
+                assert (a, b) in met
+
+
 def test_near_edges(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (4, None), (4, "")], "doc_id long, text string")
