@@ -136,7 +136,8 @@ def manifest(df: DataFrame, leaf: Column, presented: Column | None = None, id_co
     placed = written(numbered(leaves, ["key", "id", "node", "_tie"], "no", 0).drop("_tie"), "merkle-places")
     sizes = placed.groupBy("key").agg(F.min("no").alias("first"), F.count("*").alias("n"))
     nodes = placed.join(sizes, "key").select("key", "n", (F.col("no") - F.col("first")).alias("pos"), "node", "id", "presented")
-    rounds = _rounds(nodes, fan, depth)
+    # Written, so that blocks are dealt out by themselves and not by the key that the join has dealt by.
+    rounds = _rounds(written(nodes, "merkle-nodes"), fan, depth)
 
     tops = written(_tops(rounds, block), "merkle-subroots")
     whole = numbered(tops, ["key"], "pos", 0).select(F.lit("").alias("key"), F.lit(tops.count()).cast("long").alias("n"), "pos", F.col("top").alias("node"), F.col("key").alias("name"))
