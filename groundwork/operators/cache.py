@@ -49,6 +49,12 @@ class Entries:
         self.threshold = threshold
         self.vectors, self.payloads = np.zeros((0, 0)), []
 
+    def add(self, vectors: np.ndarray, payloads: list[str | None]) -> None:
+        """Entries that were stored before, as unit vectors."""
+        used = len(self.payloads)
+        self.vectors = np.concatenate([self.vectors[:used].reshape(used, vectors.shape[1]), vectors])
+        self.payloads = [*self.payloads, *payloads]
+
     def ask(self, vector: list[float] | None, payload: str | None) -> tuple[bool, str | None, float | None]:
         """(hit, payload, similarity); a miss stores the payload. Without a vector there is no hit, and nothing is stored."""
         if vector is None:

@@ -1,9 +1,11 @@
 """The answer cache by blocks and as a stream against running through the requests."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from groundwork.operators import cache
+from groundwork.streaming import jobs
 
 SCHEMA = "seq long, scope_key string, embedding array<double>, payload string"
 
@@ -52,3 +54,54 @@ def test_a_crowd_makes_no_pairs(spark):
     blocks = cache._blocks(df, 100)
     assert cache._before(blocks, blocks, 0.97).count() == 599  # not 600 * 599 / 2
     assert shown(cache.answer_cache(df, few=10, block=100)) == shown(cache.answer_cache(df))
+
+
+def run_stream(spark, path, **options):
+    """Answers what is there and ends."""
+    stream = jobs.answer_cache_stream(spark.readStream.schema(SCHEMA).parquet(f"{path}/in"), **options)
+    started = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append")
+    if options:  # with a time to live, batches without data follow each other, so the stream is stopped
+        started = started.start()
+        started.processAllAvailable()
+        started.stop()
+    else:
+        started = started.trigger(availableNow=True).start()
+        assert started.awaitTermination(120)
+    return spark.read.schema(cache.OUT).parquet(f"{path}/out")
+
+
+def test_stream_equals_batch_and_adds_blocks_only(spark, tmp_path):
+    rows = requests(120, 3)
+    for part in range(3):  # three batches in order of arrival
+        spark.createDataFrame(rows[part * 40 : part * 40 + 40], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = shown(run_stream(spark, tmp_path))
+    assert got == shown(cache.answer_cache(spark.createDataFrame(rows, SCHEMA)))
+
+
+class Handle:
+    """List state as a plain list, for what is written to it."""
+
+    def __init__(self):
+        self.held, self.written = [], []
+
+    def getListState(self, name, schema, ttl):
+        return self
+
+    def get(self):
+        return iter(self.held)
+
+    def appendValue(self, value):
+        self.held.append(value)
+        self.written.append(len(value[1]))
+
+
+def test_a_batch_writes_only_what_it_stores():
+    handle, scope = Handle(), jobs._ScopeCache(0.97, None)
+    scope.init(handle)
+    answered = []
+    for batch in range(4):
+        part = [r for r in requests(80, 5)[batch * 20 : batch * 20 + 20] if r[1] == "hot"]
+        answered += list(scope.handleInputRows(("hot",), iter([pd.DataFrame(part[::-1], columns=["seq", "scope_key", "embedding", "payload"])]), None))
+    out = pd.concat(answered)
+    stored = int((~out["hit"] & out["seq"].isin([r[0] for r in requests(80, 5) if r[2] is not None])).sum())
+    assert sum(handle.written) == stored and len(handle.written) <= 4 and len(out) == len([r for r in requests(80, 5) if r[1] == "hot"])

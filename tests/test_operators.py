@@ -72,6 +72,32 @@ def test_ingest_equals_one_build(spark, tmp_path):
         assert shown(chunks_of) == shown(build.build_chunk_index(pieces)) and chunks_of.where("embedding is null").count() == 0
 
 
+def test_ingest_that_is_cut_short_is_not_seen(spark, tmp_path):
+    schema = "path string, company string, html string"
+    root, source = f"file://{tmp_path}/store", tmp_path / "in"
+    page = lambda n: f"<html>20240131<p>{'Word ' * 40}{n}</p></html>"
+
+    def ingest(embedder):
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        jobs.incremental_ingest(stream, spark, root, embedder=embedder).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start().awaitTermination()
+
+    def broken(texts):
+        raise RuntimeError("no embedder")
+
+    first, second = [("p1", "A", page(1)), ("p2", "B", page(2)), ("p2", "B", page(2))], [("p3", "A", page(3))]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(str(source))
+    ingest(build.hashed_embedder)
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(source))
+    paths = lambda: [sorted(r["path"] for r in stored(spark, root).collect()) for stored in (jobs.stored_pieces, jobs.stored_chunks)]
+    before = paths()
+    with pytest.raises(Exception, match="no embedder"):
+        ingest(broken)  # pieces and facts are written by then, chunks are not
+    assert paths() == before == [["p1", "p2"]] * 2
+    assert {r["path"] for r in jobs._all(spark, root, "pieces").collect()} == {"p1", "p2", "p3"}
+    ingest(build.hashed_embedder)
+    assert paths() == [["p1", "p2", "p3"]] * 2
+
+
 def test_html(spark):
     page = html.Page(PAGE)
     assert "hidden" not in " ".join(page.words) and "no" not in page.words and page.words[0] == "T & Co"
