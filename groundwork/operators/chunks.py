@@ -106,8 +106,11 @@ def split_proses(df: DataFrame, keep: list[str], text_col: str = "text", count:
 
 def token_udf(count: Counter = count_tokens):
     @F.pandas_udf(T.LongType())
-    def n_tokens(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: count(x or ""))
+    def n_tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            texts = s.fillna("")
+            known = {x: count(x) for x in set(texts)}  # equal texts are counted once
+            yield texts.map(known).astype("int64")
 
     return n_tokens
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,23 @@ from groundwork.operators import facts as f
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """A model that ``load`` makes, once in each Python worker; ``name`` tells models apart. Stands wherever an embedder or counter does."""
+
+    name: str
+    load: Callable[[], Callable]
+
+    def __call__(self, *args: object) -> object:
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.load()
+        return _LOADED[self.name](*args)
+
+
+#: Models of this worker by name.
+_LOADED: dict[str, Callable] = {}
+
+
 def hashed_embedder(texts: list[str], size: int = 64) -> list[list[float]]:
     """Stand-in for an embedding model: counts of hashed words, of unit length."""
     import re
@@ -33,13 +51,21 @@ def hashed_embedder(texts: list[str], size: int = 64) -> list[list[float]]:
 
 
 def embedded(df: DataFrame, text_col: str = "text", embedder: Embedder = hashed_embedder, query: bool = False, batch: int = 32) -> DataFrame:
-    """``df`` with ``embedding``; questions get the search prefix."""
+    """``df`` with ``embedding``; questions get the search prefix.
+
+    Equal texts of an Arrow batch are encoded once, and texts of like length
+    together, so that a model pads little.
+    """
     prefix = v.QUERY_PREFIX if query else ""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(s: pd.Series) -> pd.Series:
-        texts = [prefix + (x or "") for x in s]
-        return pd.Series([e for i in range(0, len(texts), batch) for e in embedder(texts[i : i + batch])], dtype=object)
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            texts = s.fillna("")
+            distinct = sorted(set(texts), key=len)
+            vectors = [e for i in range(0, len(distinct), batch) for e in embedder([prefix + x for x in distinct[i : i + batch]])]
+            known = dict(zip(distinct, vectors, strict=True))
+            yield pd.Series([known[x] for x in texts], dtype=object)
 
     return df.withColumn("embedding", embed(F.col(text_col)))
 

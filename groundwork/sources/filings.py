@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,9 @@ from groundwork.functions import vocabulary as v
 from groundwork.operators.ordering import running_total
 from groundwork.sources import html as h
 
+#: Characters of extracted text that a task gathers before it passes them on.
+HELD = 8 << 20
+
 PIECES = ["path", "company", "fiscal_year", "section", "type", "text", "piece_no"]
 
 
@@ -56,16 +59,29 @@ def parsed(filings: DataFrame, html_col: str = "html") -> DataFrame:
     rest = [c for c in filings.columns if c != html_col]
     schema = ", ".join([*(f"`{c}` {filings.schema[c].dataType.simpleString()}" for c in rest), "full_text string, prose_text string, tables array<struct<md:string,lead:string>>"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("full_text", pa.string()), ("prose_text", pa.string()), ("tables", pa.list_(pa.struct([("md", pa.string()), ("lead", pa.string())])))])
         for batch in batches:
-            pages = [h.Page(x) for x in batch[html_col]]
-            tables = [
-                [{"md": h.to_markdown(h.clean_table(h.grid(x))), "lead": " ".join(x.text)} for x in page.tables]
-                for page in pages
-            ]
-            yield batch[rest].assign(full_text=[" ".join(p.words) for p in pages], prose_text=[" ".join(p.prose) for p in pages], tables=tables)
-
-    return filings.mapInPandas(run, schema)
+            pages, done, start, held = batch.column(len(rest)), [], 0, 0
+
+            def out(stop: int, start: int, done: list) -> pa.RecordBatch:
+                texts = [pa.array([d[i] for d in done], kinds.types[i]) for i in range(3)]
+                return pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(len(rest))), *texts], [*rest, *kinds.names])  # noqa: B023
+
+            for i in range(len(pages)):
+                # A page is parsed, read off and let go before the next one.
+                page = h.Page(pages[i].as_py())
+                tables = [{"md": h.to_markdown(h.clean_table(h.grid(x))), "lead": " ".join(x.text)} for x in page.tables]
+                done.append((" ".join(page.words), " ".join(page.prose), tables))
+                held += sum(map(len, done[-1][:2])) + sum(len(x["md"]) for x in tables)
+                if held >= HELD:
+                    yield out(i + 1, start, done)
+                    done, start, held = [], i + 1, 0
+            if done:
+                yield out(len(pages), start, done)
+
+    # The page is the last column; Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
+    return filings.select(*rest, html_col).mapInArrow(run, schema)
 
 
 def extract_pieces(filings: DataFrame, patterns: tuple = v.SECTIONS) -> DataFrame:

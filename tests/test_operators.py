@@ -283,6 +283,39 @@ def test_seams(spark):
     assert (counted["n_chunks"], counted["n_over"], counted["most"]) == (71, 9, 69)
 
 
+def test_a_model_is_made_once_a_worker_and_reads_equal_texts_once(spark, tmp_path):
+    def load():
+        import os
+
+        (tmp_path / f"made-{os.getpid()}-{os.urandom(4).hex()}").touch()
+
+        def encode(texts):
+            (tmp_path / f"read-{os.urandom(4).hex()}").write_text("\n".join(texts))
+            return [[float(len(x))] for x in texts]
+
+        return encode
+
+    texts = spark.createDataFrame([(i, "same" if i % 2 else "w" * (i % 40)) for i in range(400)], "id long, text string").repartition(12)
+    model = build.Loaded("test-model", load)
+    for _ in range(2):  # two jobs of twelve tasks each
+        got = {r["id"]: r["embedding"][0] for r in build.embedded(texts, "text", model).collect()}
+        assert got == {i: 4.0 if i % 2 else float(i % 40) for i in range(400)}
+    made = [p.name.split("-")[1] for p in tmp_path.iterdir() if p.name.startswith("made")]
+    assert len(made) == len(set(made)) <= 12  # never twice in a worker
+    read = [x.read_text().split("\n") for x in tmp_path.iterdir() if x.name.startswith("read")]
+    assert all(len(x) == len(set(x)) for x in read) and sum(map(len, read)) <= 24 * 21
+    assert chunks.budget_check(texts, limit=10, count=build.Loaded("test-counter", lambda: len)).first()["most"] == 38
+
+
+def test_many_large_pages_in_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(filings, "HELD", 50_000)
+    page = lambda i: f"<html><p>page {i} " + "lorem ipsum " * 2000 + "</p><table><tr><td>a</td><td>1</td></tr></table></html>"
+    df = spark.createDataFrame([(f"p{i:03}", "CO", page(i) if i % 5 else None) for i in range(60)], "path string, company string, html string").coalesce(1)
+    got = filings.parsed(df).collect()
+    assert [r["path"] for r in got] == [f"p{i:03}" for i in range(60)]
+    assert all(r["full_text"].startswith(f"page {i} lorem") and len(r["tables"]) == 1 if i % 5 else r["full_text"] == "" for i, r in enumerate(got))
+
+
 def test_written_index_is_the_built_one(spark, tmp_path):
     pieces = spark.createDataFrame([(f"p{i}", f"C{i % 2}", "2024", "mda", "prose", f"text {i} " * 200, 0) for i in range(6)], "path string, company string, fiscal_year string, section string, type string, text string, piece_no int")
     built = build.build_chunk_index(pieces, id_digits=32)
