@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwork.operators import dense, evidence, facts, fuse
 from groundwork.operators.sparse import Bm25Index, ranked
+from groundwork.operators.texts import TextTable
 from groundwork.plans.build import Embedder, embedded, hashed_embedder
 from groundwork.sources.shared import written
 
@@ -68,15 +69,18 @@ def batch_search(
     hybrid: bool = True,
     scorer: fuse.PairScorer | None = fuse.token_overlap,
     embedder: Embedder = hashed_embedder,
+    vectors: dense.DenseIndex | None = None,
+    texts: TextTable | None = None,
 ) -> DataFrame:
     """Hits of every question: ``question_id, pos, id, text, company, fiscal_year, section, rerank_score``.
 
     ``questions``: question_id, question, scopes; ``embedding`` if it is known,
     and ``k`` if hits are limited by question. One scope or none: ``top_k`` hits. More: ``per_scope`` of each,
-    in scope order, each chunk once.
+    in scope order, each chunk once. ``index``, ``vectors`` (scoped) and ``texts`` are
+    used where they are there already, for one batch of questions after another.
     """
     asked = questions if "embedding" in questions.columns else embedded(questions, "question", embedder, query=True)
-    near = dense.topk(chunks, asked, candidates, scoped=True)
+    near = (vectors or dense.DenseIndex(chunks, scoped=True)).topk(asked, candidates)
     by = ["question_id", "scope_no"]
     if hybrid:
         index = index or Bm25Index(chunks, carry=tuple(META))
@@ -85,7 +89,8 @@ def batch_search(
         fused = near
     limit = F.when(F.size("scopes") > 1, F.lit(per_scope)).otherwise(F.col("k") if "k" in questions.columns else F.lit(top_k))
     fused = fused.where(F.col("rank") <= 2 * candidates).select(*by, "id", "rank").join(questions.select("question_id", "question", limit.alias("limit")), "question_id")
-    fused = fused.join(chunks.select("id", "text", *META, "section"), "id")
+    shown = ("text", *META, "section")
+    fused = texts.with_text(fused, *shown) if texts else fused.join(chunks.select("id", *shown), "id")
     hits = fuse.rerank(fused, scorer, max(top_k, per_scope), by).where(F.col("rank") <= F.col("limit"))
     return fuse.merge_scopes(hits).select("question_id", "pos", "id", "text", *META, "section", "rerank_score")
 

@@ -17,6 +17,7 @@ from groundwork.functions import answers, questions, tables, text
 from groundwork.functions import vocabulary as v
 from groundwork.operators import cache, chunks, dense, evaluate, evidence, facts, fuse, history
 from groundwork.operators.sparse import Bm25Index
+from groundwork.operators.texts import TextTable
 from groundwork.plans import build, search
 from groundwork.sources import filings
 from groundwork.sources.shared import shared_dir, written
@@ -521,7 +522,8 @@ def hit_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RETRIEVAL_SQL} SELECT question_id, scope_no, id, company, fiscal_year, md5(text) AS text_digest FROM fu JOIN ch USING (id)")
 def candidate_text(spark: SparkSession, sf: str) -> DataFrame:
-    named = _fused(spark, sf).select(*BY, "id").join(searched_chunks(spark, sf), "id")
+    chunks = TextTable(searched_chunks(spark, sf).select("id", "company", "fiscal_year", "text"))
+    named = chunks.with_text(_fused(spark, sf).select(*BY, "id"), "company", "fiscal_year", "text")
     return named.select(*BY, "id", "company", "fiscal_year", F.md5("text").alias("text_digest"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundwork.operators import sparse
 from groundwork.operators.sparse import Bm25Index
+from groundwork.operators.texts import TextTable
 from groundwork.plans import search
 
 SCOPES = "array<struct<company:string,fiscal_year:string>>"
@@ -94,3 +95,19 @@ def test_scopes_of_every_shape(spark):
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == expected and len(rows) == len(expected) and {q for q, *_ in rows} == {1, 2, 3}
     assert search.scoped_candidates(questions.limit(0), spark.createDataFrame(chunks, "id long, company string, fiscal_year string")).count() == 0
+
+
+def test_texts_stay_where_they_are(spark):
+    chunks = spark.createDataFrame([(i, f"text {i}", f"co{i % 3}") for i in range(500)], "id long, text string, company string").repartition(3)
+    texts = TextTable(chunks, buckets=5)
+    hits = spark.createDataFrame([(q, i) for q in range(20) for i in (q, 7 * q, 9999)], "question_id long, id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = texts.with_text(hits, "text", "company")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # One exchange, that of the hits; the scan of the texts is bucketed.
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert sorted(map(tuple, found.select("question_id", "id", "text", "company").collect())) == sorted((q, i, f"text {i}", f"co{i % 3}") for q in range(20) for i in (q, 7 * q))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
