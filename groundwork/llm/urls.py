@@ -2,8 +2,9 @@
 
 Every URL is cut into host and path. A list of rules (a policy file, so small)
 decides where one fits. For the rest, paths become templates. Digit runs within
-a segment are one wildcard ``#``; then, level by level from the host down to the
-last segment, siblings are merged by what their labelled pages say:
+a segment are one wildcard ``#``; then, from the host down to the last segment,
+siblings are merged by what their labelled pages say. Levels without a branch are
+passed over at once, so rounds follow how often paths branch and not how long they are:
 
 - A branch needs ``least_labels`` labelled pages to be compared. Those with fewer,
   as the slugs of a variable segment have, are one wildcard of their own: nothing
@@ -99,6 +100,20 @@ def _named(children: DataFrame, z: float, least_labels: int) -> DataFrame:
     return nodes.select(*by, "child", name.alias("name"), "leaves")
 
 
+def _descended(tree: DataFrame) -> DataFrame:
+    """``tree`` (host, levels, prefix, depth) with every node's unbranched run behind it: an only child keeps its name, so such levels need no round.
+
+    What the least and the greatest of a node's paths have in common, all of them have.
+    """
+    rest = F.slice("levels", F.col("depth") + 1, F.greatest(F.size("levels") - F.col("depth"), F.lit(0)))
+    ends = tree.groupBy("host", "prefix").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    differs = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    run = F.when(F.coalesce(F.get("lo", F.lit(0)), F.lit("")) == "", 0).when(differs > 0, differs - 1).otherwise(F.size("lo"))
+    ends = ends.select("host", "prefix", run.alias("run"))
+    passed = F.when(F.col("run") > 0, F.concat_ws("/", "prefix", F.slice("levels", F.col("depth") + 1, F.col("run")))).otherwise(F.col("prefix"))
+    return tree.join(ends, ["host", "prefix"]).withColumns({"prefix": passed, "depth": F.col("depth") + F.col("run")}).drop("run")
+
+
 def templates(pages: DataFrame, z: float, least_labels: int) -> DataFrame:
     """Host, digit-free ``levels``, and ``template`` for ``pages`` (host, path, bad: true, false or null) with counts.
 
@@ -106,23 +121,24 @@ def templates(pages: DataFrame, z: float, least_labels: int) -> DataFrame:
     """
     one = lambda cond: F.count(F.when(cond, 1))
     tree = pages.groupBy("host", _levels(F.col("path")).alias("levels")).agg(one(F.col("bad").isNotNull()).alias("n"), one(F.col("bad")).alias("b"))
-    # Each level reads the one before more than once, hence the written tables; they hold counts, not pages.
-    tree = written(tree.withColumn("prefix", F.lit("")), "url-tree")
-    rounds, depth = [], 0
+    # Each round reads the one before more than once, hence the written tables; they hold counts, not pages.
+    tree = written(tree.withColumns({"prefix": F.lit(""), "depth": F.lit(0)}), "url-tree")
+    rounds = []
     while True:
+        node = _descended(tree)
         # A path that has ended is its parent's child without a name.
-        node = tree.withColumn("child", F.coalesce(F.get("levels", F.lit(depth)), F.lit("")))
+        node = node.withColumn("child", F.coalesce(F.get("levels", F.col("depth")), F.lit("")))
         children = node.groupBy("host", "prefix", "child").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"), F.count("*").alias("leaves"))
         joined = F.when(F.col("child") == "", F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "name"))
         named = _named(children, z, least_labels).select("host", "prefix", "child", "leaves", joined.alias("next"))
         # Below a node with one leaf every child is an only child, so that the rest of its path is known.
         crowded = named.where("child <> ''").groupBy("host", "next").agg(F.sum("leaves").alias("all")).where("all > 1").select("host", "next", F.lit(True).alias("crowded"))
         named = named.join(crowded, ["host", "next"], "left").withColumn("open", (F.col("child") != "") & F.coalesce("crowded", F.lit(False)))
-        rest = F.slice("levels", F.lit(depth + 2), F.greatest(F.size("levels") - (depth + 1), F.lit(0)))
+        rest = F.slice("levels", F.col("depth") + 2, F.greatest(F.size("levels") - (F.col("depth") + 1), F.lit(0)))
         place = F.when(F.col("open") | (F.col("child") == ""), F.col("next")).otherwise(F.concat_ws("/", "next", rest))
-        tree = written(node.join(named, ["host", "prefix", "child"]).select("host", "levels", "n", "b", place.alias("prefix"), "open"), "url-tree")
-        rounds.append(tree)
-        tree, depth = tree.where("open").drop("open"), depth + 1
+        tree = written(node.join(named, ["host", "prefix", "child"]).select("host", "levels", "n", "b", place.alias("prefix"), (F.col("depth") + 1).alias("depth"), "open"), "url-tree")
+        rounds.append(tree.drop("depth"))
+        tree = tree.where("open").drop("open")
         if tree.isEmpty():
             break
     return reduce(DataFrame.unionByName, rounds).where("not open").drop("open").withColumnRenamed("prefix", "template")

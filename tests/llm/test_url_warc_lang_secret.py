@@ -333,3 +333,24 @@ def test_candidates_against_a_plain_search(spark):
     assert all(any((d, p) == (x, y) and v in w for x, y, w in values) for d, p, v in plain)
     runs = {(d, p, v) for d, p, v in values if run.fullmatch(v) and re.search("[0-9]", v)}
     assert all(any((d, p) == (x, y) and v in w for x, y, w in plain) for d, p, v in runs)
+
+
+def test_long_unbranched_paths_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = urls.written
+    monkeypatch.setattr(urls, "written", lambda df, name: rounds.append(name) or real(df, name))
+    deep = "/".join("abcdefg"[i % 7] for i in range(200))
+    rows = [(1, f"http://a.org/{deep}/one"), (2, f"http://a.org/{deep}/two"), (3, f"http://a.org/{deep}"), (4, "http://b.org"), (5, "http://b.org/"), (6, "http://c.org/only/one"), (7, None)]
+    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), [("block", "zzz/")])
+    got = {r["page_id"]: r["template"] for r in out.collect()}
+    assert got == {1: f"/{deep}/*", 2: f"/{deep}/*", 3: f"/{deep}", 4: "", 5: "", 6: "/only/one", 7: ""}
+    assert len(rounds) <= 4
+
+
+def test_a_learned_template_blocks_pages_without_a_rule(spark):
+    # No rule fits the pages of y.org; those of one section are labelled bad, and its other pages follow them.
+    rows = [(i, f"http://y.org/{'ads' if i % 2 else 'news'}/page{i}") for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(60)], "page_id long, bad boolean")
+    out = {r["page_id"]: r for r in urls.judged(pages, [("allow", "com/")], labels).collect()}
+    assert all(out[i]["rule"] is None and out[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(60, 80))
