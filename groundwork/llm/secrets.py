@@ -31,6 +31,7 @@ with probability 1. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -276,7 +277,10 @@ def planted(df: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "t
         .withColumns({"h": key("doc", "copy"), "g": key("doc", "copy", F.lit("g"))})
     )
     kinds = [F.struct(F.lit(label).alias("label"), F.lit(i).alias("kind"), text.alias("text"), value.alias("value")) for i, (label, text, value) in enumerate(_kinds(F.col("h"), F.col("g"), F.concat("after", "before")))]
-    made = each.withColumn("made", F.get(F.array(*kinds), F.pmod(F.xxhash64("g"), F.lit(len(kinds))).cast("int")))
+    # The kind is chosen first, and only that one is made.
+    each = each.withColumn("kind", F.pmod(F.xxhash64("g"), F.lit(len(kinds))).cast("int"))
+    chosen = reduce(lambda chain, i: chain.when(F.col("kind") == i, kinds[i]), range(1, len(kinds)), F.when(F.col("kind") == 0, kinds[0]))
+    made = each.withColumn("made", chosen)
     made = made.select(F.col("h").alias("row"), "path", F.concat_ws(" ", "before", "made.text", "after").alias("text"), "made.label", "made.kind", F.col("made.value").alias("put"))
     made = written(made, "secret-planted")
     found = candidates(made, "row", "text", "path").join(made.select("row", "label", "kind", "put"), "row").where("value = put")
