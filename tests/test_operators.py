@@ -1,5 +1,6 @@
 """Operators on small inputs."""
 
+import hashlib
 import json
 import shutil
 
@@ -268,6 +269,25 @@ def test_splitters_on_all_documents(spark):
     assert counts["n_chunks"] == index.count() == index.select("id").distinct().count() and counts["n_captioned"] == 125
 
 
+def test_chunk_index_is_the_plain_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    expected = {}
+    for d in sorted(docs, key=lambda d: str(d["doc_id"])):  # paths are in order of their characters
+        for no, part in enumerate(chunks.split_prose(d["text"] or "")):
+            key = f"{d['source']}-{d['lang']}-other-prose-{hashlib.md5(part.encode()).hexdigest()[:8]}"
+            vector = np.array(build.hashed_embedder([part])[0], np.float32).tolist()
+            expected.setdefault(key, (str(d["doc_id"]), no, part, d["source"], d["lang"], vector))
+    index = queries.build_chunk_index(spark, SF)
+    got = {r["id"]: (r["path"], r["chunk_no"], r["text"], r["company"], r["fiscal_year"], r["embedding"]) for r in index.where("type = 'prose'").collect()}
+    assert got == expected
+    tables = index.where("type = 'table'").collect()
+    assert len(tables) >= 125 and all(r["captioned"] and r["text"].startswith("[Table summary: ") and len(r["embedding"]) == 64 for r in tables)
+    shown = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.withColumn("fiscal_year", F.col("fiscal_year").cast("string")).collect())
+    assert shown(queries.write_chunk_index(spark, SF)) == shown(index)
+    counts = queries.chunk_build_counts(spark, SF).first()
+    assert (counts["n_chunks"], counts["n_captioned"]) == (len(expected) + len(tables), len({(r["path"], r["piece_no"]) for r in tables}))
+
+
 def test_seams(spark):
     # The caller's embedder and counter are called with whole texts, questions with the search prefix, in batches.
     texts = spark.createDataFrame([(i, "w" * i) for i in range(70)] + [(70, None)], "id long, text string").coalesce(1)
