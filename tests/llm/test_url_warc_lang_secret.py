@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +211,7 @@ def test_nothing_to_learn(spark):
 
 def test_script_narrows(model):
     import pyarrow as pa
+import pyarrow.compute as pc
 
     known, _ = model
     scores = known.word_scores(langid.words_of(pa.array(["привет"])))
@@ -354,3 +357,46 @@ def test_a_learned_template_blocks_pages_without_a_rule(spark):
     labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(60)], "page_id long, bad boolean")
     out = {r["page_id"]: r for r in urls.judged(pages, [("allow", "com/")], labels).collect()}
     assert all(out[i]["rule"] is None and out[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(60, 80))
+
+
+def plain_mixed(x):
+    """The 64-bit finaliser, one number at a time."""
+    x = (x + 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_word_score(model, word):
+    """Scores of one word, letter by letter: one, two and three letters up to each, and each run of letters."""
+    letter = [c.isalpha() for c in word]
+    code = lambda i: ord(word[i]) if 0 <= i < len(word) and letter[i] else 0
+    found, run = [], []
+    for i in range(len(word)):
+        if not letter[i]:
+            continue
+        b, m, a = code(i - 1), code(i), code(i + 1)
+        found += [plain_mixed(m), plain_mixed((b << 21) + m + (1 << 62)), plain_mixed(((((b << 21) + m) << 21) + a + (1 << 63)) % 2**64)]
+        run.append(plain_mixed(m + (len(run) << 32)))
+        if not a:
+            found.append(plain_mixed(sum(run) % 2**64))
+            run = []
+    script = 0
+    if any(letter):
+        first = ord(word[letter.index(True)])
+        script = next((n for n, ranges in enumerate(langid.SCRIPTS.values(), 1) if any(lo <= first <= hi for lo, hi in ranges)), len(langid.SCRIPTS) + 1)
+    return [sum(model.score[h >> 48, k] for h in found) / 3 - model.scripts[script, k] for k in range(len(model.languages))]
+
+
+def test_word_scores_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    texts = [r["text"] for r in docs.select("text").collect()] + ["Ünï-cödé 12a3b", "日本語 текст mixed", None, "a\x00b \x00", ""]
+    for text in texts:
+        words = langid.words_of(pa.array([text], pa.string()))
+        scores = model.word_scores(words)
+        lowered = (text or "").replace("\0", "\1").lower()
+        plain = pc.utf8_split_whitespace(pa.array([lowered]))[0].as_py()  # with what is empty before the first and after the last blank
+        assert [w for w in plain if w] == lowered.split() and len(words.at) == len(plain)
+        for word, got in {w: scores[at] for w, at in zip(plain, words.at.tolist(), strict=True)}.items():
+            assert np.allclose(got, plain_word_score(model, word)), repr(word)
