@@ -210,9 +210,6 @@ def test_nothing_to_learn(spark):
 
 
 def test_script_narrows(model):
-    import pyarrow as pa
-import pyarrow.compute as pc
-
     known, _ = model
     scores = known.word_scores(langid.words_of(pa.array(["привет"])))
     assert known.languages[int(scores[0].argmax())] == "ru" and scores[0, 0] < scores[0, 2] - 90
