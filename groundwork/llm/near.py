@@ -229,19 +229,23 @@ def _nearest_holders(rows: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
+def _with_main(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``main``, the largest component of each centre."""
+    sizes = rows.groupBy("centre", "label").agg(F.count("*").alias("k"))
+    return rows.join(sizes.groupBy("centre").agg(F.max_by("label", F.struct("k", "label")).alias("main")), "centre")
+
+
 def _meeting(rows: DataFrame) -> DataFrame:
     """Members ``a`` and ``b`` (far) of two components beside each difference that they share and that ``a`` must offer.
 
     Only differences that two components hold can be shared with another one, so only
-    these are counted and offered. Of a difference's holders, those of its largest
-    component meet the others alone: the members of a family never meet.
+    these are counted and offered. Members of a centre's largest component meet
+    those of the others alone: the members of a family never meet.
     """
-    each = rows.withColumn("m", F.size("d")).select("centre", *FACTS, "needed", F.explode("d").alias("e"))
-    by_label = each.groupBy("centre", "e", "label").agg(F.count_if("far").alias("far"), F.count("*").alias("n"))
-    keys = by_label.groupBy("centre", "e").agg(F.sum("far").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    keys = written(keys.where("lo <> hi and many > 0").select("centre", "e", "many", "main"), "near-shared")
-    shared = each.join(keys, ["centre", "e"])
-    of_member = Window.partitionBy("centre", "rep")
+    each = rows.withColumn("m", F.size("d")).select("centre", "main", *FACTS, "needed", F.explode("d").alias("e"))
+    holders, of_member = Window.partitionBy("centre", "e"), Window.partitionBy("centre", "rep")
+    counted = each.withColumns({"many": F.count_if("far").over(holders), "lo": F.min("label").over(holders), "hi": F.max("label").over(holders)})
+    shared = counted.where("lo <> hi and many > 0").drop("lo", "hi")
     placed = shared.withColumns({"place": F.row_number().over(of_member.orderBy("many", "e")), "held": F.count("*").over(of_member)})
     placed = written(placed, "near-placed")
     side = lambda df, x: df.select("centre", "e", *(F.col(c).alias(f"{x}_{c}") for c in FACTS))
@@ -286,7 +290,8 @@ def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) ->
     if not apart.isEmpty():
         differences = _differences(apart, sets, threshold)
         for candidates in (_nearest_holders, _sharing):
-            left = written(_open(_labelled(differences, labels), "centre"), "near-left")
+            # Written, so that what follows is dealt by differences and not by centre.
+            left = written(_with_main(_open(_labelled(differences, labels), "centre")), "near-left")
             labels = _linked(candidates(left, threshold), counts, sets, threshold, labels)
 
     named = digests.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

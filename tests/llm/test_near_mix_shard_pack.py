@@ -94,7 +94,7 @@ def test_links_past_the_centre(spark):
 def differences(spark, members):
     """Rows as ``near._meeting`` takes them, from (rep, label, far, needed, differences)."""
     rows = [(0, rep, label, far, 100, 0, len(d), needed, 0, 0, sorted(d)) for rep, label, far, needed, d in members]
-    return spark.createDataFrame(rows, "centre long, rep long, label long, far boolean, n int, own int, dn int, needed int, s0 long, s1 long, d array<long>")
+    return near._with_main(spark.createDataFrame(rows, "centre long, rep long, label long, far boolean, n int, own int, dn int, needed int, s0 long, s1 long, d array<long>"))
 
 
 def test_families_do_not_meet_themselves(spark):
