@@ -220,9 +220,20 @@ def _share_enough(threshold: float) -> Column:
 FACTS = ["rep", "label", "far", "n", "own", "dn", "m", "s0", "s1"]
 
 
+def _listed(rows: DataFrame, *more: str) -> DataFrame:
+    """A row for each difference ``e`` of each member that can still be someone's link.
+
+    A member that is no far one meets far ones alone, and is out where it has
+    fewer differences than these must share with it. Members are dealt out
+    first, since those of a large bucket come out of one task.
+    """
+    able = rows.withColumn("m", F.size("d")).where("far or needed <= m")
+    return able.repartition("centre", "rep").select("centre", *FACTS, *more, F.explode("d").alias("e"))
+
+
 def _nearest_holders(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs of each far member and the holder of each of its differences that is nearest to the centre."""
-    each = rows.withColumn("m", F.size("d")).select("centre", *FACTS, F.explode("d").alias("e"))
+    each = _listed(rows)
     nearest = each.groupBy("centre", "e").agg(*(F.min_by(c, "dn").alias(f"a_{c}") for c in FACTS), F.bool_or("far").alias("any")).where("any").drop("any")
     holds = each.where("far").select("centre", "e", *(F.col(c).alias(f"b_{c}") for c in FACTS))
     met = holds.join(nearest, ["centre", "e"]).where((F.col("a_label") != F.col("b_label")) & _share_enough(threshold))
@@ -242,7 +253,7 @@ def _meeting(rows: DataFrame) -> DataFrame:
     these are counted and offered. Members of a centre's largest component meet
     those of the others alone: the members of a family never meet.
     """
-    each = rows.withColumn("m", F.size("d")).select("centre", "main", *FACTS, "needed", F.explode("d").alias("e"))
+    each = _listed(rows, "main", "needed")
     holders, of_member = Window.partitionBy("centre", "e"), Window.partitionBy("centre", "rep")
     counted = each.withColumns({"many": F.count_if("far").over(holders), "lo": F.min("label").over(holders), "hi": F.max("label").over(holders)})
     shared = counted.where("lo <> hi and many > 0").drop("lo", "hi")
