@@ -17,7 +17,8 @@
    difference, and that one must share nearly half of its own (``needed``). First
    each difference compares its holders with the one nearest to the centre; then
    what is still apart is joined on differences, of which one side offers just so
-   few, rarest first, that no link can be missed.
+   few, rarest first, that no link can be missed. Two that share too little for a
+   link do not come out of that join: their places in that one order bound it.
 
 So a class of near copies costs a few comparisons a member, what all copies have
 in common is no key of any join, and no pair that shares a band and could still
@@ -205,14 +206,14 @@ def _differences(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return written(out.withColumns({"s0": bits(0), "s1": bits(6)}), "near-differences")
 
 
-def _share_enough(threshold: float) -> Column:
-    """Whether ``a`` and ``b`` of one centre can share as many differences as a link needs.
+def _share_enough(threshold: float, *bounds: Column) -> Column:
+    """Whether ``a`` and ``b`` of one centre can share as many differences as a link needs, if they share no more than ``bounds``.
 
     What one has in a remainder that the other has not is not shared.
     """
     k = (1 - threshold) / (1 + threshold)
     only = lambda x, y, s: F.bit_count(F.col(f"{x}_{s}").bitwiseAND(F.bitwise_not(f"{y}_{s}")))
-    most = F.least(*(F.col(f"{x}_m") - only(x, y, s) for x, y in ("ab", "ba") for s in ("s0", "s1")))
+    most = F.least(*(F.col(f"{x}_m") - only(x, y, s) for x, y in ("ab", "ba") for s in ("s0", "s1")), *bounds)
     return 2 * (most + F.col("a_own")) >= F.col("a_dn") + F.col("b_dn") - k * (F.col("a_n") + F.col("b_n")) - 1e-9
 
 
@@ -246,28 +247,40 @@ def _with_main(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.groupBy("centre").agg(F.max_by("label", F.struct("k", "label")).alias("main")), "centre")
 
 
-def _meeting(rows: DataFrame) -> DataFrame:
+def _meeting(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     """Members ``a`` and ``b`` (far) of two components beside each difference that they share and that ``a`` must offer.
 
     Only differences that two components hold can be shared with another one, so only
     these are counted and offered. Members of a centre's largest component meet
     those of the others alone: the members of a family never meet.
+
+    With a threshold, a member offers and holds a difference only where those from its
+    place on (``rest``) suffice for a link with that holder which needs the fewest. The
+    places of all members are in one order, so this holds for the first one that two share.
     """
     each = _listed(rows, "main", "needed")
     holders, of_member = Window.partitionBy("centre", "e"), Window.partitionBy("centre", "rep")
-    counted = each.withColumns({"many": F.count_if("far").over(holders), "lo": F.min("label").over(holders), "hi": F.max("label").over(holders)})
-    shared = counted.where("lo <> hi and many > 0").drop("lo", "hi")
+    counts = {"many": F.count_if("far").over(holders), "lo": F.min("label").over(holders), "hi": F.max("label").over(holders)}
+    if threshold is not None:
+        lacks = F.col("dn") - (1 - threshold) / (1 + threshold) * F.col("n")
+        counts |= {"least": F.min(lacks).over(holders), "least_far": F.min(F.when(F.col("far"), lacks)).over(holders)}
+    shared = each.withColumns(counts).where("lo <> hi and many > 0").drop("lo", "hi")
     placed = shared.withColumns({"place": F.row_number().over(of_member.orderBy("many", "e")), "held": F.count("*").over(of_member)})
-    placed = written(placed, "near-placed")
-    side = lambda df, x: df.select("centre", "e", *(F.col(c).alias(f"{x}_{c}") for c in FACTS))
-    offered, holds = placed.where("place <= held - needed + 1"), placed.where("far")
+    placed = placed.withColumns({"rest": (F.col("held") - F.col("place") + 1).cast("int"), "offers": F.expr("place <= held - needed + 1"), "holds": F.col("far")})
+    if threshold is not None:
+        suffice = lambda least: 2 * (F.col("rest") + F.col("own")) >= lacks + F.col(least) - 1e-9
+        placed = placed.withColumns({"offers": F.col("offers") & suffice("least_far"), "holds": F.col("holds") & suffice("least")})
+    placed = written(placed.where("offers or holds").select("centre", "e", *FACTS, "rest", "main", "offers", "holds"), "near-placed")
+    side = lambda df, x: df.select("centre", "e", *(F.col(c).alias(f"{x}_{c}") for c in [*FACTS, "rest"]))
+    offered, holds = placed.where("offers"), placed.where("holds")
     met = side(offered.where("label <> main"), "a").join(side(holds, "b"), ["centre", "e"])
     return met.unionByName(side(offered.where("label = main"), "a").join(side(holds.where("label <> main"), "b"), ["centre", "e"]))
 
 
 def _sharing(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a far member and any other of another component that share one of the differences which the latter must offer."""
-    met = _meeting(rows).where(F.expr("a_label <> b_label and (not a_far or a_rep < b_rep)") & _share_enough(threshold))
+    """Pairs of a far member and any other of another component whose first shared difference leaves them enough to share."""
+    enough = _share_enough(threshold, F.col("a_rest"), F.col("b_rest"))
+    met = _meeting(rows, threshold).where(F.expr("a_label <> b_label and (not a_far or a_rep < b_rep)") & enough)
     return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 

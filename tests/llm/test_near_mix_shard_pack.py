@@ -1,5 +1,6 @@
 """Near duplicates, mixing, sharding and packing against plain versions."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -123,6 +124,33 @@ def test_meeting_loses_no_pair(spark):
                 assert (a, b) in met
 
 
+def test_families_that_share_too_little_do_not_meet(spark):
+    # Two families share a passage of differences that is too short for a link, and each member has as many of its own.
+    k = 0.2 / 1.8
+    for m in (20, 40):
+        members = [(1000 * f + i, f, True, 25, {*range(30), *range(10_000 * f + 20 * i, 10_000 * f + 20 * i + 20)}) for f in (1, 2) for i in range(m)]
+        assert 2 * 30 < 50 + 50 - k * 200
+        assert near._sharing(differences(spark, members), 0.8).count() <= m
+    # With a longer passage all of them are links.
+    members = [(1000 * f + i, f, True, 25, {*range(40), *range(10_000 * f + 10 * i, 10_000 * f + 10 * i + 10)}) for f in (1, 2) for i in range(9)]
+    met = {(r["a"], r["b"]) for r in near._sharing(differences(spark, members), 0.8).collect()}
+    assert met >= {(1000 + i, 2000 + j) for i in range(9) for j in range(9)}
+
+
+def test_sharing_loses_no_link(spark):
+    # Texts and centre of 100 elements; far members have more than 200 k differences.
+    rng, k, members = random.Random(9), 0.2 / 1.8, []
+    for i in range(1, 120):
+        f = rng.randrange(6)
+        d = {e for e in range(30 * f, 30 * f + 36) if rng.random() < 0.85} | {rng.randrange(300) for _ in range(rng.randrange(9))}
+        d = d if rng.random() < 0.9 else set(sorted(d)[: rng.randrange(12, 22)])
+        members.append((i, rng.choice([1, 1, 2, i + 100]), len(d) > 200 * k, math.floor(len(d) / 2 - 1e-9) + 1, d))
+    met = {frozenset((r["a"], r["b"])) for r in near._sharing(differences(spark, members), 0.8).collect()}
+    links = {frozenset((a, b)) for a, la, _, _, da in members for b, lb, far, _, db in members if la != lb and far and 2 * len(da & db) >= len(da) + len(db) - 200 * k}
+    assert len(links) > 50 and links <= met
+    assert len(met) < 0.6 * len(members) * (len(members) - 1) / 2
+
+
 def test_near_edges(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (4, None), (4, "")], "doc_id long, text string")
