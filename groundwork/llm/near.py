@@ -153,15 +153,19 @@ def _reach(both: Column, threshold: float) -> Column:
 
 
 def _fitting(pairs: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """The distinct pairs (``a``, a hub, and ``b``) that sizes and group counts allow to be links."""
+    """The pairs (``a``, a hub, and ``b``) that sizes and group counts allow to be links."""
     side = lambda x: counts.select(*(F.col(c).alias(x if c == "rep" else f"{x}_{c}") for c in counts.columns))
     bound = _reach(F.least("a_common", "b_common"), threshold) & _reach(reduce(add, (F.least(f"a_{g}", f"b_{g}") for g in GROUPS)), threshold)
-    return _beside(pairs.distinct().join(side("b"), "b"), "a", "b", side("a")).where(bound).select("a", "b")
+    return _beside(pairs.join(side("b"), "b"), "a", "b", side("a")).where(bound).select("a", "b")
 
 
 def _linked(pairs: DataFrame, counts: DataFrame, sets: DataFrame, threshold: float, labels: DataFrame | None) -> DataFrame:
     """Labels of the components that the links among ``pairs`` make of those of ``labels``."""
-    found = _compared(_fitting(pairs, counts, threshold), sets)
+    # Both steps use their pairs twice: unless these are written, one plan has four times all that finds them.
+    pairs = written(pairs.distinct(), "near-pairs")
+    if labels is not None and pairs.isEmpty():
+        return labels
+    found = _compared(written(_fitting(pairs, counts, threshold), "near-fitting"), sets)
     links = written(found.where(_reach(F.col("both"), threshold)).select("a", "b"), "near-links")
     if labels is not None:
         if links.isEmpty():

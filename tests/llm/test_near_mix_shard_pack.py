@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundwork.llm import bagminhash as bag
-from groundwork.llm import mixing, near, packing, queries, sharding
+from groundwork.llm import common, components, mixing, near, packing, queries, sharding
 from groundwork.llm.tokens import TokenCounter
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -151,6 +151,37 @@ def test_sharing_loses_no_link(spark):
     assert len(met) < 0.6 * len(members) * (len(members) - 1) / 2
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or common.written(df, name))
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(40)]
+    graphs = {"star": [(9, i) for i in range(9)], "loops": [(3, 3)], "chain": chain, "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]}
+    for name, edges in graphs.items():
+        least = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in least:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        rounds.clear()
+        got = [(r["node"], r["label"]) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert sorted(got) == sorted(least.items())
+        assert name not in ("star", "loops") or len(rounds) == 1
+
+
+def test_plans_find_their_pairs_once(spark, monkeypatch):
+    scans = []
+
+    def counting(df, name):
+        if name in ("near-pairs", "near-fitting", "near-links"):
+            scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return common.written(df, name)
+
+    monkeypatch.setattr(near, "written", counting)
+    near.classified(spark.createDataFrame(near_copies(), "doc_id long, text string")).count()
+    assert len(scans) > 3 and max(scans) <= 6
+
+
 def test_near_edges(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (4, None), (4, "")], "doc_id long, text string")
