@@ -78,6 +78,6 @@ def nothing_whole(monkeypatch):
     monkeypatch.setattr(texts.TextTable, "__init__", refuse)
 
 
-@pytest.mark.parametrize("name", ["rrf_fuse", "hit_provenance", "retriever_rank", "candidate_text", "rerank_topk", "scoped_merge", "batch_search"])
+@pytest.mark.parametrize("name", ["rrf_fuse", "hit_provenance", "retriever_rank", "candidate_text", "rerank_topk", "scoped_merge", "batch_search", "gather_evidence"])
 def test_search_lays_out_nothing_whole(spark, nothing_whole, name):
     assert_same(spark, SF, queries.QUERIES[name], queries.SQL[name])
